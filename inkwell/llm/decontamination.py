@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,12 +202,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
 
 def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs in which no item is found; texts are judged in place, nothing is shuffled."""
-    out = docs
-    for block in item_blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
 
+    def clean_of(shared: Broadcast):
         @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
+        def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             known = Items(shared.value, similarity, RECALL)
             for texts in batches:
                 keep = np.ones(len(texts), bool)
@@ -215,8 +214,11 @@ def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
                     keep[[at + m[0] for m in known.matches(split)]] = False
                 yield pd.Series(keep)
 
-        out = out.where(clean(F.col("text")))
-    return out
+        return clean
+
+    for block in item_blocks(items):
+        docs = docs.where(clean_of(docs.sparkSession.sparkContext.broadcast(block))(F.col("text")))
+    return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,11 @@ task; the others are joined by a shuffle on the unit, so no size of vocabulary b
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from itertools import chain
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bytes_of
@@ -22,70 +24,118 @@ GATHER = 200_000
 Split = Callable[[bytes], list[bytes]]
 
 
-def count_units(docs: DataFrame, split: Split) -> DataFrame:
-    """(unit binary, n long) over the column text of docs; null texts count as empty."""
+def count_units(docs: DataFrame, split: Split, flags: Sequence[Column]) -> DataFrame:
+    """(unit binary, n0 long, n1 long, ...): occurrences in column text of the rows where each flag is true.
+
+    Null texts count as empty.
+    """
 
     def start():
-        found: Counter = Counter()
+        found: dict[tuple, Counter] = {}
 
         def take():
-            out = [list(found.keys()), list(found.values())]
+            rows = [(u, *(n * f for f in flag)) for flag, c in found.items() for u, n in c.items()]
             found.clear()
-            return out
+            return list(zip(*rows)) if rows else None
 
         def work(*columns):
             if not columns:
                 return take()
-            for text in bytes_of(columns[0]):
-                found.update(split(text))
-            return take() if len(found) > GATHER else None
+            for flag, text in zip(zip(*(c.to_pylist() for c in columns[1:])), bytes_of(columns[0])):
+                found.setdefault(flag, Counter()).update(split(text))
+            return take() if sum(map(len, found.values())) > GATHER else None
 
         return work
 
-    parts = arrow_map(docs, ["text"], "unit binary, n long", start, finish=True)
-    return parts.groupBy("unit").agg(F.sum("n").alias("n"))
+    names = [f"n{k}" for k in range(len(flags))]
+    asked = [F.coalesce(f.cast("long"), F.lit(0).cast("long")).alias(n) for f, n in zip(flags, names)]
+    parts = arrow_map(docs, ["text", *asked], "unit binary, " + ", ".join(f"{n} long" for n in names), start, finish=True)
+    return parts.groupBy("unit").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln of the gamma function, for x > 0, by Stirling's series from x + 8 on."""
+    shifted = np.zeros_like(x)
+    for k in range(8):
+        shifted += np.log(x + k)
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shifted
 
 
-def document_sums(docs: DataFrame, split: Split, table: DataFrame, otherwise: tuple[float, int], head: int = HEAD) -> DataFrame:
+def urn_log10(strength: float, log10_p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log10 of the weights with which an urn of `strength` coloured by p gives one colour n times."""
+    p = strength * 10.0**log10_p
+    return np.log10(p) + np.where(n > 1, log_gamma(p + n) - log_gamma(p + 1), 0) / np.log(10)
+
+
+def document_sums(
+    docs: DataFrame, split: Split, table: DataFrame, urns: Sequence[float] = (), also: Sequence[str] = (), head: int = HEAD
+) -> DataFrame:
     """For each row of docs: doc_id, n_bytes, n_units, and the sums of `a` and `b` over its units.
 
-    table: (unit, n, a double, b long), one row per unit; a unit that it lacks has the values
-    `otherwise`. Rows are told apart by their place, so repeated rows and null ids stay.
+    table: (unit, n, a double, b long), one row for each unit of docs; the `head` of most n go
+    to all tasks. With urns (strengths), `a` is a log10 probability and urn_0, urn_1, ... are
+    the log10 probabilities of the text's units drawn from urns to which each drawn unit is
+    added. also: further columns (double) of the table to sum, as sum_<name>. Rows are told apart by their place, so repeated rows and null ids stay.
     """
     spark = docs.sparkSession
-    rows = table.select("unit", "n", "a", "b").orderBy(F.desc("n"), "unit").limit(head).select("unit", "a", "b").toPandas()
-    known = spark.sparkContext.broadcast({bytes(u): (a, b) for u, a, b in zip(rows.unit, rows.a.tolist(), rows.b.tolist())})
+    rows = table.select("unit", "n", "a", "b", *also).orderBy(F.desc("n"), "unit").limit(head).drop("n").toPandas()
+    values_of = [rows[c].to_numpy(np.int64 if c == "b" else float) for c in ("a", "b", *also)]
+    shared = spark.sparkContext.broadcast(({bytes(u): i for i, u in enumerate(rows["unit"])}, values_of))
+    names = [f"sum_{c}" for c in also] + [f"urn_{k}" for k in range(len(urns))]
 
     def start():
-        get = known.value.get
+        known, (value_a, value_b, *others) = shared.value
+        get = known.get
 
         def work(places, ids, texts):
-            out = []
-            for place, doc, text in zip(places.to_pylist(), ids.to_pylist(), bytes_of(texts)):
-                found = Counter(split(text))
-                total_a, total_b, count = 0.0, 0, 0
-                for unit, n in found.items():
-                    count += n
-                    value = get(unit)
-                    if value is None:
-                        out.append((place, unit, 0, n, None, None, 0.0, 0, 0))
-                    else:
-                        total_a += n * value[0]
-                        total_b += n * value[1]
-                # its own row: spread over partitions by its place, and without a match in the table
-                out.append((place, b"%d" % place, 1, 0, doc, len(text), total_a, total_b, count))
-            return list(zip(*out)) if out else None
+            whole = bytes_of(texts)
+            if not whole:
+                return None
+            found = [Counter(split(t)) for t in whole]
+            owner = np.repeat(np.arange(len(whole)), [len(c) for c in found])
+            units = list(chain.from_iterable(found))
+            times = np.fromiter(chain.from_iterable(c.values() for c in found), np.int64, len(units))
+            rank = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
+            total = lambda weights, own=owner: np.bincount(own, weights, len(whole))
+            count = total(times)
+            here, there = np.flatnonzero(rank >= 0), np.flatnonzero(rank < 0)
+            n, a, own = times[here], value_a[rank[here]], owner[here]
+            places = np.asarray(places)
+            sums = [total(n * a, own), total(n * value_b[rank[here]], own)]
+            sums += [total(n * v[rank[here]], own) for v in others]
+            sums += [total(urn_log10(s, a, n), own) - (log_gamma(s + count) - log_gamma(np.full(len(whole), s))) / np.log(10) for s in urns]
+            rest = len(there)
+            # a document's own row is spread over partitions by its place, and has no match in the table
+            return [
+                np.r_[places[owner[there]], places],
+                [units[i] for i in there.tolist()] + [b"%d" % p for p in places.tolist()],
+                np.r_[np.zeros(rest, np.int32), np.ones(len(whole), np.int32)],
+                np.r_[times[there], np.zeros(len(whole), np.int64)],
+                [None] * rest + ids.to_pylist(),
+                [None] * rest + [len(t) for t in whole],
+                np.r_[np.zeros(rest, np.int64), count.astype(np.int64)],
+                np.r_[np.zeros(rest), sums[0]],
+                np.r_[np.zeros(rest, np.int64), sums[1].astype(np.int64)],
+                *(np.r_[np.zeros(rest), s] for s in sums[2:]),
+            ]
 
         return work
 
     parts = arrow_map(
         docs.select(F.monotonically_increasing_id().alias("place"), F.col("doc_id").cast("long").alias("doc_id"), "text"),
         ["place", "doc_id", "text"],
-        "place long, unit binary, own int, times long, doc_id long, n_bytes long, sum_a double, sum_b long, n_units long",
+        "place long, unit binary, own int, times long, doc_id long, n_bytes long, n_units long, sum_a double, sum_b long"
+        + "".join(f", {n} double" for n in names),
         start,
     )
-    a0, b0 = otherwise
-    values = table.select("unit", F.lit(0).alias("own"), "a", "b")
+    values = table.select("unit", F.lit(0).alias("own"), "a", "b", *also)
+
+    def urn(name: str, strength: float) -> Column:
+        p = f"({strength}D * power(10D, a))"
+        again = f"if(times > 1, aggregate(sequence(1L, times - 1), 0D, (t, j) -> t + log10({p} + j)), 0D)"
+        return F.sum(F.col(name) + F.coalesce(F.expr(f"if(own = 0, log10({p}) + {again}, 0D)"), F.lit(0.0))).alias(name)
+
     return (
         parts.join(values, ["unit", "own"], "left")
         .groupBy("place")
@@ -93,8 +143,10 @@ def document_sums(docs: DataFrame, split: Split, table: DataFrame, otherwise: tu
             F.max("doc_id").alias("doc_id"),
             F.max("n_bytes").alias("n_bytes"),
             F.sum("n_units").alias("n_units"),
-            F.sum(F.col("sum_a") + F.col("times") * F.coalesce("a", F.lit(float(a0)))).alias("sum_a"),
-            F.sum(F.col("sum_b") + F.col("times") * F.coalesce("b", F.lit(int(b0)))).alias("sum_b"),
+            F.sum(F.col("sum_a") + F.col("times") * F.coalesce("a", F.lit(0.0))).alias("sum_a"),
+            F.sum(F.col("sum_b") + F.col("times") * F.coalesce("b", F.lit(0))).alias("sum_b"),
+            *(F.sum(F.col(f"sum_{c}") + F.col("times") * F.coalesce(c, F.lit(0.0))).alias(f"sum_{c}") for c in also),
+            *(urn(n, s) for n, s in zip(names[len(also) :], urns)),
         )
         .drop("place")
     )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +88,25 @@ def apply_policy(ledger: DataFrame, version: int = POLICY) -> DataFrame:
     )
 
 
+def keep(docs: DataFrame, version: int = POLICY) -> DataFrame:
+    """The rows of docs that a policy keeps, with all their columns; judged in place, nothing is shuffled."""
+
+    @F.pandas_udf("struct<" + ", ".join(f"{m}: long" for m in MEASURES) + ">")
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measure((t or "").encode(), len(t or "")) for t in texts], columns=list(MEASURES))
+
+    mask = POLICIES[version] | BASE_MASK
+    name = "_measured"
+    while name in docs.columns:
+        name += "_"
+    rows = docs.withColumn(name, measured(F.col("text")))
+    for _, rule in (r for bit, r in RULES.items() if mask >> bit & 1):
+        for m in MEASURES:
+            rule = re.sub(rf"\b{m}\b", f"{name}.{m}", rule)
+        rows = rows.where(~F.expr(rule))
+    return rows.select(*[rows[c] for c in docs.columns])
+
+
 def ablations(ledger: DataFrame, version: int = POLICY) -> DataFrame:
     """For each rule of a policy: rows that fail it, and rows that it alone rejects.
 

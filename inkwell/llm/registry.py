@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, licenses, packing, pii, quality_model, quality_rules, simhash, token_counts
+from . import context_mixing, decontamination, language, licenses, packing, pii, quality_model, quality_rules, simhash, token_counts
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_decontamination": decontamination.query,
     "op7_quality_model": quality_model.query,
     "op8_quality_rules": quality_rules.query,
+    "op9_context_mixing": context_mixing.query,
     "op10_packing": packing.query,
 }
 ORACLES = {"op5_licenses": licenses.ORACLE, "op8_quality_rules": quality_rules.ORACLE}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,19 +19,27 @@ SEED = 42
 DISTANCE = 3
 #: Rows of one table entry that are compared in one task; larger entries are cut in blocks.
 BLOCK = 4096
+#: For similarity instead of a fixed distance: fingerprints of 4 times 64 bits. The first 64 are the
+#: index, in four segments; two segments at most 2 bits apart meet where each has one flipped, so
+#: all pairs up to 11 of 64 bits apart are compared, over all 256 bits.
+LANES = 4
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
 
 
-def fingerprint(text: bytes, n: int = WORDS) -> int:
-    """The 64-bit SimHash of a text (UTF-8): a bit is set if it is set in over half the shingle hashes."""
+def shingle_hashes(text: bytes, n: int) -> np.ndarray:
+    """XXH64 of the n-word shingles of a text (UTF-8), A-Z in lower case; of all words if they are fewer."""
     words = text.lower().split()
-    if not words:
-        return 0
     if len(words) <= n:
-        shingles = [b" ".join(words)]
+        shingles = [b" ".join(words)] if words else []
     else:
         shingles = list(map(b" ".join, zip(*(words[k:] for k in range(n)))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), "<u8", len(shingles))
+    return np.fromiter((digest(s, SEED) for s in shingles), "<u8", len(shingles))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Each of 64 bits is set if it is set in over half the hashes; zero if there are none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)]
@@ -38,6 +47,21 @@ def fingerprint(text: bytes, n: int = WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, n: int = WORDS) -> int:
+    """The 64-bit SimHash of a text."""
+    return majority(shingle_hashes(text, n))
+
+
+def wide_fingerprint(text: bytes, n: int) -> list[int]:
+    """LANES SimHashes, of the shingle hashes and of further hashes of these."""
+    out, h = [], shingle_hashes(text, n)
+    for _ in range(LANES):
+        out.append(majority(h))
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    return out
+
+
 def fingerprints(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """place (a number for the row), doc_id, fp (the fingerprint as a signed long)."""
 
@@ -73,52 +97,64 @@ def index_rows(prints: DataFrame) -> DataFrame:
     )
 
 
-def linked_within(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links that span the same components as all pairs of prints at most `distance` bits apart."""
-    left, out = prints, []
+def similar_rows(prints: DataFrame) -> DataFrame:
+    """(segment, entry, node, lanes): each fingerprint under every entry at most 1 bit from its four segments."""
+    j = F.col("j")
+    value = F.expr("shiftrightunsigned(l0, 16 * cast(j / 17 as int)) & 65535")
+    flip = F.when(j % 17 == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, cast(j % 17 - 1 as int))"))
+    lanes = [f"l{k}" for k in range(LANES)]
+    return prints.select(F.explode(F.sequence(F.lit(0), F.lit(67))).alias("j"), "node", *lanes).select(
+        (j / 17).cast("int").alias("segment"), value.bitwiseXOR(flip).alias("entry"), "node", *lanes
+    )
+
+
+def linked_within(nodes: np.ndarray, lanes: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Links that span the same components as all pairs whose lanes are at most `distance` bits apart."""
+    left, out = np.arange(len(nodes)), []
     while len(left) > 1:
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             one = todo.pop()
-            near = np.bitwise_count(left ^ one) <= distance
+            near = np.bitwise_count(lanes[left] ^ lanes[one]).sum(1) <= distance
             if near.any():
                 found = left[near]
-                out += [(int(one), int(x)) for x in found]
+                out += [(int(nodes[one]), int(x)) for x in nodes[found]]
                 todo.extend(found)
                 left = left[~near]
     return out
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between distinct fingerprints; all within `distance` are connected through them.
+def links(rows: DataFrame, node: str, lanes: list[str], distance: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between nodes; all that share an entry within `distance` bits are connected through them.
 
-    Each table entry is compared in one task, in blocks and pairs of blocks where it has more
-    than `block` rows; a comparison passes on only as many links as span what it found.
+    rows: segment, entry, node and lanes. Each table entry is compared in one task, in blocks
+    and pairs of blocks where it has more than `block` rows; a comparison passes on only as
+    many links as span what it found.
     """
-    if not 0 <= distance <= 3:
-        raise ValueError("two segments with balls of radius 1 serve distances up to 3")
-    rows = index_rows(prints)
     blocks = (
         rows.groupBy("segment", "entry").agg(F.count("*").alias("n")).where(F.col("n") > block)
         .select("segment", "entry", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     )
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
+    one = F.col("blocks").isNull()
     dealt = (
         rows.join(blocks, ["segment", "entry"], "left")
-        .withColumn("own", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(own))
-        .withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-        .select("segment", "entry", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
+        .withColumn("own", F.when(one, F.lit(0)).otherwise(own))
+        .withColumn("other", F.explode(F.when(one, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+        .select("segment", "entry", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col(node).alias("node"), *lanes)
     )
-    sorted_rows = dealt.repartition("segment", "entry", "x", "y").sortWithinPartitions("segment", "entry", "x", "y")
+    key = ["segment", "entry", "x", "y"]
+    sorted_rows = dealt.repartition(*key).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.empty((5, 0), np.int64)
+        kept = np.empty((5 + len(lanes), 0), np.int64)
 
         def found(rows: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
             pairs = []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if b - a > 1:
-                    pairs += linked_within(np.unique(rows[4, a:b]), distance)
+            for k in np.flatnonzero(np.diff(cuts) > 1):
+                nodes, first = np.unique(rows[4, cuts[k] : cuts[k + 1]], return_index=True)
+                if len(nodes) > 1:
+                    pairs += linked_within(nodes, rows[5:, cuts[k] + first].T.copy(), distance)
             a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -142,20 +178,59 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, distance: int = DISTANCE) -
     and empty texts have the fingerprint zero and are linked like any other; repeated rows
     share a component; other columns are ignored; an empty table gives no rows.
     """
+    if not 0 <= distance <= 3:
+        raise ValueError("two segments with balls of radius 1 serve distances up to 3")
     rows = written(fingerprints(docs, n))
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(prints, distance)).withColumnRenamed("node", "fp")
-    placed = prints.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    found = links(index_rows(prints).withColumn("lane", F.col("fp")), "fp", ["lane"], distance)
+    return _grouped(rows, prints, found, "fp").select("place", "doc_id", "fp", "component_id")
+
+
+def _grouped(rows: DataFrame, prints: DataFrame, found: DataFrame, node: str) -> DataFrame:
+    """rows with component_id: the least of `least` of the prints that links connect."""
+    roots = components(found).withColumnRenamed("node", node)
+    placed = prints.join(roots, node, "left").select(node, "least", F.coalesce("root", node).alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("place", "doc_id", "fp", "component_id")
+    return rows.join(placed.join(least, "root").select(node, "component_id"), node)
+
+
+def similar_groups(docs: DataFrame, n: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """place, doc_id, component_id: one row per input row, as near_duplicates, but linked by similarity.
+
+    Texts are linked if the angle that their wide fingerprints show is that of two equally
+    large shingle sets with Jaccard similarity `similarity` or more.
+    """
+    cosine = 2 * similarity / (1 + similarity)
+    most = int(64 * LANES * math.acos(cosine) / math.pi)
+    lanes = [f"l{k}" for k in range(LANES)]
+
+    def start():
+        def work(places, ids, texts):
+            wide = np.array([wide_fingerprint(x, n) for x in bytes_of(texts)], np.uint64).reshape(-1, LANES)
+            node = np.zeros(len(wide), np.uint64)
+            for lane in wide.T:
+                node = (node ^ lane) * np.uint64(0x9E3779B97F4A7C15)
+                node ^= node >> np.uint64(32)
+            return [places, ids, node.view("<i8"), *(x.copy().view("<i8") for x in wide.T)]
+
+        return work
+
+    rows = written(
+        arrow_map(
+            docs.select(F.monotonically_increasing_id().alias("place"), F.col("doc_id").cast("long").alias("doc_id"), "text"),
+            ["place", "doc_id", "text"],
+            "place long, doc_id long, node long, " + ", ".join(f"{x} long" for x in lanes),
+            start,
+        )
+    )
+    prints = written(rows.groupBy("node", *lanes).agg(F.min("doc_id").alias("least")))
+    return _grouped(rows, prints, links(similar_rows(prints), "node", lanes, most), "node").select("place", "doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, n: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs, one of each component: the one of least doc_id, and of its repeats the first."""
-    found = near_duplicates(docs, n, distance)
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs, one of each component of found: the one of least doc_id, and of its repeats the first."""
     first = found.groupBy(F.col("component_id").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("m"))
-    kept = first.select(F.col("m.place").alias("place"))
-    gone = found.select("place").join(kept, "place", "left_anti")
+    gone = found.select("place").join(first.select(F.col("m.place").alias("place")), "place", "left_anti")
     mark = "_place"
     while mark in docs.columns:
         mark += "_"
@@ -163,6 +238,11 @@ def drop_near_duplicates(docs: DataFrame, n: int = WORDS, distance: int = DISTAN
     return placed.join(gone.withColumnRenamed("place", mark), mark, "left_anti").select(*[placed[c] for c in docs.columns])
 
 
+def drop_near_duplicates(docs: DataFrame, n: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs, one of each group of similar texts; all columns stay."""
+    return keep_first(docs, similar_groups(docs, n, similarity))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
