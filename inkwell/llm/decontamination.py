@@ -19,6 +19,8 @@ SIMILARITY = 0.8
 RECALL = 0.99
 #: Steps of a walk and coordinates sampled of it, for items of at least so many words.
 WALKS = ((14, 5), (6, 4), (2, 2), (1, 1))
+#: Items of so many words have enough windows that a similar passage is met by several of them.
+MANY_WINDOWS, LEAST_WINDOWS = 20, 3
 #: Bytes of items that are held in a task at once; more are searched in blocks, one after another.
 BLOCK_BYTES = 8 << 20
 
@@ -90,6 +92,18 @@ def distance_within(item: str, text: str, most: int) -> int | None:
     return least if least <= most else None
 
 
+def agreeing(hits: list[tuple[int, int]], gap: int, least: int) -> Iterator[tuple[int, int]]:
+    """First and last begin of each run of hits (begin of the item, window) whose begins lie close, if from `least` windows."""
+    run: list[tuple[int, int]] = []
+    for hit in [*hits, None]:
+        if run and (hit is None or hit[0] - run[-1][0] > gap):
+            if len({p for _, p in run}) >= least:
+                yield run[0][0], run[-1][0]
+            run = []
+        if hit is not None:
+            run.append(hit)
+
+
 class Items:
     """Items of one block, with LSH tables of the windows at each of their word offsets."""
 
@@ -128,7 +142,7 @@ class Items:
         if not total or not self.tables:
             return []
         text, first = np.concatenate([*parts, np.zeros(pad, np.uint32)]), np.array(first)
-        seen: dict[tuple[int, int], set[int]] = defaultdict(set)
+        seen: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
         for steps, samples, turn, keys, where, bits in self.tables:
             own, _ = walk_keys(text, total, steps, samples, turn)
             hits = np.flatnonzero(bits.take(own & np.uint32((1 << 20) - 1)))
@@ -136,18 +150,14 @@ class Items:
             for p, x, y in zip(hits[a < b].tolist(), a[a < b].tolist(), b[a < b].tolist()):
                 d = int(np.searchsorted(first, p, "right")) - 1
                 for i, o in where[x:y].tolist():
-                    seen[d, i].add(p - int(first[d]) - o)
+                    seen[d, i].add((p - int(first[d]) - o, p))
         out = []
         for (d, i), begins in seen.items():
             slack = self.most[i] + 2  # an edit moves the window by a word at most
             size = len(self.words[i])
-            best, done = None, None
-            for begin in sorted(begins):
-                if done is not None and begin <= done:
-                    continue  # the part already compared holds this window
-                lo, hi = max(0, begin - slack), begin + size + 2 * slack
-                done = begin + slack
-                found = distance_within(self.texts[i], b" ".join(docs[d][lo:hi]).decode(), self.most[i])
+            best = None
+            for begin, end in agreeing(sorted(begins), max(2, size // 5), 1 if size < MANY_WINDOWS else LEAST_WINDOWS):
+                found = distance_within(self.texts[i], b" ".join(docs[d][max(0, begin - slack) : end + size + slack]).decode(), self.most[i])
                 if found is not None and (best is None or found < best[0]):
                     best = (found, max(0, begin))
                     if not found:
