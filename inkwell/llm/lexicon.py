@@ -53,6 +53,18 @@ def count_units(docs: DataFrame, split: Split, flags: Sequence[Column]) -> DataF
     return parts.groupBy("unit").agg(*(F.sum(n).alias(n) for n in names))
 
 
+def frequent(table: DataFrame, most: int) -> DataFrame:
+    """The rows of table whose n is so large that at most `most` rows have as much."""
+    steps = table.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n")).collect()
+    left, least = most, None
+    for step in steps:
+        left -= step["rows"]
+        if left < 0:
+            break
+        least = step["n"]
+    return table.where(F.col("n") >= F.lit(least)) if least is not None else table.limit(0)
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln of the gamma function, for x > 0, by Stirling's series from x + 8 on."""
     shifted = np.zeros_like(x)
@@ -73,15 +85,16 @@ def document_sums(
 ) -> DataFrame:
     """For each row of docs: doc_id, n_bytes, n_units, and the sums of `a` and `b` over its units.
 
-    table: (unit, n, a double, b long), one row for each unit of docs; the `head` of most n go
-    to all tasks. With urns (strengths), `a` is a log10 probability and urn_0, urn_1, ... are
+    table: (unit, n, a double, b long), one row for each unit of docs; those of most n, at most
+    `head`, go to all tasks. With urns (strengths), `a` is a log10 probability and urn_0, urn_1, ... are
     the log10 probabilities of the text's units drawn from urns to which each drawn unit is
     added. also: further columns (double) of the table to sum, as sum_<name>. Rows are told apart by their place, so repeated rows and null ids stay.
     """
     spark = docs.sparkSession
-    rows = table.select("unit", "n", "a", "b", *also).orderBy(F.desc("n"), "unit").limit(head).drop("n").toPandas()
-    values_of = [rows[c].to_numpy(np.int64 if c == "b" else float) for c in ("a", "b", *also)]
-    shared = spark.sparkContext.broadcast(({bytes(u): i for i, u in enumerate(rows["unit"])}, values_of))
+    rows = frequent(table, head).select("unit", "a", "b", *also).toArrow()
+    values_of = [rows[c].to_numpy() for c in ("a", "b", *also)]
+    shared = spark.sparkContext.broadcast(({u: i for i, u in enumerate(rows["unit"].to_pylist())}, values_of))
+    del rows
     names = [f"sum_{c}" for c in also] + [f"urn_{k}" for k in range(len(urns))]
 
     def start():
