@@ -20,11 +20,11 @@ def host(c: Column) -> Column:
     return F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
 
 
-def is_detail(c: Column, host_suffix: str) -> Column:
+def is_detail(c: Column, host_suffix: str, markers: tuple[str, ...] = DETAIL_MARKERS) -> Column:
     """A page of content, on a host with that suffix or on none."""
     near = (host(c) == "") | F.endswith(host(c), F.lit(host_suffix))
     marked = F.lit(False)
-    for m in DETAIL_MARKERS:
+    for m in markers:
         marked = marked | F.contains(F.lower(c), F.lit(m))
     return near & marked
 

@@ -1,6 +1,480 @@
-"""Registry of the queries on the supplied tables, and the SQL that checks them."""
+"""Registry of the queries on the supplied tables, and the DuckDB SQL that checks them.
+
+Documents stand for transcripts (source as column, doc_id as item), pages for crawled pages,
+events for the log of runs (a day is a run, a user an item).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkwell.functions import text, urls
+from inkwell.operators import identity, notes, pages, state
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+NOISE = ("the", "token")
+WS = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
+LB = r"\r\n|[\n\x{0b}\x{0c}\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def _squash(x: str) -> str:
+    return _strip(f"regexp_replace({x}, '{WS}+', ' ', 'g')")
+
+
+def _lines(x: str) -> str:
+    return f"list_filter(list_transform(regexp_split_to_array({x}, '{LB}'), lambda l: {_squash('l')}), lambda l: l <> '')"
+
+
+_NORM = f"array_to_string({_lines('text')}, chr(10) || chr(10))"
+_HITS = " + ".join(f"(length(body) - length(replace(body, '{w}', ''))) // {len(w)}" for w in NOISE)
+_FIRST = "regexp_extract(text, '^[^\\n]*')"
+_BREAK = r"([\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}·\-—：:，,。？！!?｜|《》【】（）()])+"
+_TERMS = f"list_filter(regexp_split_to_array(title, '{_BREAK}'), lambda t: length(t) >= 2)[1:4]"
+_GATE = f"""select doc_id, source, length(body)::bigint as chars, n as paragraphs, hits as noise_hits,
+  case when length(body) < 300 then 'too_short' when n < 3 then 'too_few_paragraphs'
+    when hits / greatest(n, 1) > 12.0 then 'too_much_ui_noise'
+    when len({_TERMS}) > 0 and len(list_filter({_TERMS}, lambda t: contains(body, t))) = 0 then 'title_not_related' end as reason
+  from (select doc_id, source, body, title, n, ({_HITS})::bigint as hits
+    from (select doc_id, source, {_NORM} as body, {_FIRST} as title, len({_lines('text')})::bigint as n from documents))"""
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _gated(spark: SparkSession, d: str) -> DataFrame:
+    rows = _docs(spark, d).select("doc_id", "source", text.normalize(F.col("text")).alias("body"), F.regexp_extract("text", r"^[^\n]*", 0).alias("title"))
+    q = pages.gate(F.col("body"), F.col("title"), noise=12.0, words=NOISE)
+    return rows.select("doc_id", "source", q.alias("q")).select("doc_id", "source", "q.chars", "q.paragraphs", "q.noise_hits", "q.reason")
+
+
+query("quality_gate", _GATE)(_gated)
+
+
+@query("quality_reason_counts", f"select coalesce(reason, 'ok') as reason, count(*) as n from ({_GATE}) group by 1")
+def _(spark, d):
+    return _gated(spark, d).groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("gate_vs_labels", f"select quality, reason is null as ok, count(*) as n from ({_GATE}) left join labels using (doc_id) group by 1, 2")
+def _(spark, d):
+    labels = table(spark, d, "labels").select("doc_id", "quality")
+    return _gated(spark, d).join(labels, "doc_id", "left").groupBy("quality", F.col("reason").isNull().alias("ok")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "best_candidate_per_source",
+    f"""select source, doc_id, score from (select source, doc_id, chars + 50 * paragraphs - 200 * noise_hits + case when reason is null then 10000 else 0 end as score,
+    row_number() over (partition by source order by reason is null desc, chars + 50 * paragraphs - 200 * noise_hits desc, doc_id) as r from ({_GATE})) where r = 1""",
+)
+def _(spark, d):
+    q = _gated(spark, d).withColumn("ok", F.col("reason").isNull())
+    score = pages.quality_score(F.struct("chars", "paragraphs", "noise_hits", "ok"))
+    best = F.struct(F.col("ok"), score.alias("score"), (-F.col("doc_id")).alias("id"))
+    return q.groupBy("source").agg(F.max(best).alias("b")).select("source", (-F.col("b.id")).alias("doc_id"), "b.score")
+
+
+@query(
+    "normalize_paragraph_stats",
+    f"select doc_id, len({_lines('text')})::bigint as paragraphs, length({_NORM})::bigint as chars, sha256({_NORM}) as body_hash from documents",
+)
+def _(spark, d):
+    body = text.normalize(F.col("text"))
+    return _docs(spark, d).select("doc_id", F.size(text.paragraphs(F.col("text"))).cast("long").alias("paragraphs"), F.length(body).cast("long").alias("chars"), text.content_hash(body).alias("body_hash"))
+
+
+@query("content_hash_dups", "select sha256(text) as content_hash, count(*) as n, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
+def _(spark, d):
+    rows = _docs(spark, d).groupBy(text.content_hash(F.col("text")).alias("content_hash"))
+    return rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("dedup_keep_first", "select doc_id, source from documents qualify row_number() over (partition by sha256(text) order by doc_id) = 1")
+def _(spark, d):
+    rows = _docs(spark, d).select("doc_id", "source", text.content_hash(F.col("text")).alias("h"))
+    return rows.groupBy("h").agg(F.min(F.struct("doc_id", "source")).alias("m")).select("m.*")
+
+
+_VISIBLE = _strip(r"regexp_replace(regexp_replace(regexp_replace(text, '[ \t\r\f\x{0b}]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')")
+
+
+@query("visible_text", f"select doc_id, sha256({_VISIBLE}) as h, length({_VISIBLE})::bigint as n from documents")
+def _(spark, d):
+    v = text.visible(F.col("text"))
+    return _docs(spark, d).select("doc_id", text.content_hash(v).alias("h"), F.length(v).cast("long").alias("n"))
+
+
+_CLEAN = _strip(rf"regexp_split_to_array({_squash('text')}, '{WS}*[-_|]{WS}*')[1]")
+
+
+@query("clean_title", f"select doc_id, {_CLEAN} as title from documents")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", text.clean_title(F.col("text")).alias("title"))
+
+
+@query("title_terms", f"select doc_id, array_to_string({_TERMS}, '/') as terms from (select doc_id, {_FIRST} as title from documents)")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(text.title_terms(F.regexp_extract("text", r"^[^\n]*", 0)), "/").alias("terms"))
+
+
+def _file(x: str, n: int = 80) -> str:
+    c = f"regexp_replace(regexp_replace(regexp_replace({x}, '[<>:\"/\\\\|?*\\x00-\\x1f]', ' ', 'g'), '{WS}+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g')"
+    c = f"case when {c} = '' then 'untitled' else {c} end"
+    names = ", ".join(f"'{x}'" for x in text.RESERVED_NAMES)
+    return f"(select case when length(v) > {n} then regexp_replace(left(v, {n}), '[ .]+$', '') else v end from (select case when upper(u) in ({names}) then '_' || u else u end as v from (select {c} as u)))"
+
+
+@query("filename_sanitize", f"select doc_id, {_file('text')} as name from documents")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", text.file_name(F.col("text")).alias("name"))
+
+
+_DAY = "strftime(date '2024-01-01' + (doc_id % 700)::int, '%Y-%m-%d')"
+
+
+@query(
+    "note_path",
+    f"""select doc_id, case when length(w) > 100 then f || '/' || {_file('source')} || '-' || day || '-' || {_file('text', 40)} || '-' || left(sha256(text), 8) || '.md' else w end as path
+    from (select *, f || '/' || {_file('source')} || '-' || day || '-' || {_file('text')} || '.md' as w
+    from (select *, 'notes/' || {_file('source')} || '/' || left(day, 4) as f from (select doc_id, text, source, {_DAY} as day from documents)))""",
+)
+def _(spark, d):
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 700).cast("int")), "yyyy-MM-dd")
+    return _docs(spark, d).select("doc_id", notes.path("notes", F.col("source"), day, F.col("text"), F.left(text.content_hash(F.col("text")), F.lit(8)), 100).alias("path"))
+
+
+_SECRET = "text || ' api_key: ' || doc_id || 'abc, Cookie: id=' || doc_id || chr(10) || 'Bearer tok' || doc_id || ' secret=\"x' || doc_id || '\" authorization: basic u' || doc_id"
+
+
+def _redacted() -> str:
+    out = "t"
+    for p in text.SECRETS:
+        p = p.replace(r"(?!Bearer\s+)", "").replace("'", "''")
+        out = f"regexp_replace({out}, '{p}', '\\1[REDACTED]', 'g')"
+    return out
+
+
+@query("redact_text", f"select doc_id, sha256({_redacted()}) as h, length({_redacted()})::bigint as n from (select doc_id, {_SECRET} as t from documents)")
+def _(spark, d):
+    made = F.expr(_SECRET.replace("chr(10)", "char(10)"))
+    return _docs(spark, d).select("doc_id", text.redact(made).alias("t")).select("doc_id", text.content_hash(F.col("t")).alias("h"), F.length("t").cast("long").alias("n"))
+
+
+_MARKERS = " ".join(f"when contains(l, '{m}') then '{r}'" for m, r in pages.BLOCKED_MARKERS.items())
+
+
+@query("policy_html", f"select page_id, case {_MARKERS} end as reason from (select page_id, lower(html || case when page_id % 5 = 0 then ' PlayReady' when page_id % 7 = 0 then '#EXT-X-KEY' else '' end) as l from pages)")
+def _(spark, d):
+    html = F.concat("html", F.when(F.col("page_id") % 5 == 0, " PlayReady").when(F.col("page_id") % 7 == 0, "#EXT-X-KEY").otherwise(""))
+    return table(spark, d, "pages").select("page_id", pages.blocked_page(html).alias("reason"))
+
+
+_PATH = r"regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '^/+|/+$', '', 'g')"
+
+
+@query("url_extract_id", rf"select page_id, case when regexp_extract(url, '[?&]id=([^&#]+)', 1) <> '' then regexp_extract(url, '[?&]id=([^&#]+)', 1) when {_PATH} <> '' then regexp_extract({_PATH}, '[^/]*$') end as id from pages")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.extract_id(F.col("url")).alias("id"))
+
+
+_STEM = r"lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) || regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1)"
+_QUERY = r"array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '')), '&')"
+_URL = f"select page_id, {_STEM} || case when {_QUERY} = '' then '' else '?' || {_QUERY} end as url from pages"
+
+
+@query("url_normalize_native", _URL)
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.normalize_absolute(F.col("url")).alias("url"))
+
+
+@query("url_resolve", _URL)
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.resolve(F.col("url"), F.col("url")).alias("url"))
+
+
+@query("url_dedup", f"select url, min(page_id) as page_id, count(*) as n from ({_URL}) group by url")
+def _(spark, d):
+    rows = table(spark, d, "pages").select("page_id", urls.normalize_absolute(F.col("url")).alias("url"))
+    return rows.groupBy("url").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
+
+
+_HOST = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+
+
+@query("detail_url_filter", f"select page_id, url from pages where ({_HOST} = '' or ends_with({_HOST}, 'example.com')) and regexp_matches(lower(url), '/en/|page=')")
+def _(spark, d):
+    return table(spark, d, "pages").where(urls.is_detail(F.col("url"), "example.com", ("/en/", "page="))).select("page_id", "url")
+
+
+@query("http_urls", "select page_id from pages where regexp_matches(url, '^https?://[^/?#]+')")
+def _(spark, d):
+    return table(spark, d, "pages").where(urls.is_http(F.col("url"))).select("page_id")
+
+
+_PREVIEW = f"case when length({_squash('text')}) > 80 then left({_squash('text')}, 80) || '...' else {_squash('text')} end"
+_SLUG = "regexp_replace(regexp_replace(left(text, 60), '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+@query("preview_slug", f"select doc_id, {_PREVIEW} as preview, case when {_SLUG} = '' then 'page' else {_SLUG} end as slug from documents")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", text.preview(F.col("text"), 80).alias("preview"), text.slug(F.left("text", F.lit(60))).alias("slug"))
+
+
+@query(
+    "publish_time_format",
+    """select event_id, case when event_id % 11 = 0 then null when event_id % 7 = 0 then 'soon'
+    else strftime(to_timestamp(epoch(ts)::bigint) at time zone 'Asia/Shanghai', '%Y-%m-%d') end as day from events""",
+)
+def _(spark, d):
+    given = F.when(F.col("event_id") % 11 == 0, "0").when(F.col("event_id") % 7 == 0, " soon ").otherwise(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long").cast("string"))
+    return table(spark, d, "events").select("event_id", text.publish_date(given).alias("day"))
+
+
+@query(
+    "truncation_tiers",
+    """select conv_id, turn, length(left(text, 2500))::bigint as a, length(left(text, 800))::bigint as b,
+    case when length(text) > 300 then text || chr(10) || chr(10) || '注：本文摘要基于截断原文生成。' else text end as note
+    from (select conv_id, turn, """ + _strip("text") + " as text from conversations)",
+)
+def _(spark, d):
+    t = text.strip(F.col("text"))
+    return table(spark, d, "conversations").select(
+        "conv_id", "turn", F.length(F.left(t, F.lit(2500))).cast("long").alias("a"), F.length(F.left(t, F.lit(800))).cast("long").alias("b"),
+        text.truncated_note(t, t, 300).alias("note"),
+    )
+
+
+# events as a log: a day is a run, a user an item, the kind of event an action
+_LOG = """select strftime(ts, '%Y-%m-%d') as run_id, user_id as item_id, event_id as seq, event_type as action,
+  case event_type when 'error' then 'failed' when 'signup' then 'missing_transcript' when 'view' then 'synced' when 'click' then 'synced' else 'skipped' end as status,
+  case when value > 40 then 'summary_failed' else 'ok' end as summary_status from events"""
+
+
+def _log(spark, d) -> DataFrame:
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "failed").when(kind == "signup", "missing_transcript").when(kind.isin("view", "click"), "synced").otherwise("skipped")
+    return table(spark, d, "events").select(
+        F.date_format("ts", "yyyy-MM-dd").alias("run_id"), F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"), kind.alias("action"),
+        status.alias("status"), F.when(F.col("value") > 40, "summary_failed").otherwise("ok").alias("summary_status"),
+    )
+
+
+_LAST = f"select * from ({_LOG}) qualify row_number() over (partition by run_id, item_id order by seq desc) = 1"
+
+
+@query("run_items_last_wins", _LAST)
+def _(spark, d):
+    return state.last_wins(_log(spark, d))
+
+
+_COUNTERS = ", ".join(f"count(*) filter (where {rule}) as {n}" for n, rule in state.COUNTERS.items())
+
+
+@query("run_counters", f"select *, case when failed_count + missing_transcript_count + summary_failed_count = 0 then 'success' else 'partial_failed' end as status from (select run_id, {_COUNTERS} from ({_LOG}) group by run_id)")
+def _(spark, d):
+    return state.run_counters(_log(spark, d))
+
+
+_ITEMS_SQL = """select doc_id as id, 'u' || doc_id as source_url, source as column_name, left(text, 30) as title, sha256(text) as content_hash, lang as item_key,
+  n_chars % 3 > 0 as has_transcript, case when n_chars % 2 = 0 then 'f' || doc_id end as file_path,
+  case n_chars % 5 when 0 then 'summary_failed' when 1 then null else 'ok' end as summary_status,
+  case n_chars % 4 when 0 then 'failed' when 1 then 'synced' when 2 then 'missing_transcript' else 'policy_blocked' end as status,
+  lpad(((n_chars * 7919) % 100000)::varchar, 6, '0') as updated_at from documents"""
+
+
+def _items(spark, d) -> DataFrame:
+    n = F.col("n_chars")
+    return _docs(spark, d).select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("u"), "doc_id").alias("source_url"), F.col("source").alias("column_name"), F.left("text", F.lit(30)).alias("title"),
+        text.content_hash(F.col("text")).alias("content_hash"), F.col("lang").alias("item_key"), (n % 3 > 0).alias("has_transcript"), F.when(n % 2 == 0, F.concat(F.lit("f"), "doc_id")).alias("file_path"),
+        F.when(n % 5 == 0, "summary_failed").when(n % 5 != 1, "ok").alias("summary_status"),
+        F.when(n % 4 == 0, "failed").when(n % 4 == 1, "synced").when(n % 4 == 2, "missing_transcript").otherwise("policy_blocked").alias("status"),
+        F.lpad(((n * 7919) % 100000).cast("string"), 6, "0").alias("updated_at"),
+    )
+
+
+@query("list_items_recent", f"select id, updated_at from ({_ITEMS_SQL}) order by updated_at desc nulls last, id desc limit 20")
+def _(spark, d):
+    return state.newest(_items(spark, d), "updated_at").select("id", "updated_at")
+
+
+@query("items_by_status", f"select id, status from ({_ITEMS_SQL}) where status in ('failed', 'missing_transcript', 'extractor_failed', 'summary_failed') order by updated_at nulls first, id limit 50")
+def _(spark, d):
+    return state.oldest_of(_items(spark, d), list(state.RETRY), 50).select("id", "status")
+
+
+@query("needs_summary", f"select id from ({_ITEMS_SQL}) where has_transcript and file_path is not null and (summary_status is null or summary_status = 'summary_failed')")
+def _(spark, d):
+    return state.needs_summary(_items(spark, d)).select("id")
+
+
+@query("run_items_join", f"select r.run_id, r.item_id, r.action, r.status as run_item_status, i.title, i.status from ({_LAST}) r left join ({_ITEMS_SQL}) i on i.id = r.item_id where r.run_id = (select min(run_id) from ({_LOG}))")
+def _(spark, d):
+    log = _log(spark, d)
+    first = log.agg(F.min("run_id")).first()[0]
+    own = state.last_wins(log.where(F.col("run_id") == first)).withColumn("message", F.lit(""))
+    return state.run_details(own, _items(spark, d), first).select("run_id", "item_id", "action", "run_item_status", "title", "status")
+
+
+@query("failures_by_status", f"select status, count(*) as n from ({_ITEMS_SQL}) where status <> 'synced' group by status")
+def _(spark, d):
+    return _items(spark, d).where("status <> 'synced'").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("failures_by_column", f"select column_name, count(*) as n from ({_ITEMS_SQL}) where status <> 'synced' group by column_name")
+def _(spark, d):
+    return _items(spark, d).where("status <> 'synced'").groupBy("column_name").agg(F.count("*").alias("n"))
+
+
+@query("titles_by_column", f"select column_name, string_agg(title, '|' order by id) as titles, count(*) as n from ({_ITEMS_SQL}) where status = 'failed' group by column_name")
+def _(spark, d):
+    return state.titles_by(_items(spark, d).where("status = 'failed'"), "column_name", "id", "title")
+
+
+@query(
+    "top10_with_remainder",
+    f"""select status, id, rank, greatest(n - 10, 0) as more from (select status, id, row_number() over (partition by status order by column_name, id)::int as rank,
+    count(*) over (partition by status) as n from ({_ITEMS_SQL})) where rank <= 10""",
+)
+def _(spark, d):
+    return state.top_details(_items(spark, d), "status", ["column_name", "id"]).select("status", "id", "rank", "more")
+
+
+_MESSAGE = """case event_type when 'error' then 'missing transcript for ' || user_id || ': kind ' || event_id % 3 when 'signup' then 'Summary failed once'
+  when 'view' then 'page fetch did fail' when 'click' then 'a Timeout' else 'fine' end"""
+
+
+@query(
+    "reason_categories",
+    f"""select category, count(*) as n from (select case when regexp_matches(m, '(?i)missing transcript.*:\\s*(.+)$') then trim(regexp_extract(m, '(?i)missing transcript.*:\\s*(.+)$', 1))
+    when regexp_matches(m, '(?i)(summary failed|summary_failed)') then 'summary_api_failure' when regexp_matches(m, '(?i)fetch.*fail|download.*fail|request.*fail') then 'fetch_failure'
+    when regexp_matches(m, '(?i)(timeout|retry|connection)') then 'network_issue' end as category from (select {_MESSAGE} as m from events)) where category is not null group by 1""",
+)
+def _(spark, d):
+    return state.reason_counts(table(spark, d, "events").select(F.expr(_MESSAGE).alias("message")))
+
+
+_INCOMING = f"select id, case when id % 6 = 0 then source_url else 'x' || id end as source_url, case when id % 6 = 1 then source_url end as canonical_url, case when id % 6 = 2 then item_key end as item_key, column_name, content_hash from ({_ITEMS_SQL}) where id % 2 = 0"
+_STATE = f"select id, source_url, source_url as canonical_url, item_key, column_name, content_hash from ({_ITEMS_SQL}) where id % 3 <> 1"
+_RESOLVED = f"""select i.*, coalesce(a.id, b.id, c.id, e.id) as existing_id,
+  case when a.id is not null then 'source_url' when b.id is not null then 'canonical_url' when c.id is not null then 'id' when e.id is not null then 'content_hash' end as match_kind
+  from ({_INCOMING}) i left join (select source_url, min(id) as id from ({_STATE}) group by 1) a on a.source_url = i.source_url
+  left join (select canonical_url, min(id) as id from ({_STATE}) group by 1) b on b.canonical_url = i.canonical_url
+  left join (select item_key, column_name, min(id) as id from ({_STATE}) group by 1, 2) c on c.item_key = i.item_key and c.column_name = i.column_name
+  left join (select content_hash, min(id) as id from ({_STATE}) group by 1) e on e.content_hash = i.content_hash"""
+
+
+def _incoming_and_state(spark, d) -> tuple[DataFrame, DataFrame]:
+    items, i = _items(spark, d), F.col("id")
+    incoming = items.where("id % 2 = 0").select(
+        "id", F.when(i % 6 == 0, F.col("source_url")).otherwise(F.concat(F.lit("x"), i)).alias("source_url"), F.when(i % 6 == 1, F.col("source_url")).alias("canonical_url"),
+        F.when(i % 6 == 2, F.col("item_key")).alias("item_key"), "column_name", "content_hash",
+    )
+    return incoming, items.where("id % 3 <> 1").select("id", "source_url", F.col("source_url").alias("canonical_url"), "item_key", "column_name", "content_hash")
+
+
+@query("identity_resolution", _RESOLVED)
+def _(spark, d):
+    return identity.resolve(*_incoming_and_state(spark, d))
+
+
+@query("new_items_anti", f"select id from ({_RESOLVED}) where existing_id is null")
+def _(spark, d):
+    return identity.new_items(*_incoming_and_state(spark, d)).select("id")
+
+
+@query("existing_semi", f"select id from ({_RESOLVED}) where existing_id is not null")
+def _(spark, d):
+    return identity.known_items(*_incoming_and_state(spark, d)).select("id")
+
+
+@query("limit_new_items", "select doc_id, source from (select doc_id, source, sum((doc_id % 3 = 0)::int) over (order by source, doc_id) as k from documents) where k <= 40")
+def _(spark, d):
+    rows = _docs(spark, d).select("doc_id", "source", (F.col("doc_id") % 3 == 0).alias("new"))
+    return identity.limit_new(rows, "new", ["source", "doc_id"], 40).select("doc_id", "source")
+
+
+@query("source_fallback", "select doc_id, source, lang from documents qualify dense_rank() over (partition by source order by lang) = 1")
+def _(spark, d):
+    return identity.first_source(_docs(spark, d).select("doc_id", "source", "lang"), "source", "lang")
+
+
+_UP_OLD = f"select id, source_url, item_key, source_url as canonical_url, column_name, title, null::varchar as published_at, null::varchar as synced_at, content_hash, status, file_path, has_transcript, has_transcript as transcribed, summary_status, null::varchar as error_message, '2024' as created_at, updated_at from ({_ITEMS_SQL}) where id % 3 <> 0"
+
+
+@query(
+    "upsert_items",
+    f"""with o as ({_UP_OLD}), c as (select *, case when id % 3 <> 0 then id end as existing_id from ({_ITEMS_SQL}) where id % 2 = 0),
+    u as (select o.id, o.source_url, o.title || case when c.id is null then '' else '!' end as title, case when c.id is null then o.status else 'synced' end as status,
+      coalesce(case when c.id % 4 = 0 then 'n' || c.id end, o.file_path) as file_path, case when c.id is not null then '2025' end as synced_at, case when c.id is null then o.updated_at else '2025' end as updated_at
+      from o left join c on c.existing_id = o.id)
+    select * from u union all select (select max(id) from o) + row_number() over (order by id), source_url, title || '!', 'synced', case when id % 4 = 0 then 'n' || id end, '2025', '2025' from c where existing_id is null""",
+)
+def _(spark, d):
+    items = _items(spark, d)
+    null = F.lit(None).cast("string")
+    full = items.withColumns({"canonical_url": F.col("source_url"), "published_at": null, "synced_at": null, "transcribed": F.col("has_transcript"), "error_message": null, "created_at": F.lit("2024")})
+    old = full.where("id % 3 <> 0").select(*state.ITEMS.names)
+    changed = full.where("id % 2 = 0").withColumns(
+        {
+            "seq": F.col("id"), "existing_id": F.when(F.col("id") % 3 != 0, F.col("id")), "status": F.lit("synced"), "title": F.concat("title", F.lit("!")),
+            "file_path": F.when(F.col("id") % 4 == 0, F.concat(F.lit("n"), "id")),
+        }
+    )
+    return state.upsert(old, changed, "2025").select("id", "source_url", "title", "status", "file_path", "synced_at", "updated_at")
+
+
+@query("read_back", "select doc_id, " + _strip("text") + " as transcript from documents")
+def _(spark, d):
+    note = F.concat(F.lit("# t\n## 全文稿\n\n"), "text", F.lit("\n"))
+    return _docs(spark, d).select("doc_id", notes.read_back(note).alias("transcript"))
+
+
+def _pages(spark, d):
+    return table(spark, d, "pages")
+
+
+QUERIES["page_extraction"] = lambda spark, d: pages.extract(_pages(spark, d))
+QUERIES["page_candidates"] = lambda spark, d: pages.candidates(pages.parsed(_pages(spark, d))).drop("body")
+QUERIES["page_metadata"] = lambda spark, d: pages.parsed(_pages(spark, d)).select("page_id", "title", "author", "published", F.length("visible").alias("visible_chars"))
+QUERIES["page_items"] = lambda spark, d: pages.listed_items(_pages(spark, d), "", ("http", "/"))
+
+
+@query("summary_parse")
+def _(spark, d):
+    s = notes.parse_summary(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", s.alias("s")).select("conv_id", "turn", "s.status", F.size("s.atomic_cards").alias("cards"), "s.permanent_note")
+
+
+@query("render_note")
+def _(spark, d):
+    n = F.lit(None).cast("string")
+    empty = F.lit(None).cast(notes.SUMMARY)
+    rows = _docs(spark, d).select(
+        "doc_id", F.regexp_extract("text", r"^[^\n]*", 0).alias("title"), F.col("source").alias("column_name"), n.alias("author"), n.alias("published_at"),
+        F.concat(F.lit("https://example.com/"), "doc_id").alias("url"), F.col("text").alias("transcript"), F.lit(True).alias("has_transcript"), empty.alias("summary"),
+    )
+    return rows.select("doc_id", notes.render(rows, "web", "2025-01-01T00:00:00+08:00").alias("note"))
