@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import arrow_map, bytes_of, read_table, written
 
@@ -24,33 +30,62 @@ REMEMBER = 400_000
 
 
 class WordIds:
-    """Ids of words, remembered. Pre-tokens never cross white space, so a text's ids are its words' ids in order."""
+    """Ids of words, remembered. Pre-tokens never cross white space, so a text's ids are its words' ids in order.
 
-    MARK = "|"
+    A word made of letter runs and other ASCII runs has its runs' ids in order, too: a
+    pre-token ends wherever letters do, but at an apostrophe. A run of letters is one
+    pre-token, so the model alone, without the library's normalizer, gives its ids.
+    """
+
+    RUNS = re.compile(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff]+")
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallel part
+        assert array("I").itemsize == 4
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
-        self.mark = self._encode(self.MARK)
-        assert len(self.mark) == 1
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        self.runs: dict[bytes, bytes] = {}
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(97, 123)}
+        # how the vocabulary writes each byte of letters beyond ASCII, from texts that hold it
+        for point in (*range(0xA0, 0x800), *range(0x800, 0x10000, 64), *range(0x10000, 0x110000, 4096)):
+            if not 0xD800 <= point < 0xE000:
+                self.shown |= dict(zip(chr(point).encode(), level.pre_tokenize_str(chr(point))[0][0]))
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, run: bytes) -> bytes | None:
+        """Ids of a run of letters; None if it holds anything else once it is normalized."""
+        if not run.isascii():
+            text = "".join(c.lower() for c in unicodedata.normalize("NFC", run.decode()))
+            shown = [self.shown.get(b) for b in text.encode()]
+            if not text.isalpha() or None in shown:
+                return None
+            return array("I", [t.id for t in self.model.tokenize("".join(shown))]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(run.decode())]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        if b"'" in word or b"<|" in word:
+            return self._encode(word.decode())
+        out, low = [], word.lower()
+        for run in (low,) if low.isalpha() else self.RUNS.findall(low):
+            ids = self.runs.get(run)
+            if ids is None:
+                ids = self._letters(run) if run[0] >= 97 and (run[0] <= 122 or run[0] >= 128) else self._encode(run.decode())
+                if ids is None:
+                    return self._encode(word.decode())
+                self.runs[run] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        new = list(words - self.known.keys())
-        plain = [w for w in new if b"|" not in w]
-        if plain:
-            # one call for all: the mark's id cannot come from a word without the mark
-            ids = self._encode(" | ".join(w.decode() for w in plain))
-            ends = np.flatnonzero(ids == self.mark[0]).tolist()
-            for word, a, b in zip(plain, [-1, *ends], [*ends, len(ids)], strict=True):
-                self.known[word] = ids[a + 1 : b].tobytes()
-        for word in new:
-            if b"|" in word:
-                self.known[word] = self._encode(word.decode()).tobytes()
+        for held in (self.known, self.runs):
+            if len(held) > REMEMBER:
+                held.clear()
+        for word in words - self.known.keys():
+            self.known[word] = self._word(word)
 
     def ids(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.known.__getitem__, words))
