@@ -134,3 +134,13 @@ def top_details(rows: DataFrame, section: str, order: list[str], most: int = 10)
 def titles_by(rows: DataFrame, key: str, order: str, title: str) -> DataFrame:
     """Titles of each key in order, as one text; bounded by what a report holds of a run."""
     return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, title))), lambda s: s[title]), "|").alias("titles"), F.count("*").alias("n"))
+
+
+def empty_columns(columns: DataFrame, items: DataFrame, key: str = "column_name") -> DataFrame:
+    """The columns for which no item was found."""
+    return columns.select(key).join(items.select(key), key, "left_anti").distinct()
+
+
+def repeated(rows: DataFrame, key: str) -> DataFrame:
+    """key and n, of the values that occur more than once."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.functions import text, urls
+from inkwell.functions import failures, text, urls
 from inkwell.operators import identity, notes, pages, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -377,6 +377,50 @@ def _(spark, d):
     return state.reason_counts(table(spark, d, "events").select(F.expr(_MESSAGE).alias("message")))
 
 
+_FAILED = "case event_id % 7 when 0 then 'ECONNRESET by peer' when 1 then 'net::ERR_CONNECTION_CLOSED' when 2 then 'request timed out' when 3 then 'Timeout after 9 s' when 4 then 'error code: 1010' end"
+_CODE = "cast(case event_id % 5 when 0 then 401 when 1 then 403 when 2 then 404 else 500 end as int)"
+
+
+def _like(parts: tuple[str, ...]) -> str:
+    return "(" + " or ".join(f"contains(lower(coalesce(m, '')), '{p}')" for p in parts) + ")"
+
+
+@query(
+    "failure_classes",
+    f"""select event_id, {_like(failures.TRANSIENT)} as transient, {_like(failures.SUMMARY_TRANSIENT)} as summary_transient, {_like(failures.SHORTER_RETRY)} as shorter,
+    case when code = 403 and contains(coalesce(m, ''), '1010') then 'blocked' when code = 401 then 'key' when code = 403 then 'access' when code = 404 then 'base_url' else '' end as hint
+    from (select event_id, {_FAILED} as m, {_CODE} as code from events)""",
+)
+def _(spark, d):
+    m, code = F.col("m"), F.col("code")
+    return table(spark, d, "events").select("event_id", F.expr(_FAILED).alias("m"), F.expr(_CODE).alias("code")).select(
+        "event_id", failures.is_transient(m).alias("transient"), failures.is_summary_transient(m).alias("summary_transient"),
+        failures.wants_shorter_text(m).alias("shorter"), failures.http_hint(code, m).alias("hint"),
+    )
+
+
+@query(
+    "empty_columns",
+    f"select n_name as column_name from nation left join ({_ITEMS_SQL}) on column_name = n_name group by n_name having count(id) = 0",
+)
+def _(spark, d):
+    return state.empty_columns(table(spark, d, "nation").select(F.col("n_name").alias("column_name")), _items(spark, d))
+
+
+@query("duplicate_columns", "select r_name as name, count(*) as n from (select r_name from region union all select r_name from region where r_regionkey % 2 = 0) group by 1 having count(*) > 1")
+def _(spark, d):
+    region = table(spark, d, "region").select("r_name", "r_regionkey")
+    return state.repeated(region.union(region.where("r_regionkey % 2 = 0")).select(F.col("r_name").alias("name")), "name")
+
+
+@query(
+    "status_rollup",
+    f"select status, column_name, count(*) as n from ({_ITEMS_SQL}) group by rollup (status, column_name)",
+)
+def _(spark, d):
+    return _items(spark, d).rollup("status", "column_name").agg(F.count("*").alias("n"))
+
+
 _INCOMING = f"select id, case when id % 6 = 0 then source_url else 'x' || id end as source_url, case when id % 6 = 1 then source_url end as canonical_url, case when id % 6 = 2 then item_key end as item_key, column_name, content_hash from ({_ITEMS_SQL}) where id % 2 = 0"
 _STATE = f"select id, source_url, source_url as canonical_url, item_key, column_name, content_hash from ({_ITEMS_SQL}) where id % 3 <> 1"
 _RESOLVED = f"""select i.*, coalesce(a.id, b.id, c.id, e.id) as existing_id,
