@@ -109,7 +109,7 @@ def similar_rows(prints: DataFrame) -> DataFrame:
 
 
 def linked_within(nodes: np.ndarray, lanes: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links that span the same components as all pairs whose lanes are at most `distance` bits apart."""
+    """Links that span the same components as all pairs whose lanes (unsigned) are at most `distance` bits apart."""
     left, out = np.arange(len(nodes)), []
     while len(left) > 1:
         todo, left = [left[0]], left[1:]
@@ -154,7 +154,7 @@ def links(rows: DataFrame, node: str, lanes: list[str], distance: int, block: in
             for k in np.flatnonzero(np.diff(cuts) > 1):
                 nodes, first = np.unique(rows[4, cuts[k] : cuts[k + 1]], return_index=True)
                 if len(nodes) > 1:
-                    pairs += linked_within(nodes, rows[5:, cuts[k] + first].T.copy(), distance)
+                    pairs += linked_within(nodes, rows[5:, cuts[k] + first].T.copy().view("<u8"), distance)
             a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 

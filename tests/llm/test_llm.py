@@ -86,6 +86,8 @@ def test_near_bits_meet(spark):
     rng = random.Random(2)
     prints = [rng.getrandbits(64) for _ in range(60)]
     prints += [p ^ sum(1 << b for b in rng.sample(range(64), 1 + i % 4)) for i, p in enumerate(prints)]
+    top = [rng.getrandbits(64) for _ in range(60)]
+    prints += top + [p ^ 1 << 63 ^ sum(1 << b for b in rng.sample(range(63), i % 4)) for i, p in enumerate(top)]
     signed = [(p - (1 << 64) if p >> 63 else p, i) for i, p in enumerate(prints)]
     df = spark.createDataFrame(signed, "fp long, least long")
     from pyspark.sql import functions as F
