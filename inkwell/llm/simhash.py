@@ -19,10 +19,17 @@ SEED = 42
 DISTANCE = 3
 #: Rows of one table entry that are compared in one task; larger entries are cut in blocks.
 BLOCK = 4096
-#: For similarity instead of a fixed distance: fingerprints of 4 times 64 bits. The first 64 are the
-#: index, in four segments; two segments at most 2 bits apart meet where each has one flipped, so
-#: all pairs up to 11 of 64 bits apart are compared, over all 256 bits.
-LANES = 4
+#: Entries of up to so many rows are first searched together for any near pair.
+FEW = 8
+#: For similarity instead of a fixed distance: two fingerprints of the distinct two-word shingles find
+#: candidates, and the sets of five-word shingles decide. 126 of the 128 bits are the index, in six
+#: segments; two segments at most 2 bits apart meet where each has one flipped, so all pairs up to
+#: 17 of 126 bits apart are compared.
+LANES = 2
+CANDIDATE_WORDS = 2
+SEGMENT_BITS = 21
+#: Rows and bytes of shingle sets of one group that are compared in one task; larger groups are cut in blocks.
+SET_ROWS, SET_BYTES = 1024, 16 << 20
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
 
@@ -52,9 +59,9 @@ def fingerprint(text: bytes, n: int = WORDS) -> int:
     return majority(shingle_hashes(text, n))
 
 
-def wide_fingerprint(text: bytes, n: int) -> list[int]:
-    """LANES SimHashes, of the shingle hashes and of further hashes of these."""
-    out, h = [], shingle_hashes(text, n)
+def wide_fingerprint(text: bytes, n: int = CANDIDATE_WORDS) -> list[int]:
+    """LANES SimHashes, of the distinct shingle hashes and of further hashes of these."""
+    out, h = [], np.unique(shingle_hashes(text, n))
     for _ in range(LANES):
         out.append(majority(h))
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -62,6 +69,12 @@ def wide_fingerprint(text: bytes, n: int) -> list[int]:
     return out
 
 
+def shingle_set(text: bytes, n: int) -> np.ndarray:
+    """The distinct shingle hashes in order; one zero for a text without words."""
+    found = np.unique(shingle_hashes(text, n))
+    return found if len(found) else np.zeros(1, "<u8")
+
+
 def fingerprints(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """place (a number for the row), doc_id, fp (the fingerprint as a signed long)."""
 
@@ -98,13 +111,14 @@ def index_rows(prints: DataFrame) -> DataFrame:
 
 
 def similar_rows(prints: DataFrame) -> DataFrame:
-    """(segment, entry, node, lanes): each fingerprint under every entry at most 1 bit from its four segments."""
-    j = F.col("j")
-    value = F.expr("shiftrightunsigned(l0, 16 * cast(j / 17 as int)) & 65535")
-    flip = F.when(j % 17 == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, cast(j % 17 - 1 as int))"))
-    lanes = [f"l{k}" for k in range(LANES)]
-    return prints.select(F.explode(F.sequence(F.lit(0), F.lit(67))).alias("j"), "node", *lanes).select(
-        (j / 17).cast("int").alias("segment"), value.bitwiseXOR(flip).alias("entry"), "node", *lanes
+    """(segment, entry, node, l0, l1): each fingerprint under every entry at most 1 bit from its six segments."""
+    balls = SEGMENT_BITS + 1
+    j, lanes, half = F.col("j"), [f"l{k}" for k in range(LANES)], 63 // SEGMENT_BITS
+    cut = "shiftright({}, cast(%d * ((j div %d) %% %d) as int)) & %d" % (SEGMENT_BITS, balls, half, (1 << SEGMENT_BITS) - 1)
+    value = F.when(j < balls * half, F.expr(cut.format("l0"))).otherwise(F.expr(cut.format("l1")))
+    flip = F.when(j % balls == 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftleft(1L, cast(j % {balls} - 1 as int))"))
+    return prints.select(F.explode(F.sequence(F.lit(0), F.lit(LANES * half * balls - 1))).alias("j"), "node", *lanes).select(
+        (j / balls).cast("int").alias("segment"), value.bitwiseXOR(flip).alias("entry"), "node", *lanes
     )
 
 
@@ -124,6 +138,62 @@ def linked_within(nodes: np.ndarray, lanes: np.ndarray, distance: int) -> list[t
     return out
 
 
+def linked_sets(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that span the same components as all pairs of sets with this Jaccard similarity or more."""
+    sizes = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts, mark = np.cumsum(sizes) - sizes, np.zeros(ids.max() + 1, np.int32)
+    left, flat, out = np.arange(len(sets)), ids, []
+
+    def drop(gone: np.ndarray) -> None:
+        nonlocal left, flat
+        flat, left = flat[np.repeat(~gone, sizes[left])], left[~gone]
+
+    while len(left) > 1:
+        todo = [left[0]]
+        drop(np.arange(len(left)) == 0)
+        while todo and len(left):
+            one = todo.pop()
+            own = ids[starts[one] : starts[one] + sizes[one]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[flat], np.cumsum(sizes[left]) - sizes[left])
+            mark[own] = 0
+            near = common >= similarity * (sizes[left] + sizes[one] - common) - 1e-9
+            if near.any():
+                out += [(int(nodes[one]), int(x)) for x in nodes[left[near]]]
+                todo.extend(left[near])
+                drop(near)
+    return out
+
+
+def with_near_pair(rows: np.ndarray, cuts: np.ndarray, distance: int) -> np.ndarray:
+    """Which of the runs between cuts have two rows at most `distance` bits apart; those of over FEW rows count as having."""
+    sizes = np.diff(cuts)
+    run = np.repeat(np.arange(len(sizes)), sizes)
+    found = sizes > FEW
+    for step in range(1, min(FEW, len(run))):
+        at = np.flatnonzero((run[step:] == run[:-step]) & ~found[run[step:]])
+        near = np.bitwise_count(rows[:, at] ^ rows[:, at + step]).sum(0) <= distance
+        found[run[at[near]]] = True
+    return found
+
+
+def in_blocks(rows: DataFrame, key: list[str], node: str, blocks: DataFrame) -> DataFrame:
+    """rows with x, y: keys that `blocks` (key, blocks) names are dealt to pairs of blocks; sorted by key, x, y.
+
+    Each row goes to as many places as its key has blocks, and every two rows of a key meet.
+    """
+    one = F.col("blocks").isNull()
+    own = F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
+    dealt = (
+        rows.join(blocks, key, "left")
+        .withColumn("own", F.when(one, F.lit(0)).otherwise(own))
+        .withColumn("other", F.explode(F.when(one, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+        .select(*key, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), *[c for c in rows.columns if c not in key])
+    )
+    return dealt.repartition(*key, "x", "y").sortWithinPartitions(*key, "x", "y")
+
+
 def links(rows: DataFrame, node: str, lanes: list[str], distance: int, block: int = BLOCK) -> DataFrame:
     """(a, b): links between nodes; all that share an entry within `distance` bits are connected through them.
 
@@ -135,23 +205,14 @@ def links(rows: DataFrame, node: str, lanes: list[str], distance: int, block: in
         rows.groupBy("segment", "entry").agg(F.count("*").alias("n")).where(F.col("n") > block)
         .select("segment", "entry", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     )
-    own = F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
-    one = F.col("blocks").isNull()
-    dealt = (
-        rows.join(blocks, ["segment", "entry"], "left")
-        .withColumn("own", F.when(one, F.lit(0)).otherwise(own))
-        .withColumn("other", F.explode(F.when(one, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-        .select("segment", "entry", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col(node).alias("node"), *lanes)
-    )
-    key = ["segment", "entry", "x", "y"]
-    sorted_rows = dealt.repartition(*key).sortWithinPartitions(*key)
+    sorted_rows = in_blocks(rows.select("segment", "entry", node, *lanes), ["segment", "entry"], node, blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = np.empty((5 + len(lanes), 0), np.int64)
 
         def found(rows: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
             pairs = []
-            for k in np.flatnonzero(np.diff(cuts) > 1):
+            for k in np.flatnonzero(with_near_pair(rows[5:].view("<u8"), cuts, distance)):
                 nodes, first = np.unique(rows[4, cuts[k] : cuts[k + 1]], return_index=True)
                 if len(nodes) > 1:
                     pairs += linked_within(nodes, rows[5:, cuts[k] + first].T.copy().view("<u8"), distance)
@@ -170,6 +231,38 @@ def links(rows: DataFrame, node: str, lanes: list[str], distance: int, block: in
     return sorted_rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def links_of_sets(sets: DataFrame, similarity: float, rows: int = SET_ROWS, size: int = SET_BYTES) -> DataFrame:
+    """(a, b): links between nodes of a root; all with this Jaccard similarity are connected through them.
+
+    sets: root, node, shingles (a shingle_set as bytes). Groups of over `rows` rows or `size`
+    bytes are compared in blocks and pairs of blocks.
+    """
+    need = F.ceil(F.greatest(F.count("*") / rows, F.sum(F.octet_length("shingles")) / size)).cast("int")
+    blocks = sets.groupBy("root").agg(F.least(need, F.count("*").cast("int")).alias("blocks")).where("blocks > 1")
+    sorted_sets = in_blocks(sets.select("root", "node", "shingles"), ["root"], "node", blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, held = None, [], []
+
+        def found() -> pa.RecordBatch:
+            pairs = linked_sets(np.array(nodes, np.int64), held, similarity) if len(nodes) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            roots, xs, ys, ids, values = (c.to_pylist() for c in batch.columns)
+            for row, node, value in zip(zip(roots, xs, ys), ids, values):
+                if row != key:
+                    if len(nodes) > 1:
+                        yield found()
+                    key, nodes, held = row, [], []
+                nodes.append(node)
+                held.append(np.frombuffer(value, "<u8"))
+        if len(nodes) > 1:
+            yield found()
+
+    return sorted_sets.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """place, doc_id, fp, component_id: one row per input row.
 
@@ -183,64 +276,76 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, distance: int = DISTANCE) -
     rows = written(fingerprints(docs, n))
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = links(index_rows(prints).withColumn("lane", F.col("fp")), "fp", ["lane"], distance)
-    return _grouped(rows, prints, found, "fp").select("place", "doc_id", "fp", "component_id")
+    return _grouped(rows, prints, found, "fp", ["fp"]).select("place", "doc_id", "fp", "component_id")
 
 
-def _grouped(rows: DataFrame, prints: DataFrame, found: DataFrame, node: str) -> DataFrame:
-    """rows with component_id: the least of `least` of the prints that links connect."""
+def _grouped(rows: DataFrame, prints: DataFrame, found: DataFrame, node: str, key: list[str]) -> DataFrame:
+    """rows with root and component_id: the least of `least` of the prints (one for each key) that links connect."""
     roots = components(found).withColumnRenamed("node", node)
-    placed = prints.join(roots, node, "left").select(node, "least", F.coalesce("root", node).alias("root"))
+    placed = prints.join(roots, node, "left").select(*key, "least", F.coalesce("root", node).alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(placed.join(least, "root").select(node, "component_id"), node)
-
+    return rows.join(placed.join(least, "root").select(*key, "root", "component_id"), key)
 
-def similar_groups(docs: DataFrame, n: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """place, doc_id, component_id: one row per input row, as near_duplicates, but linked by similarity.
 
-    Texts are linked if the angle that their wide fingerprints show is that of two equally
-    large shingle sets with Jaccard similarity `similarity` or more.
-    """
-    cosine = 2 * similarity / (1 + similarity)
-    most = int(64 * LANES * math.acos(cosine) / math.pi)
+def _similar(placed: DataFrame, n: int, similarity: float) -> DataFrame:
+    """similar_groups of a written table (place, doc_id, text), with root: a number of the group."""
+    bits = 64 * LANES
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = math.ceil(bits * apart + 3 * math.sqrt(bits * apart * (1 - apart)))
     lanes = [f"l{k}" for k in range(LANES)]
 
-    def start():
+    def start_prints():
         def work(places, ids, texts):
-            wide = np.array([wide_fingerprint(x, n) for x in bytes_of(texts)], np.uint64).reshape(-1, LANES)
-            node = np.zeros(len(wide), np.uint64)
-            for lane in wide.T:
-                node = (node ^ lane) * np.uint64(0x9E3779B97F4A7C15)
-                node ^= node >> np.uint64(32)
-            return [places, ids, node.view("<i8"), *(x.copy().view("<i8") for x in wide.T)]
+            texts = bytes_of(texts)
+            wide = np.array([wide_fingerprint(x) for x in texts], np.uint64).reshape(-1, LANES)
+            same = np.array([xxhash.xxh64_intdigest(b" ".join(x.lower().split()), SEED) for x in texts], np.uint64)
+            return [places, ids, *(x.copy().view("<i8") for x in (same, *wide.T))]
 
         return work
 
-    rows = written(
-        arrow_map(
-            docs.select(F.monotonically_increasing_id().alias("place"), F.col("doc_id").cast("long").alias("doc_id"), "text"),
-            ["place", "doc_id", "text"],
-            "place long, doc_id long, node long, " + ", ".join(f"{x} long" for x in lanes),
-            start,
-        )
-    )
-    prints = written(rows.groupBy("node", *lanes).agg(F.min("doc_id").alias("least")))
-    return _grouped(rows, prints, links(similar_rows(prints), "node", lanes, most), "node").select("place", "doc_id", "component_id")
+    def start_sets():
+        def work(roots, nodes, texts):
+            return [roots, nodes, [shingle_set(x, n).tobytes() for x in bytes_of(texts)]]
+
+        return work
 
+    key = ["same", *lanes]
+    rows = written(arrow_map(placed, ["place", "doc_id", "text"], "place long, doc_id long, " + ", ".join(f"{x} long" for x in key), start_prints))
+    prints = written(rows.groupBy(*key).agg(F.min("place").alias("node"), F.min("doc_id").alias("least")))
+    near = components(links(similar_rows(prints), "node", lanes, most))
+    texts = placed.join(near.withColumnRenamed("node", "place"), "place")
+    sets = written(arrow_map(texts, ["root", F.col("place").alias("node"), "text"], "root long, node long, shingles binary", start_sets))
+    return _grouped(rows, prints, links_of_sets(sets, similarity), "node", key).select("place", "doc_id", "root", "component_id")
 
-def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs, one of each component of found: the one of least doc_id, and of its repeats the first."""
-    first = found.groupBy(F.col("component_id").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("m"))
-    gone = found.select("place").join(first.select(F.col("m.place").alias("place")), "place", "left_anti")
-    mark = "_place"
-    while mark in docs.columns:
-        mark += "_"
-    placed = docs.withColumn(mark, F.monotonically_increasing_id())
-    return placed.join(gone.withColumnRenamed("place", mark), mark, "left_anti").select(*[placed[c] for c in docs.columns])
+
+def _narrow(docs: DataFrame, place: str) -> DataFrame:
+    return docs.select(F.col(place).alias("place"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def similar_groups(docs: DataFrame, n: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """place, doc_id, component_id: one row per input row, as near_duplicates, but linked by similarity.
+
+    Texts are linked if the Jaccard similarity of their sets of n-word shingles (A-Z in lower
+    case; fewer words: the whole sequence) is `similarity` or more. Fingerprints propose the
+    groups in which sets are compared, so no pair below it is linked; a pair above it is missed
+    only if the index does not meet it. Texts without words are equal. Nulls, repeated rows,
+    other columns and empty tables are treated as there.
+    """
+    return _similar(written(_narrow(docs.withColumn("place", F.monotonically_increasing_id()), "place")), n, similarity).drop("root")
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, one of each group of similar texts; all columns stay."""
-    return keep_first(docs, similar_groups(docs, n, similarity))
+    """The rows of docs, one of each group of similar texts: of least doc_id, and of its repeats the first; all columns stay.
+
+    The rows are numbered in a written table, so that numbers hold when executors are lost.
+    """
+    mark = "_place"
+    while mark in docs.columns:
+        mark += "_"
+    placed = written(docs.withColumn(mark, F.monotonically_increasing_id()))
+    found = written(_similar(_narrow(placed, mark), n, similarity))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("m"))
+    return placed.join(first.select(F.col("m.place").alias(mark)), mark, "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

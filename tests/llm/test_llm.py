@@ -212,3 +212,70 @@ def test_pipeline_stages(spark):
     assert not any(i in " ".join(r.text.lower().split()) for r in clean for i in items)
     assert len(clean) == sum(not any(i in " ".join(t.lower().split()) for i in items) for t in texts)
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == len(clean)
+
+
+def plain_set(text, n=5):
+    w = text.lower().split()
+    return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_similar_groups_equal_brute_force(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(2000)]
+    texts = []
+    for k in range(150):
+        base = rng.choices(words, k=rng.randrange(60, 400))
+        texts.append(" ".join(base))
+        if k % 2:
+            texts.append(" ".join(rng.choice(words) if rng.random() < 0.01 * (k % 6) else w for w in base))
+        else:
+            more = rng.choices(words, k=int(len(base) * 0.05 * (k % 8)))
+            texts.append(" ".join(base + more))
+    chain = rng.choices(words, k=200)
+    for k in range(30):
+        texts.append(" ".join(chain := chain[4:] + rng.choices(words, k=4)))
+    texts += texts[:5] + ["", " "]
+    sets = [plain_set(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert len(got) == len(texts)
+    root, near = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                near += 1
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    met = sum(got[i] == got[r] for i, r in enumerate(root) if r != i)
+    assert near > 100 and met >= 0.95 * sum(r != i for i, r in enumerate(root))
+    assert all(root[i] == root[c] for i, c in got.items())
+
+
+def test_links_of_sets_in_blocks(spark):
+    rng = random.Random(5)
+    sets = [rng.sample(range(40), rng.randrange(1, 12)) for _ in range(20)]
+    sets += [sorted(set(s[: max(1, len(s) - i % 3)]) | {50 + i % 2}) for i, s in enumerate(sets)]
+    rows = [(i % 2, i, np.sort(np.array(s, "<u8")).tobytes()) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "root long, node long, shingles binary")
+
+    def groups(pairs):
+        root = list(range(len(sets)))
+        for a, b in pairs:
+            root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+        return root
+
+    want = [(i, j) for i in range(len(sets)) for j in range(i) if i % 2 == j % 2 and jaccard(set(sets[i]), set(sets[j])) >= 0.6]
+    assert want
+    for limit in (1024, 3):
+        assert groups(simhash.links_of_sets(df, 0.6, limit).collect()) == groups(want)
+
+
+def test_same_ids_of_different_texts_stay(spark):
+    rng = random.Random(6)
+    texts = [" ".join(str(rng.random()) for _ in range(40)) for _ in range(3)]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[0]), (1, texts[0])]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, texts.index(r.text)) for r in kept) == [(0, 2), (1, 0), (1, 1)]
