@@ -28,6 +28,8 @@ FEW = 8
 LANES = 2
 CANDIDATE_WORDS = 2
 SEGMENT_BITS = 21
+#: Keys with several blocks that are broadcast (24 bytes each).
+BLOCKS_SENT = 100_000
 #: Rows and bytes of shingle sets of one group that are compared in one task; larger groups are cut in blocks.
 SET_ROWS, SET_BYTES = 1024, 16 << 20
 SIMILAR_WORDS = 5
@@ -92,8 +94,8 @@ def fingerprints(docs: DataFrame, n: int = WORDS) -> DataFrame:
     )
 
 
-def index_rows(prints: DataFrame) -> DataFrame:
-    """(segment, entry, fp): each fingerprint's own two table entries, and those it probes.
+def index_rows(prints: DataFrame, step: int = 1) -> DataFrame:
+    """(segment, entry, fp): each fingerprint's own two table entries, and those it probes (step 33: only its own).
 
     A probe flips one bit of a segment. Of two segments that differ in one bit, one has it
     unset, so only unset bits are flipped: each pair still meets.
@@ -103,21 +105,21 @@ def index_rows(prints: DataFrame) -> DataFrame:
     value = F.when(segment == 0, F.col("fp").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned("fp", 32))
     flip = F.when(bit < 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, cast(j % 33 - 1 as int))"))
     return (
-        prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("j"))
+        prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(65), F.lit(step))).alias("j"))
         .select("fp", segment.alias("segment"), value.alias("value"), flip.alias("flip"))
         .where(F.col("value").bitwiseAND(F.col("flip")) == 0)
         .select("segment", F.col("value").bitwiseOR(F.col("flip")).alias("entry"), "fp")
     )
 
 
-def similar_rows(prints: DataFrame) -> DataFrame:
-    """(segment, entry, node, l0, l1): each fingerprint under every entry at most 1 bit from its six segments."""
+def similar_rows(prints: DataFrame, step: int = 1) -> DataFrame:
+    """(segment, entry, node, l0, l1): each fingerprint under every entry at most 1 bit from its six segments (step 22: under these alone)."""
     balls = SEGMENT_BITS + 1
     j, lanes, half = F.col("j"), [f"l{k}" for k in range(LANES)], 63 // SEGMENT_BITS
     cut = "shiftright({}, cast(%d * ((j div %d) %% %d) as int)) & %d" % (SEGMENT_BITS, balls, half, (1 << SEGMENT_BITS) - 1)
     value = F.when(j < balls * half, F.expr(cut.format("l0"))).otherwise(F.expr(cut.format("l1")))
     flip = F.when(j % balls == 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftleft(1L, cast(j % {balls} - 1 as int))"))
-    return prints.select(F.explode(F.sequence(F.lit(0), F.lit(LANES * half * balls - 1))).alias("j"), "node", *lanes).select(
+    return prints.select(F.explode(F.sequence(F.lit(0), F.lit(LANES * half * balls - 1), F.lit(step))).alias("j"), "node", *lanes).select(
         (j / balls).cast("int").alias("segment"), value.bitwiseXOR(flip).alias("entry"), "node", *lanes
     )
 
@@ -182,7 +184,11 @@ def in_blocks(rows: DataFrame, key: list[str], node: str, blocks: DataFrame) ->
     """rows with x, y: keys that `blocks` (key, blocks) names are dealt to pairs of blocks; sorted by key, x, y.
 
     Each row goes to as many places as its key has blocks, and every two rows of a key meet.
+    Up to BLOCKS_SENT keys are broadcast, so that rows are shuffled once; more are joined.
     """
+    blocks = written(blocks)
+    if blocks.count() <= BLOCKS_SENT:
+        blocks = F.broadcast(blocks)
     one = F.col("blocks").isNull()
     own = F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
     dealt = (
@@ -194,17 +200,31 @@ def in_blocks(rows: DataFrame, key: list[str], node: str, blocks: DataFrame) ->
     return dealt.repartition(*key, "x", "y").sortWithinPartitions(*key, "x", "y")
 
 
-def links(rows: DataFrame, node: str, lanes: list[str], distance: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between nodes; all that share an entry within `distance` bits are connected through them.
+def large_entries(own: DataFrame, ball: int, block: int) -> DataFrame:
+    """(segment, entry, blocks): the entries that may have over `block` rows, from the rows' own entries.
 
-    rows: segment, entry, node and lanes. Each table entry is compared in one task, in blocks
-    and pairs of blocks where it has more than `block` rows; a comparison passes on only as
-    many links as span what it found.
+    An entry has the rows of at most `ball` own entries: itself and those one bit apart. Where
+    none of these has over block / ball rows it stays within `block`; so only the balls of
+    larger ones are followed, and the other rows of such an entry fit in one more block.
     """
-    blocks = (
-        rows.groupBy("segment", "entry").agg(F.count("*").alias("n")).where(F.col("n") > block)
-        .select("segment", "entry", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << k for k in range(ball - 1)))])
+    return (
+        own.groupBy("segment", "entry").agg(F.count("*").alias("n")).where(F.col("n") > block // ball)
+        .select("segment", "entry", "n", F.explode(flips).alias("flip"))
+        .groupBy("segment", F.col("entry").bitwiseXOR(F.col("flip")).alias("entry"))
+        .agg((F.ceil(F.sum("n") / block) + 1).cast("int").alias("blocks"))
     )
+
+
+def links(rows: DataFrame, node: str, lanes: list[str], distance: int, block: int = BLOCK, own: DataFrame | None = None, ball: int = 1) -> DataFrame:
+    """(a, b): links between nodes; all that share an entry within `distance` bits are connected through them.
+
+    rows: segment, entry, node and lanes; own: of these, those that are no probes, where others
+    probe `ball` entries. Each table entry is compared in one task, in blocks and pairs of blocks
+    where it may have more than `block` rows; a comparison passes on only as many links as span
+    what it found.
+    """
+    blocks = large_entries(rows if own is None else own, ball, block)
     sorted_rows = in_blocks(rows.select("segment", "entry", node, *lanes), ["segment", "entry"], node, blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +295,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, distance: int = DISTANCE) -
         raise ValueError("two segments with balls of radius 1 serve distances up to 3")
     rows = written(fingerprints(docs, n))
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = links(index_rows(prints).withColumn("lane", F.col("fp")), "fp", ["lane"], distance)
+    found = links(index_rows(prints).withColumn("lane", F.col("fp")), "fp", ["lane"], distance, own=index_rows(prints, 33), ball=33)
     return _grouped(rows, prints, found, "fp", ["fp"]).select("place", "doc_id", "fp", "component_id")
 
 
@@ -309,10 +329,10 @@ def _similar(placed: DataFrame, n: int, similarity: float) -> DataFrame:
 
         return work
 
-    key = ["same", *lanes]
+    key, balls = ["same", *lanes], SEGMENT_BITS + 1
     rows = written(arrow_map(placed, ["place", "doc_id", "text"], "place long, doc_id long, " + ", ".join(f"{x} long" for x in key), start_prints))
     prints = written(rows.groupBy(*key).agg(F.min("place").alias("node"), F.min("doc_id").alias("least")))
-    near = components(links(similar_rows(prints), "node", lanes, most))
+    near = written(components(links(similar_rows(prints), "node", lanes, most, own=similar_rows(prints, balls), ball=balls)))
     texts = placed.join(near.withColumnRenamed("node", "place"), "place")
     sets = written(arrow_map(texts, ["root", F.col("place").alias("node"), "text"], "root long, node long, shingles binary", start_sets))
     return _grouped(rows, prints, links_of_sets(sets, similarity), "node", key).select("place", "doc_id", "root", "component_id")
@@ -345,7 +365,8 @@ def drop_near_duplicates(docs: DataFrame, n: int = SIMILAR_WORDS, similarity: fl
     placed = written(docs.withColumn(mark, F.monotonically_increasing_id()))
     found = written(_similar(_narrow(placed, mark), n, similarity))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("m"))
-    return placed.join(first.select(F.col("m.place").alias(mark)), mark, "left_semi").select(*docs.columns)
+    gone = written(found.select("place").join(first.select(F.col("m.place").alias("place")), "place", "left_anti"))
+    return placed.join(gone.withColumnRenamed("place", mark), mark, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
