@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK walks, sampled coordinates as LSH keys, exact edit verification."""
+"""Benchmark decontamination: every passage within the edit bound, by counts of exact pieces and exact edit distance."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,67 +15,48 @@ from pyspark.sql import functions as F
 from .common import arrow_map, bytes_of, read_table
 
 SIMILARITY = 0.8
-RECALL = 0.99
-#: Steps of a walk and coordinates sampled of it, for items of at least so many words.
-WALKS = ((14, 5), (6, 4), (2, 2), (1, 1))
-#: Items of so many words have enough windows that a similar passage is met by several of them.
-MANY_WINDOWS, LEAST_WINDOWS = 20, 3
+#: Characters of a piece, bits of its hash, and bits of a diagonal that a counter takes together.
+PIECE, HASH_BITS, STEP_BITS = 4, 20, 3
+#: Counters held at once; parts of a text bounded side by side; letters that have a class of their own.
+CELLS, SIDE_BY_SIDE, CLASSES = 1 << 20, 1 << 13, 255
+#: Documents searched together.
+SLICE = 256
 #: Bytes of items that are held in a task at once; more are searched in blocks, one after another.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 
 
-def repetitions(steps: int, recall: float = RECALL, similarity: float = SIMILARITY) -> int:
-    """Walks needed so that an item of a window's length and least similarity is met with probability `recall`.
-
-    A walk reads about steps/2 + 1 words; each is untouched with probability `similarity`. An
-    item of twice that length has steps/2 windows of its own, each an independent chance.
-    """
-    span = steps // 2 + 1
-    chance = similarity**span
-    return max(2, math.ceil(math.log(1 - recall) / math.log(1 - chance) / max(span, 1)))
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def symbols(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh32_intdigest
-    return np.fromiter((digest(w) for w in words), np.uint32, len(words))
-
-
-def walk_keys(text: np.ndarray, starts: int, steps: int, samples: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """LSH keys of the CGK walks from the first `starts` positions of text, and the last position each reads.
-
-    A walk repeats or passes a symbol by a random bit of the symbol and step: two texts that
-    differ by an edit fall back into step. The key is made of the sampled coordinates.
-    """
-    rng = np.random.default_rng(1000 * steps + turn)
-    shifts = rng.permutation(32)[:steps].astype(np.uint32)
-    sampled = set(np.sort(rng.choice(np.arange(steps), samples, replace=False)).tolist())
-    keys, lasts = np.empty(starts, np.uint32), np.empty(starts, np.int64)
-    for at in range(0, starts, 1 << 15):
-        place = np.arange(at, min(starts, at + (1 << 15)))
-        key = np.full(len(place), 2166136261, np.uint32)
-        for j in range(steps):
-            symbol = text.take(place)
-            if j in sampled:
-                key ^= symbol
-                key *= np.uint32(2654435761)
-            if j + 1 < steps:
-                place += (symbol >> shifts[j]) & np.uint32(1)
-        keys[at : at + len(place)] = key ^ (key >> np.uint32(15))
-        lasts[at : at + len(place)] = place
-    return keys, lasts
+def piece_hashes(text: np.ndarray) -> np.ndarray:
+    """A hash of the PIECE characters from each position; equal pieces have equal hashes."""
+    n = max(0, len(text) - PIECE + 1)
+    out = np.zeros(n, np.uint32)
+    for j in range(PIECE):
+        out ^= text[j : j + n]
+        out *= np.uint32(2654435761)
+        out ^= out >> np.uint32(15)
+    return out >> np.uint32(32 - HASH_BITS)
 
 
 def distance_within(item: str, text: str, most: int) -> int | None:
     """The least edit distance of item to any part of text, by bit-parallel dynamic programming; None if over `most`."""
+    found = least_distance(item, text)[0]
+    return found if found <= most else None
+
+
+def least_distance(item: str, text: str) -> tuple[int, int]:
+    """The least edit distance of item to any part of text, and where the first such part ends."""
     if item in text:
-        return 0
+        return 0, text.index(item) + len(item)
     size = len(item)
     has: dict[str, int] = defaultdict(int)
     for i, c in enumerate(item):
         has[c] |= 1 << i
     full, top = (1 << size) - 1, 1 << (size - 1)
-    up, down, now, least = full, 0, size, size
-    for c in text:
+    up, down, now, least, end = full, 0, size, size, 0
+    for at, c in enumerate(text, 1):
         eq = has.get(c, 0)
         xv = eq | down
         xh = (((eq & up) + up) ^ up) | eq
@@ -85,86 +65,171 @@ def distance_within(item: str, text: str, most: int) -> int | None:
             now += 1
         elif mh & top:
             now -= 1
-        if now < least:
-            least = now
+            if now < least:
+                least, end = now, at
         ph, mh = (ph << 1) & full, (mh << 1) & full  # a match may begin anywhere
         up, down = mh | (~(xv | ph) & full), ph & xv
-    return least if least <= most else None
-
-
-def agreeing(hits: list[tuple[int, int]], gap: int, least: int) -> Iterator[tuple[int, int]]:
-    """First and last begin of each run of hits (begin of the item, window) whose begins lie close, if from `least` windows."""
-    run: list[tuple[int, int]] = []
-    for hit in [*hits, None]:
-        if run and (hit is None or hit[0] - run[-1][0] > gap):
-            if len({p for _, p in run}) >= least:
-                yield run[0][0], run[-1][0]
-            run = []
-        if hit is not None:
-            run.append(hit)
+    return least, end
 
 
 class Items:
-    """Items of one block, with LSH tables of the windows at each of their word offsets."""
+    """Items of one block, with a table of their pieces and bit masks of their blocks.
+
+    An item of m characters has m // PIECE pieces that do not overlap, and each of at most `most`
+    edits spoils one at most. So `least` = m // PIECE - most of them or more stand unchanged in
+    any passage within the bound, and the diagonals (place in the text less place in the item) of
+    its alignment are at most `most` apart. Parts of a text with fewer hits over so many diagonals
+    hold no such passage. Of the others the blocks of at most 64 characters are looked up, each
+    near its place: their least distances add up to no more than the item's. What is left is
+    compared exactly. Neither bound drops a passage; items too short for one unchanged piece are
+    compared with every text.
+    """
 
-    def __init__(self, rows: list[tuple], similarity: float, recall: float):
+    def __init__(self, rows: list[tuple], similarity: float = SIMILARITY, recall: float = 1.0):
+        """Any `recall` is met: nothing within the bound is missed."""
         self.ids = [r[0] for r in rows]
-        self.words = [(r[1] or "").encode().lower().split() for r in rows]
-        self.texts = [b" ".join(w).decode() for w in self.words]
-        self.most = [int((1 - similarity) * len(t) + 1e-9) for t in self.texts]
-        self.tables = []
-        for steps, samples in WALKS:
-            over = [s for s, _ in WALKS if s > steps]
-            own = [i for i, w in enumerate(self.words) if len(w) >= steps and (not over or len(w) < min(over))]
-            for turn in range(repetitions(steps, recall, similarity)) if own else ():
-                keys, where = [], []
-                for i in own:
-                    n = len(self.words[i])
-                    k, lasts = walk_keys(np.r_[symbols(self.words[i]), np.zeros(steps + 1, np.uint32)], n, steps, samples, turn)
-                    fits = np.flatnonzero(lasts < n)
-                    keys.append(k[fits])
-                    where += [(i, int(o)) for o in fits]
-                keys = np.concatenate(keys)
-                order = np.argsort(keys, kind="stable")
-                bits = np.zeros(1 << 20, bool)
-                bits[keys & np.uint32((1 << 20) - 1)] = True
-                self.tables.append((steps, samples, turn, keys[order], np.array(where).reshape(-1, 2)[order], bits))
+        self.texts = [b" ".join((r[1] or "").encode().lower().split()).decode() for r in rows]
+        points = [code_points(t) for t in self.texts]
+        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.most = np.array([int((1 - similarity) * len(t) + 1e-9) for t in self.texts], np.int64)
+        least = self.sizes // PIECE - self.most
+        self.short = np.flatnonzero((least < 1) & (self.sizes > 0))
+        self.counted = np.flatnonzero(least >= 1)
+        self.least = least[self.counted]
+        self.bins = (self.most[self.counted] + (1 << STEP_BITS) - 1 >> STEP_BITS) + 1
+        hashes = [piece_hashes(points[i])[::PIECE] for i in self.counted]
+        sizes = [len(h) for h in hashes]
+        hashes = np.concatenate([*hashes, np.zeros(0, np.uint32)])
+        order = np.argsort(hashes, kind="stable")
+        self.rank = np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.offset = np.concatenate([*(np.arange(n) * PIECE for n in sizes), np.zeros(0, np.int64)])[order]
+        self.count = np.bincount(hashes, minlength=1 << HASH_BITS)
+        self.start = np.cumsum(self.count) - self.count
+        # rare letters share the last class but one, which can only lower a bound; letters of no item have the last
+        letters, often = np.unique(np.concatenate([*points, np.zeros(0, np.uint32)]), return_counts=True)
+        self.width = min(len(letters), CLASSES + 1) + 1
+        self.classes = np.full(0x110000, self.width - 1, np.uint16)
+        self.classes[letters[np.argsort(-often, kind="stable")]] = np.minimum(np.arange(len(letters)), CLASSES)
+        self.parts = (self.sizes + 63) // 64
+        self.part = -(-self.sizes // np.maximum(self.parts, 1))
+        self.first = np.cumsum(self.parts) - self.parts
+        self.masks = np.zeros(int(self.parts.sum()) * self.width, np.uint64)
+        for i, p in enumerate(points):
+            if len(p):
+                block, bit = np.divmod(np.arange(len(p)), self.part[i])
+                ends = np.minimum((block + 1) * self.part[i], len(p)) - block * self.part[i]
+                np.bitwise_or.at(self.masks, (self.first[i] + block) * self.width + self.classes[p], np.uint64(1) << (64 - ends + bit).astype(np.uint64))
+
+    def regions(self, text: np.ndarray) -> np.ndarray:
+        """Rows (item, first, last diagonal) that can hold a passage within the bound, by counts of pieces."""
+        found = [np.zeros((0, 3), np.int64)]
+        if len(self.counted):
+            ahead = int(self.sizes[self.counted].max()) + (1 << STEP_BITS)  # diagonals begin before the text
+            reach = 2 * ahead
+            step = max(1 << 12, 4 * reach, (CELLS << STEP_BITS) // len(self.counted))
+            for at in range(0, len(text), step):
+                part = piece_hashes(text[at : at + step + reach])
+                line = (len(part) + ahead >> STEP_BITS) + 2 + int(self.bins.max())
+                lines = max(1, (1 << 30) // (line << STEP_BITS))
+                for low in range(0, len(self.counted), lines):
+                    found += self._counted(part, at, ahead, line, low, min(len(self.counted), low + lines))
+        return np.concatenate(found)
+
+    def _counted(self, part: np.ndarray, at: int, ahead: int, line: int, low: int, high: int) -> Iterator[np.ndarray]:
+        """regions of one part of the text, for the items of ranks low to high."""
+        entry = (self.rank - low) * (line << STEP_BITS) + ahead - self.offset
+        if high - low < len(self.counted):
+            entry[(self.rank < low) | (self.rank >= high)] = -1
+        entry = entry.astype(np.int32)
+        n = self.count.take(part)
+        place = np.flatnonzero(n)
+        n = n.take(place)
+        begin = self.start.take(part.take(place)) - (np.cumsum(n) - n)
+        own = entry.take(np.repeat(begin, n) + np.arange(int(n.sum())))
+        cells = own + np.repeat(place.astype(np.int32), n)
+        if high - low < len(self.counted):
+            cells = cells[own >= 0]
+        sums = np.cumsum(np.bincount(cells >> STEP_BITS, minlength=(high - low) * line), dtype=np.int32).reshape(high - low, line)
+        for bins in np.unique(self.bins[low:high]).tolist():
+            rows = np.flatnonzero(self.bins[low:high] == bins)
+            own = sums[rows]
+            row, cell = np.divmod(np.flatnonzero(own[:, bins:] - own[:, :-bins] >= self.least[low:high][rows, None]), line - bins)
+            if len(row):
+                lead = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(cell) > 1)])
+                tail = np.r_[lead[1:], len(row)] - 1
+                # counters cell + 1 to cell + bins of each
+                yield np.stack([self.counted[low + rows[row[lead]]], (cell[lead] + 1 << STEP_BITS) - ahead + at, (cell[tail] + 1 + bins << STEP_BITS) - 1 - ahead + at], 1)
+
+    def bounded(self, letters: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The rows of regions in which the least distances of the item's blocks do not add up to more than its bound."""
+        item, first, last = found.T
+        left, alive = self.most[item], np.arange(len(item))
+        for k in range(int(self.parts[item].max(initial=0))):
+            for at in range(0, len(more := alive[self.parts[item[alive]] > k]), SIDE_BY_SIDE):
+                some = more[at : at + SIDE_BY_SIDE]
+                i = item[some]
+                offset = k * self.part[i]
+                size = np.minimum(self.part[i], self.sizes[i] - offset)
+                begin, end = (np.clip(x, 0, len(letters)) for x in (first[some] + offset, last[some] + offset + size))
+                left[some] -= self._least((self.first[i] + k) * self.width, size, letters, begin, end)
+            alive = alive[left[alive] >= 0]
+        return found[alive]
+
+    def _least(self, base: np.ndarray, size: np.ndarray, letters: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The least distance of each block (masks at base) to any part of letters[begin:end], all side by side."""
+        order = np.argsort(begin - end, kind="stable")  # longest first: those still running come first
+        base, size, begin, spans = base[order], size[order], begin[order], (end - begin)[order]
+        # a block ends at the top bit; the bits below it are letters that match any, at no cost
+        up = np.full(len(base), ~np.uint64(0)) << (64 - size).astype(np.uint64)
+        down, any_letter, one = np.zeros(len(base), np.uint64), ~up, np.uint64(1)
+        now = size.astype(np.int8)
+        least = now.copy()
+        for j, n in enumerate(np.searchsorted(-spans, -np.arange(int(spans.max(initial=0))), "left").tolist()):
+            xv = self.masks.take(base[:n] + letters.take(begin[:n] + j))
+            xv |= any_letter[:n]
+            pv, mv = up[:n], down[:n]
+            xh = xv & pv
+            xh += pv
+            xh ^= pv
+            xh |= xv
+            xv |= mv
+            ph = xh | pv
+            np.invert(ph, ph)
+            ph |= mv
+            xh &= pv
+            now[:n] += (ph.view(np.int64) < 0).view(np.int8)
+            now[:n] -= (xh.view(np.int64) < 0).view(np.int8)
+            np.minimum(least[:n], now[:n], out=least[:n])
+            ph <<= one
+            xh <<= one
+            np.bitwise_and(ph, xv, out=mv)
+            xv |= ph
+            np.invert(xv, xv)
+            np.bitwise_or(xh, xv, out=pv)
+        out = np.empty(len(least), np.int64)
+        out[order] = least
+        return out
 
     def matches(self, docs: list[list[bytes]]) -> list[tuple[int, int, int, int]]:
-        """(document, item, least distance, first word of the window) of each pair that is similar enough."""
-        pad = max((t[0] for t in self.tables), default=0) + 1
-        parts, first = [], []
-        total = 0
-        for words in docs:
-            first.append(total)
-            parts += [symbols(words), np.zeros(pad, np.uint32)]
-            total += len(words) + pad
-        if not total or not self.tables:
-            return []
-        text, first = np.concatenate([*parts, np.zeros(pad, np.uint32)]), np.array(first)
-        seen: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
-        for steps, samples, turn, keys, where, bits in self.tables:
-            own, _ = walk_keys(text, total, steps, samples, turn)
-            hits = np.flatnonzero(bits.take(own & np.uint32((1 << 20) - 1)))
-            a, b = np.searchsorted(keys, own[hits], "left"), np.searchsorted(keys, own[hits], "right")
-            for p, x, y in zip(hits[a < b].tolist(), a[a < b].tolist(), b[a < b].tolist()):
-                d = int(np.searchsorted(first, p, "right")) - 1
-                for i, o in where[x:y].tolist():
-                    seen[d, i].add((p - int(first[d]) - o, p))
-        out = []
-        for (d, i), begins in seen.items():
-            slack = self.most[i] + 2  # an edit moves the window by a word at most
-            size = len(self.words[i])
-            best = None
-            for begin, end in agreeing(sorted(begins), max(2, size // 5), 1 if size < MANY_WINDOWS else LEAST_WINDOWS):
-                found = distance_within(self.texts[i], b" ".join(docs[d][max(0, begin - slack) : end + size + slack]).decode(), self.most[i])
-                if found is not None and (best is None or found < best[0]):
-                    best = (found, max(0, begin))
-                    if not found:
-                        break
-            if best is not None:
-                out.append((d, i, *best))
-        return out
+        """(document, item, least distance, word) of each pair within the bound; the passage ends an item's size behind the word's begin."""
+        texts = [b" ".join(words).decode() for words in docs]
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        first = np.cumsum(sizes) - sizes
+        whole = "\n".join([*texts, ""])
+        text = code_points(whole)
+        pairs = {(d, int(i), int(first[d]), int(first[d]) + len(t)) for i in self.short for d, t in enumerate(texts) if t}
+        for i, low, high in self.bounded(self.classes.take(text), self.regions(text)).tolist():
+            begin, end = max(low, 0), min(high + int(self.sizes[i]), len(text))
+            d = int(np.searchsorted(first, begin, "right")) - 1
+            while d < len(texts) and first[d] < end:
+                pairs.add((d, i, max(begin, int(first[d])), min(end, int(first[d]) + len(texts[d]))))
+                d += 1
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for d, i, begin, end in pairs:
+            far, stop = least_distance(self.texts[i], whole[begin:end])
+            if far <= self.most[i]:
+                best[d, i] = min(best.get((d, i), (far, begin + stop)), (far, begin + stop))
+        return [(d, i, far, whole.count(" ", int(first[d]), max(int(first[d]), end - int(self.sizes[i])))) for (d, i), (far, end) in best.items()]
 
 
 def item_blocks(items: DataFrame) -> list[list[tuple]]:
@@ -176,7 +241,7 @@ def item_blocks(items: DataFrame) -> list[list[tuple]]:
     return [[tuple(r) for r in own.where(block == k).collect()] for k in range(blocks)]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, distance, item_chars, first_word: one row per document row and item found in it.
 
     Texts are compared lower-cased (A-Z) with white space as single spaces. An item is found
@@ -189,7 +254,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def start(shared=shared):
-            known = Items(shared.value, similarity, recall)
+            known = Items(shared.value, similarity)
 
             def work(ids, texts):
                 split = [x.lower().split() for x in bytes_of(texts)]
@@ -204,7 +269,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
             [F.col("doc_id").cast("long"), "text"],
             "doc_id long, item_id long, distance long, item_chars long, first_word long",
             start,
-            rows=64,
+            rows=SLICE,
         )
         out = found if out is None else out.union(found)
     return out
@@ -216,11 +281,11 @@ def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     def clean_of(shared: Broadcast):
         @F.pandas_udf("boolean")
         def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            known = Items(shared.value, similarity, RECALL)
+            known = Items(shared.value, similarity)
             for texts in batches:
                 keep = np.ones(len(texts), bool)
-                for at in range(0, len(texts), 64):
-                    split = [(t or "").encode().lower().split() for t in texts.iloc[at : at + 64]]
+                for at in range(0, len(texts), SLICE):
+                    split = [(t or "").encode().lower().split() for t in texts.iloc[at : at + SLICE]]
                     keep[[at + m[0] for m in known.matches(split)]] = False
                 yield pd.Series(keep)
 

@@ -114,6 +114,33 @@ def test_decontamination_recall():
     assert items.matches([[w.encode() for w in rng.choices(words, k=500)]]) == []
 
 
+def test_decontamination_finds_all_within_the_bound():
+    rng = random.Random(5)
+    draw = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = ["".join(rng.choice("abcdefghijklmnopq") for _ in range(5)) + " " + draw(rng.choice((2, 9, 14, 30, 63, 64, 65, 150, 300))) + "z" for _ in range(60)] + ["a", "abcdef"]
+    items = decontamination.Items(list(enumerate(texts)), 0.8)
+    docs = []
+    for i, t in enumerate(items.texts):  # as many changes as the bound allows: spread evenly, at random places, or in one block
+        kind, most = i % 3, int(items.most[i])
+        at = [rng.sample(range(len(t)), most), range(4, 5 * most, 5), range(most)][kind]
+        new = "".join(rng.choice(("#", "", c + "#")) if k in set(at) else c for k, c in enumerate(t))
+        docs.append((draw(rng.randrange(200)) + " " + new + " " + draw(rng.randrange(200))).encode().split())
+    got = {m[:3] for m in items.matches(docs)}
+    want = set()
+    for d, words in enumerate(docs):
+        for i, t in enumerate(items.texts):
+            far = decontamination.distance_within(t, b" ".join(words).decode(), items.most[i])
+            want |= {(d, i, far)} if far is not None else set()
+    assert got == want and len({d for d, i, _ in want if d == i}) > 50
+
+
+def test_decontamination_typo_in_each_word():
+    words = "several independent reviewers described careful experiments concerning distributed evaluation procedures between laboratories throughout twenty participating countries".split()
+    typos = [w[: len(w) // 2] + "#" + w[len(w) // 2 + 1 :] for w in words]
+    items = decontamination.Items([(7, " ".join(words))], 0.8, 0.99)
+    assert [m[:3] for m in items.matches([[w.encode() for w in ["before", *typos, "after"]]])] == [(0, 0, len(words))]
+
+
 def test_edit_distance():
     def plain(item, text):
         row = [0] * (len(text) + 1)
