@@ -19,6 +19,8 @@ N_BASE = 4
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = "0123456789"
 CUES = ("iban", "account", "acct", "passport", "ssn", "tax id", "customer id", "national id", "token", "api_key", "secret", "password")
+#: Cues whose values may be base64.
+SECRETS = ("token", "api_key", "secret", "password")
 STREETS = ("Street", "St.", "Avenue", "Ave.", "Road", "Rd.", "Lane", "Boulevard", "Blvd.")
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -26,8 +28,10 @@ QUAD = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL_REST = re.compile(r"://[^\s<>\"'|]*[A-Za-z0-9/_=&%-]")
-#: After a cue: optional words, a separator, an optional quote, then the value.
-VALUE = re.compile(r"(?:\x20(?:number|no\.?|code))?\x20?[:=#]\x20?[\"']?([A-Za-z0-9](?:[A-Za-z0-9_.-]{4,126}[A-Za-z0-9]))(?![A-Za-z0-9])")
+#: After a cue: optional words, a separator, an optional quote, then the value, as long as it is.
+LEAD = re.compile(r"(?:\x20(?:number|no\.?|code))?\x20?[:=#]\x20?[\"']?")
+VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]{4,}[A-Za-z0-9](?![A-Za-z0-9])")
+SECRET = re.compile(r"[A-Za-z0-9+/][A-Za-z0-9_.+/=-]{4,}[A-Za-z0-9_+/=-](?![A-Za-z0-9])")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 HOUSE = re.compile(r"[0-9]{1,5}\x20(?:[A-Z][A-Za-z'-]{1,30}\x20){1,4}$")
 
@@ -46,7 +50,7 @@ def iban_ok(value: str) -> bool:
 
 
 def automaton() -> ahocorasick.Automaton:
-    """Anchors: at-signs, plus-signs, digits, dots before digits, schemes and cues."""
+    """Anchors: at-signs, plus-signs, digits, dots before digits, schemes and cues; for texts in lower case."""
     found = ahocorasick.Automaton()
     for d in DIGITS:
         found.add_word(d, ("digit", 1))
@@ -54,23 +58,26 @@ def automaton() -> ahocorasick.Automaton:
     found.add_word("@", ("at", 1))
     found.add_word("+", ("plus", 1))
     for scheme in ("http", "https", "ftp", "sftp", "ssh"):
-        for form in (scheme, scheme.upper()):
-            found.add_word(f"{form}://", ("scheme", len(form) + 3))
+        found.add_word(f"{scheme}://", ("scheme", len(scheme) + 3))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, ("cue", len(form)))
+        found.add_word(cue, ("cue", len(cue)))
     for street in STREETS:
-        found.add_word(f" {street}", ("street", len(street) + 1))
+        found.add_word(f" {street.lower()}", ("street", len(street) + 1))
     found.make_automaton()
     return found
 
 
+def folded(text: str) -> str:
+    """text in lower case at equal length; one letter alone (U+0130) would become two."""
+    return text.replace("\u0130", "I").lower()
+
+
 def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     """(start, kind index, end) in order; base kinds are leftmost and do not overlap within a kind."""
     spans: list[tuple[int, int, int]] = []
     extra: list[tuple[int, int, int]] = []
-    email_at = ip_at = card_at = phone_at = 0
-    for last, (what, width) in anchors.iter(text):
+    email_at = ip_at = card_at = phone_at = value_at = 0
+    for last, (what, width) in anchors.iter(folded(text)):
         at = last + 1 - width
         if what == "digit":
             if at >= card_at and (m := CHAIN.match(text, at)):
@@ -110,18 +117,24 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int
                     rest += 1
                 if (m := IBAN.match(text, rest)) and iban_ok(m[0]):
                     extra.append((rest, 5, m.end()))
-            elif (m := VALUE.match(text, rest)) and sum(c in DIGITS for c in m[1]) >= 4:
-                extra.append((m.start(1), 5, m.end(1)))
+            elif (m := LEAD.match(text, rest)) and m.end() >= value_at:
+                if m := (SECRET if text[at:rest].lower() in SECRETS else VALUE).match(text, m.end()):
+                    value_at = m.end()  # what begins within a value has no more digits than it
+                    if sum(c in DIGITS for c in m[0]) >= 4:
+                        extra.append((m.start(), 5, m.end()))
+        elif text[at + 1 : last + 1] not in STREETS:
+            continue
         elif last + 1 == len(text) or not text[last + 1].isalnum():
             line = text[max(0, at - 140) : at + 1]
             if (m := HOUSE.search(line)) and (not m.start() or not line[m.start() - 1].isalnum()):
                 extra.append((at + 1 - len(m[0]), 6, last + 1))
     if extra:
-        taken = sorted((s, e) for s, _, e in spans)
+        base, end = [(s, e) for s, _, e in spans], 0
         for s, k, e in sorted(set(extra)):
-            if all(e <= a or b <= s for a, b in taken):
+            # an account goes beyond what a base kind takes of it
+            if s >= end and all(e <= a or b <= s or (k == 5 and (s < a or b < e)) for a, b in base):
                 spans.append((s, k, e))
-                taken.append((s, e))
+                end = e
     spans.sort()
     return spans
 

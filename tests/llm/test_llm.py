@@ -45,6 +45,27 @@ def test_pii_equals_patterns():
         assert [x for x in pii.find_spans(t, anchors) if x[1] < pii.N_BASE] == want
 
 
+@pytest.mark.parametrize(
+    "cue, value",
+    [
+        ("token: ", "eyJhbGciOiJIUzI1NiJ9." + "eyJzdWIiOiIxMjM0NTY3ODkw" * 20 + ".SflKxw_RJSMeKKF2QT4"),
+        ("secret=", "a1b2c3d4" * 100),
+        ("API_Key: ", "q83vEjRWeJq/83+" * 30 + "A=="),
+        ("password: ", "x/4111111111111111+tail/of1the2key=="),
+        ("account: my.token=", "abc12345"),
+        ("token=abc.secret: ", "xyz12345"),
+        ("Tax ID: ", "12-3456789"),
+        ("Customer ID: ", "c-123456"),
+        ("National ID: ", "ab123456"),
+        ("\u0130 tOkEn: ", "abc12345"),
+    ],
+)
+def test_pii_values_to_their_end(cue, value):
+    text = f"see {cue}{value} end"
+    at = text.index(value)
+    assert (at, pii.KINDS.index("account"), at + len(value)) in pii.find_spans(text, pii.automaton())
+
+
 def test_pii_extras_and_redaction(spark, odd):
     kinds = [pii.KINDS[k] for _, k, _ in pii.find_spans("see https://a.org/x 12 Main Street iban GB82 WEST 1234 5698 7654 32", pii.automaton())]
     assert kinds == ["url", "address", "account"]
