@@ -1,4 +1,13 @@
-"""Benchmark decontamination: every passage within the edit bound, by counts of exact pieces and exact edit distance."""
+"""Benchmark decontamination: CGK walks, bit-sampling LSH over item-sized windows, exact edit distance.
+
+A random walk over a text's characters stays on a character or moves on, as a random bit of the
+step and the character says; what it reads is an embedding in which a few edits change a few
+places only. Each walk is begun anew every few characters of an item and at every character of a
+text, so that it is in step again behind an edit. A hash of sampled places of a walk is a key;
+equal keys of item and text are votes for a place of the item, and the votes that fall in one
+item-sized window are counted. How many are asked for comes from the target recall, at as many
+edits as the bound allows. What has enough votes is verified exactly.
+"""
 
 from __future__ import annotations
 
@@ -15,10 +24,20 @@ from pyspark.sql import functions as F
 from .common import arrow_map, bytes_of, read_table
 
 SIMILARITY = 0.8
-#: Characters of a piece, bits of its hash, and bits of a diagonal that a counter takes together.
-PIECE, HASH_BITS, STEP_BITS = 4, 20, 3
-#: Counters held at once; parts of a text bounded side by side; letters that have a class of their own.
-CELLS, SIDE_BY_SIDE, CLASSES = 1 << 20, 1 << 13, 255
+#: Share of the passages at the edit bound whose votes suffice; those with fewer edits have more.
+RECALL = 0.99
+#: Walks, the steps of each, and of these the places that a key samples.
+WALKS, STEPS, SAMPLED = 2, 14, 12
+#: Characters between the walks of an item; shorter items have more walks for their length.
+STRIDE = 6
+#: Bits of a key.
+HASH_BITS = 20
+#: Sets of random edits that the number of votes is taken from.
+TRIALS = 400
+#: Parts of a text walked or bounded side by side; letters that have a class of their own.
+WALKED, SIDE_BY_SIDE, CLASSES = 1 << 15, 1 << 13, 255
+#: Diagonals that a region begins in at most; longer ones are cut.
+TILE = 512
 #: Documents searched together.
 SLICE = 256
 #: Bytes of items that are held in a task at once; more are searched in blocks, one after another.
@@ -29,15 +48,44 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def piece_hashes(text: np.ndarray) -> np.ndarray:
-    """A hash of the PIECE characters from each position; equal pieces have equal hashes."""
-    n = max(0, len(text) - PIECE + 1)
-    out = np.zeros(n, np.uint32)
-    for j in range(PIECE):
-        out ^= text[j : j + n]
-        out *= np.uint32(2654435761)
-        out ^= out >> np.uint32(15)
-    return out >> np.uint32(32 - HASH_BITS)
+def mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """32 random-looking bits of each number."""
+    x = (x.astype(np.uint32) + np.uint32(seed)) * np.uint32(0x9E3779B1)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA77)
+    return x ^ (x >> np.uint32(13))
+
+
+def walked(text: np.ndarray, walk: int) -> tuple[np.ndarray, np.ndarray]:
+    """The key of a walk from each character of a text, and the place where it ends."""
+    padded = np.concatenate([text, np.zeros(STEPS, np.uint32)])
+    moves, names = mixed(padded, 2 * walk + 1), mixed(padded, 2 * walk + 2)
+    sampled = np.sort(np.random.default_rng(walk).permutation(STEPS)[:SAMPLED])
+    keys, ends = np.empty(len(text), np.uint32), np.empty(len(text), np.int32)
+    for at in range(0, len(text), WALKED):
+        end = min(at + WALKED, len(text))
+        place, key = np.arange(at, end, dtype=np.int32), np.zeros(end - at, np.uint32)
+        for step in range(STEPS):
+            if step in sampled:
+                key ^= names.take(place)
+                key *= np.uint32(0xC2B2AE3D)
+                key ^= key >> np.uint32(15)
+            move = moves.take(place)
+            move >>= np.uint32(step)
+            move &= np.uint32(1)
+            place += move.view(np.int32)
+        keys[at:end], ends[at:end] = key >> np.uint32(32 - HASH_BITS), place
+    return keys, ends
+
+
+def votes_left(begins: np.ndarray, ends: np.ndarray, size: int, edits: int, recall: float) -> int:
+    """How many of the walks (begin to end) keep clear of `edits` random edits in a share `recall` of the trials, at least."""
+    draw = np.random.default_rng(size).random((TRIALS, size))
+    hit = np.zeros((TRIALS, size + 2), np.int32)
+    if edits:
+        np.put_along_axis(hit[:, 1:-1], np.argpartition(draw, edits - 1, axis=1)[:, :edits], 1, axis=1)
+    np.cumsum(hit, axis=1, out=hit)
+    clear = (hit[:, np.minimum(ends + 1, size)] == hit[:, begins]).sum(1)
+    return int(np.sort(clear)[int((1 - recall) * TRIALS)])
 
 
 def distance_within(item: str, text: str, most: int) -> int | None:
@@ -73,38 +121,43 @@ def least_distance(item: str, text: str) -> tuple[int, int]:
 
 
 class Items:
-    """Items of one block, with a table of their pieces and bit masks of their blocks.
-
-    An item of m characters has m // PIECE pieces that do not overlap, and each of at most `most`
-    edits spoils one at most. So `least` = m // PIECE - most of them or more stand unchanged in
-    any passage within the bound, and the diagonals (place in the text less place in the item) of
-    its alignment are at most `most` apart. Parts of a text with fewer hits over so many diagonals
-    hold no such passage. Of the others the blocks of at most 64 characters are looked up, each
-    near its place: their least distances add up to no more than the item's. What is left is
-    compared exactly. Neither bound drops a passage; items too short for one unchanged piece are
-    compared with every text.
+    """Items of one block, with a table of the keys of their walks and bit masks of their blocks.
+
+    The diagonal of a vote is its place in the text less its place in the item. The diagonals of
+    an alignment within the bound are at most `most` apart, so votes are counted over so many.
+    Where there are enough, blocks of at most 64 characters of the item are looked up, each near
+    its place: their least distances add up to no more than the item's, so what is over the bound
+    goes without loss. What is left is compared exactly. An item too short to keep a walk clear of
+    edits is looked for in all of each text, and with a recall of 1 every item is.
     """
 
-    def __init__(self, rows: list[tuple], similarity: float = SIMILARITY, recall: float = 1.0):
-        """Any `recall` is met: nothing within the bound is missed."""
+    def __init__(self, rows: list[tuple], similarity: float = SIMILARITY, recall: float = RECALL):
         self.ids = [r[0] for r in rows]
         self.texts = [b" ".join((r[1] or "").encode().lower().split()).decode() for r in rows]
         points = [code_points(t) for t in self.texts]
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
         self.most = np.array([int((1 - similarity) * len(t) + 1e-9) for t in self.texts], np.int64)
-        least = self.sizes // PIECE - self.most
-        self.short = np.flatnonzero((least < 1) & (self.sizes > 0))
-        self.counted = np.flatnonzero(least >= 1)
-        self.least = least[self.counted]
-        self.bins = (self.most[self.counted] + (1 << STEP_BITS) - 1 >> STEP_BITS) + 1
-        hashes = [piece_hashes(points[i])[::PIECE] for i in self.counted]
-        sizes = [len(h) for h in hashes]
-        hashes = np.concatenate([*hashes, np.zeros(0, np.uint32)])
-        order = np.argsort(hashes, kind="stable")
-        self.rank = np.repeat(np.arange(len(sizes)), sizes)[order]
-        self.offset = np.concatenate([*(np.arange(n) * PIECE for n in sizes), np.zeros(0, np.int64)])[order]
-        self.count = np.bincount(hashes, minlength=1 << HASH_BITS)
-        self.start = np.cumsum(self.count) - self.count
+        self.least = np.zeros(len(rows), np.int64)
+        voters = [[np.zeros((3, 0), np.int64)] for _ in range(WALKS)]
+        for i, p in enumerate(points):
+            stride, own = max(1, min(STRIDE, len(p) // 16)), []
+            for walk in range(WALKS):
+                keys, ends = walked(p, walk)
+                at = np.arange(walk * stride // WALKS, len(p), stride)
+                at = at[ends[at] < len(p)]
+                own.append(np.stack([at, ends[at]]))
+                voters[walk].append(np.stack([keys[at], np.full(len(at), i), at]).astype(np.int64))
+            begins, ends = np.concatenate(own, axis=1) if own else np.zeros((2, 0), np.int64)
+            if len(p) and recall < 1:
+                self.least[i] = votes_left(begins, ends, len(p), int(self.most[i]), recall)
+        self.short = np.flatnonzero((self.least < 1) & (self.sizes > 0))
+        self.tables = []
+        for found in voters:
+            keys, item, at = np.concatenate(found, axis=1)
+            use = self.least[item] > 0
+            keys, item, at = (x[use][np.argsort(keys[use], kind="stable")] for x in (keys, item, at))
+            count = np.bincount(keys, minlength=1 << HASH_BITS)
+            self.tables.append((count > 0, count, np.cumsum(count) - count, item, at))
         # rare letters share the last class but one, which can only lower a bound; letters of no item have the last
         letters, often = np.unique(np.concatenate([*points, np.zeros(0, np.uint32)]), return_counts=True)
         self.width = min(len(letters), CLASSES + 1) + 1
@@ -121,45 +174,34 @@ class Items:
                 np.bitwise_or.at(self.masks, (self.first[i] + block) * self.width + self.classes[p], np.uint64(1) << (64 - ends + bit).astype(np.uint64))
 
     def regions(self, text: np.ndarray) -> np.ndarray:
-        """Rows (item, first, last diagonal) that can hold a passage within the bound, by counts of pieces."""
+        """Rows (item, first, last diagonal) with enough votes, and all of the text for short items."""
+        ahead = int(self.sizes.max(initial=0))  # diagonals begin before the text
+        line = len(text) + 2 * ahead + 1
+        votes = [np.zeros(0, np.int64)]
+        for walk, (any_of, count, begin, item, at) in enumerate(self.tables):
+            if len(item):
+                keys = walked(text, walk)[0]
+                place = np.flatnonzero(any_of.take(keys))
+                keys = keys.take(place)
+                n = count.take(keys)
+                own = np.repeat(begin.take(keys) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                votes.append(item.take(own) * line + (np.repeat(place, n) - at.take(own) + ahead))
+        votes = np.sort(np.concatenate(votes))
+        item = votes // line
+        most, after = self.most.take(item), np.arange(len(votes)) + self.least.take(item) - 1
+        enough = after < len(votes)
+        lead = np.flatnonzero(enough & (votes.take(after, mode="clip") - votes <= most))
         found = [np.zeros((0, 3), np.int64)]
-        if len(self.counted):
-            ahead = int(self.sizes[self.counted].max()) + (1 << STEP_BITS)  # diagonals begin before the text
-            reach = 2 * ahead
-            step = max(1 << 12, 4 * reach, (CELLS << STEP_BITS) // len(self.counted))
-            for at in range(0, len(text), step):
-                part = piece_hashes(text[at : at + step + reach])
-                line = (len(part) + ahead >> STEP_BITS) + 2 + int(self.bins.max())
-                lines = max(1, (1 << 30) // (line << STEP_BITS))
-                for low in range(0, len(self.counted), lines):
-                    found += self._counted(part, at, ahead, line, low, min(len(self.counted), low + lines))
+        if len(lead):
+            item, first, last = item[lead], votes[lead], votes[lead] + most[lead]
+            # overlapping ones are one region, up to TILE diagonals
+            cut = np.flatnonzero(np.r_[True, (np.diff(item) != 0) | (first[1:] > last[:-1]) | (np.diff(first // TILE) != 0)])
+            item, first, last = item[cut], first[cut], last[np.r_[cut[1:], len(lead)] - 1]
+            found.append(np.stack([item, first - item * line - ahead, last - item * line - ahead], 1))
+        tiles = np.arange(-ahead, len(text), TILE)
+        found += [np.stack([np.full(len(tiles), i), tiles, tiles + TILE - 1], 1) for i in self.short]
         return np.concatenate(found)
 
-    def _counted(self, part: np.ndarray, at: int, ahead: int, line: int, low: int, high: int) -> Iterator[np.ndarray]:
-        """regions of one part of the text, for the items of ranks low to high."""
-        entry = (self.rank - low) * (line << STEP_BITS) + ahead - self.offset
-        if high - low < len(self.counted):
-            entry[(self.rank < low) | (self.rank >= high)] = -1
-        entry = entry.astype(np.int32)
-        n = self.count.take(part)
-        place = np.flatnonzero(n)
-        n = n.take(place)
-        begin = self.start.take(part.take(place)) - (np.cumsum(n) - n)
-        own = entry.take(np.repeat(begin, n) + np.arange(int(n.sum())))
-        cells = own + np.repeat(place.astype(np.int32), n)
-        if high - low < len(self.counted):
-            cells = cells[own >= 0]
-        sums = np.cumsum(np.bincount(cells >> STEP_BITS, minlength=(high - low) * line), dtype=np.int32).reshape(high - low, line)
-        for bins in np.unique(self.bins[low:high]).tolist():
-            rows = np.flatnonzero(self.bins[low:high] == bins)
-            own = sums[rows]
-            row, cell = np.divmod(np.flatnonzero(own[:, bins:] - own[:, :-bins] >= self.least[low:high][rows, None]), line - bins)
-            if len(row):
-                lead = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(cell) > 1)])
-                tail = np.r_[lead[1:], len(row)] - 1
-                # counters cell + 1 to cell + bins of each
-                yield np.stack([self.counted[low + rows[row[lead]]], (cell[lead] + 1 << STEP_BITS) - ahead + at, (cell[tail] + 1 + bins << STEP_BITS) - 1 - ahead + at], 1)
-
     def bounded(self, letters: np.ndarray, found: np.ndarray) -> np.ndarray:
         """The rows of regions in which the least distances of the item's blocks do not add up to more than its bound."""
         item, first, last = found.T
@@ -217,7 +259,7 @@ class Items:
         first = np.cumsum(sizes) - sizes
         whole = "\n".join([*texts, ""])
         text = code_points(whole)
-        pairs = {(d, int(i), int(first[d]), int(first[d]) + len(t)) for i in self.short for d, t in enumerate(texts) if t}
+        pairs: set[tuple[int, int, int, int]] = set()
         for i, low, high in self.bounded(self.classes.take(text), self.regions(text)).tolist():
             begin, end = max(low, 0), min(high + int(self.sizes[i]), len(text))
             d = int(np.searchsorted(first, begin, "right")) - 1
@@ -241,20 +283,23 @@ def item_blocks(items: DataFrame) -> list[list[tuple]]:
     return [[tuple(r) for r in own.where(block == k).collect()] for k in range(blocks)]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """doc_id, item_id, distance, item_chars, first_word: one row per document row and item found in it.
 
     Texts are compared lower-cased (A-Z) with white space as single spaces. An item is found
-    where some part of the text is at most (1 - similarity) * item_chars edits away. Documents
-    never move: each block of items is searched in one pass over them. Null or blank items and
-    texts match nothing; repeated rows give repeated results; other columns are ignored.
+    where some part of the text is at most (1 - similarity) * item_chars edits away and enough
+    walks agree: all exact passages, and a share of about `recall` or more of those with as many
+    edits at random places as the bound allows. recall = 1 finds all, at many times the cost.
+    Documents never move: each block of items is searched in one pass over them. Null or blank
+    items and texts match nothing; repeated rows give repeated results; other columns are ignored,
+    whatever their names; an empty table on either side gives no rows.
     """
     out = None
     for block in item_blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def start(shared=shared):
-            known = Items(shared.value, similarity)
+            known = Items(shared.value, similarity, recall)
 
             def work(ids, texts):
                 split = [x.lower().split() for x in bytes_of(texts)]
@@ -275,13 +320,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     return out
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs in which no item is found; texts are judged in place, nothing is shuffled."""
+def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """The rows of docs in which find_leaks finds no item, with all their columns; texts are judged in place, nothing is shuffled.
+
+    Null, empty and repeated rows without an item stay as they are.
+    """
 
     def clean_of(shared: Broadcast):
         @F.pandas_udf("boolean")
         def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            known = Items(shared.value, similarity)
+            known = Items(shared.value, similarity, recall)
             for texts in batches:
                 keep = np.ones(len(texts), bool)
                 for at in range(0, len(texts), SLICE):
