@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it; Java's \s alone is ASCII.
@@ -143,3 +143,10 @@ def truncated_note(note: Column, transcript: Column, limit: int = 20000, notice:
     note = strip(F.coalesce(note, F.lit("")))
     added = F.when(note == "", F.lit(notice)).otherwise(F.concat(note, F.lit("\n\n" + notice)))
     return F.when((F.length(transcript) > limit) & ~F.contains(note, F.lit(mark)), added).otherwise(note)
+
+
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that later columns read often. As a column of its own, not as a part of
+    their expressions, it is worked out once: projections are not merged where that would repeat it.
+    """
+    return rows.withColumn(name, value)

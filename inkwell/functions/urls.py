@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -46,20 +46,26 @@ def normalize_absolute(c: Column) -> Column:
 
 
 def resolve(url: Column, base: Column) -> Column:
-    """A possibly relative URL against a base, as normalize_absolute, with escapes made canonical."""
-    return F.pandas_udf(_resolve, "string")(url, base)
-
-
-def _resolve(urls: pd.Series, bases: pd.Series) -> pd.Series:
-
-    def one(url, base):
-        if url is None:
-            return None
-        p = urlsplit(urljoin(base or "", url))
-        query = urlencode(sorted(parse_qsl(p.query, keep_blank_values=True)))
-        return urlunsplit((p.scheme, p.netloc.lower(), p.path.split(";")[0], query, ""))
-
-    return pd.Series([one(u, b) for u, b in zip(urls, bases)], dtype=object)
+    """A possibly relative URL against a base: host in lower case, no parameters and fragment, query pairs decoded, in order, and escaped anew.
+
+    Only relative URLs go to Python, to be joined to their base.
+    """
+    absolute = url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+    whole = F.when(absolute, url).otherwise(F.pandas_udf(_joined, "string")(F.when(~absolute, url), F.when(~absolute, base)))
+    coded = lambda x: F.replace(F.replace(F.url_encode(F.coalesce(F.try_url_decode(x), x)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    pair = lambda p: F.struct(F.regexp_extract(p, "^([^=]*)", 1).alias("k"), F.regexp_extract(p, "=(.*)$", 1).alias("v"))
+    pairs = F.transform(F.filter(F.split(F.regexp_extract(whole, r"^[^?#]*\?([^#]*)", 1), "&"), lambda x: x != ""), pair)
+    ordered = F.array_sort(F.transform(pairs, lambda p: F.struct(plain(p["k"]), plain(p["v"]), F.concat(coded(p["k"]), F.lit("="), coded(p["v"])).alias("shown"))))
+    query = F.array_join(F.transform(ordered, lambda p: p["shown"]), "&")
+    scheme, rest = F.regexp_extract(whole, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), F.regexp_replace(whole, r"^[A-Za-z][A-Za-z0-9+.-]*:", "")
+    net = F.lower(F.regexp_extract(rest, r"^(//[^/?#]*)", 1))
+    path = F.regexp_extract(F.regexp_replace(rest, r"^//[^/?#]*", ""), r"^([^?#;]*)", 1)
+    return F.concat(F.lower(scheme), net, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+
+
+def _joined(urls: pd.Series, bases: pd.Series) -> pd.Series:
+    return pd.Series([None if u is None else urljoin(b or "", u) for u, b in zip(urls, bases)], dtype=object)
 
 
 def redact_query(c: Column, names: str = r"(?i)token|key|secret|sign|session|auth|pass", longest: int = 40) -> Column:

@@ -16,16 +16,23 @@ def filled(names: list[str]) -> Column:
     return out
 
 
+def _dealt(rows: DataFrame, names: list[str]) -> DataFrame:
+    """rows with _salt: 0 where the key applies; others are spread by their other keys, and match nothing."""
+    every = [n for _, key in KEYS for n in key if n in rows.columns]
+    return rows.withColumn("_salt", F.when(filled(names), F.lit(0)).otherwise(F.pmod(F.xxhash64(*every), F.lit(1 << 20)).cast("int") + 1))
+
+
 def resolve(incoming: DataFrame, state: DataFrame) -> DataFrame:
     """incoming with existing_id and match_kind: the least state id of the first key that matches.
 
     Each key is one left join to the least id by key, so a key shared by many state rows
-    multiplies nothing. Rows without a match have nulls.
+    multiplies nothing. Rows without a match have nulls. Null and empty keys are dealt over all
+    tasks instead of meeting in one.
     """
     out = incoming
     for kind, names in KEYS:
-        least = state.where(filled(names)).groupBy(*names).agg(F.min("id").alias(f"_{kind}"))
-        out = out.join(least, names, "left")
+        least = state.where(filled(names)).groupBy(*names).agg(F.min("id").alias(f"_{kind}")).withColumn("_salt", F.lit(0))
+        out = _dealt(out, names).join(least, [*names, "_salt"], "left").drop("_salt")
     found = [F.col(f"_{kind}") for kind, _ in KEYS]
     named = F
     for kind, _ in KEYS:
@@ -34,13 +41,26 @@ def resolve(incoming: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def new_items(incoming: DataFrame, state: DataFrame) -> DataFrame:
-    return resolve(incoming, state).where("existing_id is null").select(*incoming.columns)
+    """The rows that no key finds: one anti join by each."""
+    out = incoming
+    for _, names in KEYS:
+        keys = state.where(filled(names)).select(*names, F.lit(0).alias("_salt"))
+        out = _dealt(out, names).join(keys, [*names, "_salt"], "left_anti").drop("_salt")
+    return out.select(*incoming.columns)
 
 
 def known_items(incoming: DataFrame, state: DataFrame) -> DataFrame:
+    """The rows that some key finds."""
     return resolve(incoming, state).where("existing_id is not null").select(*incoming.columns)
 
 
+def first_by_hash(incoming: DataFrame, order: str = "seq") -> DataFrame:
+    """incoming with duplicate: whether an earlier row has the same content hash; null and empty ones have no duplicates."""
+    rows = _dealt(incoming, ["content_hash"])
+    first = F.min(order).over(Window.partitionBy("content_hash", "_salt"))
+    return rows.withColumn("duplicate", F.when(F.col("_salt") == 0, F.col(order) > first).otherwise(F.lit(False))).drop("_salt")
+
+
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of rows that share the keys, the first in order."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -1,16 +1,19 @@
-"""State tables of items, runs and run items: merge rules, last write wins, lists, and run counters."""
+"""State tables of items, runs and run items: merge rules, last write wins, numbering, lists, and run counters."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Columns of an update: the new value counts if it is not null, or it always counts.
 KEEP_OLD = ("item_key", "canonical_url", "content_hash", "file_path")
 OVERWRITE = ("column_name", "title", "published_at", "status", "has_transcript", "transcribed", "summary_status", "error_message")
-RETRY = ("failed", "missing_transcript", "extractor_failed", "summary_failed")
-ATTENTION = ("failed", "missing_transcript", "extractor_failed", "policy_blocked", "login_required")
+# Statuses that are tried again (failed summaries are not), and those that are shown as failed.
+RETRY = ("failed", "extractor_failed", "missing_transcript", "transcription_failed")
+ATTENTION = ("failed", "extractor_failed", "missing_transcript", "policy_blocked", "transcription_failed")
+#: Rows that one task numbers, about.
+NUMBERED = 1 << 19
 ITEMS = T.StructType(
     [T.StructField("id", T.LongType())]
     + [T.StructField(n, T.StringType()) for n in ("source_url", "item_key", "canonical_url", "column_name", "title", "published_at", "synced_at", "content_hash", "status", "file_path")]
@@ -34,14 +37,38 @@ def migrate(items: DataFrame, now: str) -> DataFrame:
     )
 
 
+def numbered(rows: DataFrame, order: str, name: str, key: list[str] | None = None, most: int = NUMBERED) -> DataFrame:
+    """rows with `name`: their place from 1 by `order` (a number; ties by chance), of all or of each key.
+
+    Rows are cut at quantiles of the order, counted by cut, and numbered within it: no task
+    gets more than about `most` rows, however hot a key is. Few cuts make the counts small.
+    """
+    key = key or []
+    n = rows.count()
+    parts = max(1, -(-n // most))
+    cuts = rows.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10_000).alias("c")).first()["c"] if parts > 1 else []
+    bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
+    marked = rows.withColumn("_cut", F.size(F.filter(bounds, lambda b: b < F.coalesce(F.col(order), F.lit(-(1 << 62))))))
+    earlier = Window.partitionBy(*key).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    before = marked.groupBy(*key, "_cut").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    same = F.col("a._cut") == F.col("b._cut")
+    for k in key:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    own = marked.withColumn("_own", F.row_number().over(Window.partitionBy(*key, "_cut").orderBy(order)))
+    out = own.alias("a").join(before.alias("b"), same)
+    return out.select(*(F.col(f"a.{c}") for c in rows.columns), (F.col("_own") + F.col("_before")).cast("long").alias(name))
+
+
 def upsert(items: DataFrame, changes: DataFrame, now: str) -> DataFrame:
     """The next snapshot of items. changes: item columns, seq, and existing_id (null: a new item).
 
-    Of several changes to an item the last by seq counts. New ids follow the greatest old one
-    in order of seq: only new rows are numbered. A stored summary failure is a synced item.
+    Of several changes to an item, or to a new source_url, the last by seq counts; a change with
+    neither is a new item of its own. New ids follow the greatest old one in order of seq: only
+    new rows are numbered. A stored summary failure is a synced item.
     """
-    last = Window.partitionBy(F.coalesce(F.concat(F.lit("id:"), F.col("existing_id")), F.concat(F.lit("url:"), F.col("source_url")))).orderBy(F.desc("seq"))
-    c = changes.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    key = F.coalesce(F.concat(F.lit("id:"), F.col("existing_id")), F.concat(F.lit("url:"), F.col("source_url")))
+    known = changes.where(key.isNotNull())
+    c = known.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("seq")))).where("_n = 1").drop("_n").union(changes.where(key.isNull()))
     stored = F.col("status") == "summary_failed"
     c = c.withColumn("status", F.when(stored & F.col("has_transcript") & F.col("file_path").isNotNull(), "synced").otherwise(F.col("status")))
     mark = (F.col("c.status") == "synced") | (F.col("c.has_transcript") & F.col("c.file_path").isNotNull())
@@ -54,8 +81,8 @@ def upsert(items: DataFrame, changes: DataFrame, now: str) -> DataFrame:
         F.when(mark, F.lit(now)).otherwise(F.col("o.synced_at")).alias("synced_at"), "o.created_at", F.when(hit, F.lit(now)).otherwise(F.col("o.updated_at")).alias("updated_at"),
     )
     top = items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    fresh = c.alias("c").where("existing_id is null").crossJoin(F.broadcast(top)).select(  # one row
-        (F.col("top") + F.row_number().over(Window.orderBy("seq"))).cast("long").alias("id"), "c.source_url", *KEEP_OLD, *OVERWRITE,
+    fresh = numbered(c.where("existing_id is null"), "seq", "_place").alias("c").crossJoin(F.broadcast(top)).select(  # one row
+        (F.col("top") + F.col("_place")).alias("id"), "c.source_url", *KEEP_OLD, *OVERWRITE,
         F.when(mark, F.lit(now)).alias("synced_at"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"),
     )
     return updated.unionByName(fresh).select(*ITEMS.names)
@@ -76,17 +103,45 @@ def oldest_of(items: DataFrame, statuses: list[str], limit: int) -> DataFrame:
     return items.where(F.col("status").isin(*statuses) if statuses else F.lit(False)).orderBy(F.col("updated_at").asc_nulls_first(), "id").limit(limit)
 
 
+def attention(items: DataFrame, also: tuple[str, ...] = (), limit: int = 20) -> DataFrame:
+    """Items that need attention or have one of the statuses `also`, longest untouched first."""
+    return oldest_of(items, list(dict.fromkeys((*ATTENTION, *also))), limit)
+
+
 def needs_summary(items: DataFrame, every: bool = False) -> DataFrame:
     out = items.where(F.col("has_transcript") & F.col("file_path").isNotNull())
     return out if every else out.where(F.col("summary_status").isNull() | (F.col("summary_status") == "summary_failed"))
 
 
-def run_details(run_items: DataFrame, items: DataFrame, run_id) -> DataFrame:
-    """Actions of a run with what is known of their items, if anything."""
+def run_details(run_items: DataFrame, items: DataFrame, run_id, limit: int | None = None) -> DataFrame:
+    """Actions of a run with what is known of their items, if anything; with a limit the first by item."""
     own = run_items.where(F.col("run_id") == F.lit(run_id)).select("run_id", "item_id", "action", F.col("status").alias("run_item_status"), "message")
+    own = own if limit is None else own.orderBy("item_id").limit(limit)
     return own.join(items.select(F.col("id").alias("item_id"), "title", "column_name", "status"), "item_id", "left")
 
 
+def outcomes(rows: DataFrame) -> DataFrame:
+    """rows with action, status and new: what became of each item of a listing.
+
+    Read are known, error, reason, has_transcript, duplicate and summary_failed, in the order of
+    the tests: a known item is skipped, an exception fails, a blocked page is blocked, no text is an
+    extraction failure if there is a reason for it, a known content hash is skipped.
+    """
+    c = F.col
+    status = (
+        F.when(c("known"), F.lit(None)).when(c("error").isNotNull(), "failed").when(is_blocked(c("reason")), "policy_blocked")
+        .when(~c("has_transcript"), F.when(F.coalesce(c("reason"), F.lit("")) != "", "extractor_failed").otherwise("missing_transcript"))
+        .when(c("duplicate"), F.lit(None)).when(c("summary_failed"), "summary_failed").otherwise("synced")
+    )
+    return rows.withColumns({"status": status, "action": F.when(status.isNull(), "skip").otherwise("sync"), "new": ~c("known")})
+
+
+def is_blocked(reason: Column) -> Column:
+    """Whether a reason names a blocked page; false for null."""
+    return F.coalesce(F.startswith(reason, F.lit("policy_blocked:")), F.lit(False))
+
+
+#: Counter -> the rows that it counts.
 COUNTERS = {
     "discovered_count": "true",
     "new_count": "action <> 'skip'",
@@ -99,8 +154,9 @@ COUNTERS = {
 
 
 def run_counters(outcomes: DataFrame) -> DataFrame:
-    """Counters and status of each run from its outcome rows, in one aggregation."""
-    counted = outcomes.groupBy("run_id").agg(*(F.count_if(F.expr(rule)).alias(n) for n, rule in COUNTERS.items()))
+    """Counters and status of each run from its outcome rows, in one aggregation; requests are summed where rows have them."""
+    sums = [F.coalesce(F.sum("requests"), F.lit(0)).alias("request_count")] if "requests" in outcomes.columns else []
+    counted = outcomes.groupBy("run_id").agg(*(F.count_if(F.expr(rule)).alias(n) for n, rule in COUNTERS.items()), *sums)
     bad = F.col("failed_count") + F.col("missing_transcript_count") + F.col("summary_failed_count")
     return counted.withColumn("status", F.when(bad == 0, "success").otherwise("partial_failed"))
 
@@ -132,13 +188,14 @@ def top_details(rows: DataFrame, section: str, order: list[str], most: int = 10)
 
 
 def titles_by(rows: DataFrame, key: str, order: str, title: str) -> DataFrame:
-    """Titles of each key in order, as one text; bounded by what a report holds of a run."""
-    return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, title))), lambda s: s[title]), "|").alias("titles"), F.count("*").alias("n"))
+    """key, place, title: the titles of each key in order, a row each, so that no key's list is held whole."""
+    return numbered(rows.select(key, order, F.col(title).alias("title")), order, "place", [key]).select(key, "place", "title")
 
 
-def empty_columns(columns: DataFrame, items: DataFrame, key: str = "column_name") -> DataFrame:
-    """The columns for which no item was found."""
-    return columns.select(key).join(items.select(key), key, "left_anti").distinct()
+def empty_columns(columns: DataFrame, items: DataFrame, key: str = "column_name", valid: str | None = None) -> DataFrame:
+    """The columns for which no item was found, but for those that a flag column calls empty but valid."""
+    left = columns if valid is None else columns.where(~F.coalesce(F.col(valid), F.lit(False)))
+    return left.select(key).join(items.select(key), key, "left_anti").distinct()
 
 
 def repeated(rows: DataFrame, key: str) -> DataFrame:

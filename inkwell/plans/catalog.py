@@ -66,14 +66,34 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _gated(spark: SparkSession, d: str) -> DataFrame:
-    rows = _docs(spark, d).select("doc_id", "source", text.normalize(F.col("text")).alias("body"), F.regexp_extract("text", r"^[^\n]*", 0).alias("title"))
-    q = pages.gate(F.col("body"), F.col("title"), noise=12.0, words=NOISE)
-    return rows.select("doc_id", "source", q.alias("q")).select("doc_id", "source", "q.chars", "q.paragraphs", "q.noise_hits", "q.reason")
+    rows = text.once(_docs(spark, d).select("doc_id", "source", "text"), "body", text.normalize(F.col("text"))).withColumn("title", F.regexp_extract("text", r"^[^\n]*", 0))
+    return pages.gated(rows, "q", "body", "title", NOISE, noise=12.0).select("doc_id", "source", "q.chars", "q.paragraphs", "q.noise_hits", "q.reason")
 
 
 query("quality_gate", _GATE)(_gated)
 
 
+_DEFAULT_HITS = " + ".join(f"(length(body) - length(replace(body, '{w}', ''))) // {len(w)}" for w in ("登录", "扫码", "下载App", "相关推荐", "加入学习"))
+_UI = "case doc_id % 4 when 0 then '' when 1 then '登录' when 2 then repeat('扫码 下载App ', n_chars // 100 + 1) else '相关推荐，加入学习' end"
+
+
+def _limits(noise: float) -> str:
+    return f"case when length(body) < 300 then 'too_short' when n < 3 then 'too_few_paragraphs' when hits / greatest(n, 1) > {noise} then 'too_much_ui_noise' end"
+
+
+@query(
+    "quality_gate_defaults",
+    f"""select doc_id, n as paragraphs, hits as noise_hits, {_limits(0.08)} as reason, {_limits(0.3)} as section_reason from (select *, ({_DEFAULT_HITS})::bigint as hits
+    from (select doc_id, body, len(list_filter(string_split(body, chr(10) || chr(10)), lambda l: l <> ''))::bigint as n
+    from (select doc_id, {_NORM} as body from (select doc_id, text || chr(10) || {_UI} as text from documents))))""",
+)
+def _(spark, d):
+    shown = F.expr(_UI.replace("//", "div").replace("n_chars div 100 + 1", "cast(n_chars div 100 + 1 as int)"))
+    rows = text.once(_docs(spark, d).select("doc_id", F.concat("text", F.lit("\n"), shown).alias("text")), "body", text.normalize(F.col("text")))
+    rows = pages.gated(pages.gated(rows, "q", "body"), "s", "body", noise=0.3)
+    return rows.select("doc_id", "q.paragraphs", "q.noise_hits", "q.reason", F.col("s.reason").alias("section_reason"))
+
+
 @query("quality_reason_counts", f"select coalesce(reason, 'ok') as reason, count(*) as n from ({_GATE}) group by 1")
 def _(spark, d):
     return _gated(spark, d).groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
@@ -102,8 +122,9 @@ def _(spark, d):
     f"select doc_id, len({_lines('text')})::bigint as paragraphs, length({_NORM})::bigint as chars, sha256({_NORM}) as body_hash from documents",
 )
 def _(spark, d):
-    body = text.normalize(F.col("text"))
-    return _docs(spark, d).select("doc_id", F.size(text.paragraphs(F.col("text"))).cast("long").alias("paragraphs"), F.length(body).cast("long").alias("chars"), text.content_hash(body).alias("body_hash"))
+    rows = text.once(_docs(spark, d).select("doc_id", "text"), "lines", text.paragraphs(F.col("text")))
+    rows = text.once(rows, "body", F.array_join("lines", "\n\n"))
+    return rows.select("doc_id", F.size("lines").cast("long").alias("paragraphs"), F.length("body").cast("long").alias("chars"), text.content_hash(F.col("body")).alias("body_hash"))
 
 
 @query("content_hash_dups", "select sha256(text) as content_hash, count(*) as n, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
@@ -135,6 +156,18 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", text.clean_title(F.col("text")).alias("title"))
 
 
+_BRANDED = _strip(rf"regexp_split_to_array({_squash('t')}, '{WS}*[-_|]{WS}*(?:Alpha|Beta)?')[1]")
+
+
+@query(
+    "clean_title_of_brand",
+    f"select doc_id, {_BRANDED} as title from (select doc_id, left(text, 20) || ' | ' || case when doc_id % 2 = 0 then 'Alpha' else 'Gamma' end || ' news' as t from documents)",
+)
+def _(spark, d):
+    t = F.concat(F.left("text", F.lit(20)), F.lit(" | "), F.when(F.col("doc_id") % 2 == 0, "Alpha").otherwise("Gamma"), F.lit(" news"))
+    return _docs(spark, d).select("doc_id", text.clean_title(t, ("Alpha", "Beta")).alias("title"))
+
+
 @query("title_terms", f"select doc_id, array_to_string({_TERMS}, '/') as terms from (select doc_id, {_FIRST} as title from documents)")
 def _(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(text.title_terms(F.regexp_extract("text", r"^[^\n]*", 0)), "/").alias("terms"))
@@ -268,17 +301,19 @@ def _(spark, d):
 
 
 # events as a log: a day is a run, a user an item, the kind of event an action
-_LOG = """select strftime(ts, '%Y-%m-%d') as run_id, user_id as item_id, event_id as seq, event_type as action,
+_LOG = """select strftime(ts, '%Y-%m-%d') as run_id, user_id as item_id, event_id as seq, case event_type when 'purchase' then 'skip' else event_type end as action,
   case event_type when 'error' then 'failed' when 'signup' then 'missing_transcript' when 'view' then 'synced' when 'click' then 'synced' else 'skipped' end as status,
-  case when value > 40 then 'summary_failed' else 'ok' end as summary_status from events"""
+  case when value > 40 then 'summary_failed' else 'ok' end as summary_status,
+  case event_type when 'purchase' then 0 when 'error' then 2 else 1 end::bigint as requests from events"""
 
 
 def _log(spark, d) -> DataFrame:
     kind = F.col("event_type")
     status = F.when(kind == "error", "failed").when(kind == "signup", "missing_transcript").when(kind.isin("view", "click"), "synced").otherwise("skipped")
     return table(spark, d, "events").select(
-        F.date_format("ts", "yyyy-MM-dd").alias("run_id"), F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"), kind.alias("action"),
+        F.date_format("ts", "yyyy-MM-dd").alias("run_id"), F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"), F.when(kind == "purchase", "skip").otherwise(kind).alias("action"),
         status.alias("status"), F.when(F.col("value") > 40, "summary_failed").otherwise("ok").alias("summary_status"),
+        F.when(kind == "purchase", 0).when(kind == "error", 2).otherwise(1).cast("long").alias("requests"),
     )
 
 
@@ -290,7 +325,10 @@ def _(spark, d):
     return state.last_wins(_log(spark, d))
 
 
-_COUNTERS = ", ".join(f"count(*) filter (where {rule}) as {n}" for n, rule in state.COUNTERS.items())
+_COUNTERS = """count(*) as discovered_count, count(*) filter (where action <> 'skip') as new_count, count(*) filter (where action = 'skip') as skipped_count,
+  count(*) filter (where status = 'synced') as success_count, count(*) filter (where status in ('failed', 'policy_blocked', 'extractor_failed')) as failed_count,
+  count(*) filter (where status = 'missing_transcript') as missing_transcript_count, count(*) filter (where summary_status = 'summary_failed') as summary_failed_count,
+  sum(requests)::bigint as request_count"""
 
 
 @query("run_counters", f"select *, case when failed_count + missing_transcript_count + summary_failed_count = 0 then 'success' else 'partial_failed' end as status from (select run_id, {_COUNTERS} from ({_LOG}) group by run_id)")
@@ -301,7 +339,8 @@ def _(spark, d):
 _ITEMS_SQL = """select doc_id as id, 'u' || doc_id as source_url, source as column_name, left(text, 30) as title, sha256(text) as content_hash, lang as item_key,
   n_chars % 3 > 0 as has_transcript, case when n_chars % 2 = 0 then 'f' || doc_id end as file_path,
   case n_chars % 5 when 0 then 'summary_failed' when 1 then null else 'ok' end as summary_status,
-  case n_chars % 4 when 0 then 'failed' when 1 then 'synced' when 2 then 'missing_transcript' else 'policy_blocked' end as status,
+  case n_chars % 8 when 0 then 'failed' when 1 then 'synced' when 2 then 'missing_transcript' when 3 then 'policy_blocked' when 4 then 'extractor_failed'
+    when 5 then 'transcription_failed' when 6 then 'summary_failed' else 'login_required' end as status,
   lpad(((n_chars * 7919) % 100000)::varchar, 6, '0') as updated_at from documents"""
 
 
@@ -311,7 +350,7 @@ def _items(spark, d) -> DataFrame:
         F.col("doc_id").alias("id"), F.concat(F.lit("u"), "doc_id").alias("source_url"), F.col("source").alias("column_name"), F.left("text", F.lit(30)).alias("title"),
         text.content_hash(F.col("text")).alias("content_hash"), F.col("lang").alias("item_key"), (n % 3 > 0).alias("has_transcript"), F.when(n % 2 == 0, F.concat(F.lit("f"), "doc_id")).alias("file_path"),
         F.when(n % 5 == 0, "summary_failed").when(n % 5 != 1, "ok").alias("summary_status"),
-        F.when(n % 4 == 0, "failed").when(n % 4 == 1, "synced").when(n % 4 == 2, "missing_transcript").otherwise("policy_blocked").alias("status"),
+        F.element_at(F.array(*map(F.lit, ("failed", "synced", "missing_transcript", "policy_blocked", "extractor_failed", "transcription_failed", "summary_failed", "login_required"))), (n % 8 + 1).cast("int")).alias("status"),
         F.lpad(((n * 7919) % 100000).cast("string"), 6, "0").alias("updated_at"),
     )
 
@@ -321,11 +360,16 @@ def _(spark, d):
     return state.newest(_items(spark, d), "updated_at").select("id", "updated_at")
 
 
-@query("items_by_status", f"select id, status from ({_ITEMS_SQL}) where status in ('failed', 'missing_transcript', 'extractor_failed', 'summary_failed') order by updated_at nulls first, id limit 50")
+@query("items_by_status", f"select id, status from ({_ITEMS_SQL}) where status in ('failed', 'extractor_failed', 'missing_transcript', 'transcription_failed') order by updated_at nulls first, id limit 50")
 def _(spark, d):
     return state.oldest_of(_items(spark, d), list(state.RETRY), 50).select("id", "status")
 
 
+@query("attention_list", f"select id, status from ({_ITEMS_SQL}) where status in ('failed', 'extractor_failed', 'missing_transcript', 'policy_blocked', 'transcription_failed', 'login_required') order by updated_at nulls first, id limit 60")
+def _(spark, d):
+    return state.attention(_items(spark, d), ("login_required", "failed"), 60).select("id", "status")
+
+
 @query("needs_summary", f"select id from ({_ITEMS_SQL}) where has_transcript and file_path is not null and (summary_status is null or summary_status = 'summary_failed')")
 def _(spark, d):
     return state.needs_summary(_items(spark, d)).select("id")
@@ -339,6 +383,17 @@ def _(spark, d):
     return state.run_details(own, _items(spark, d), first).select("run_id", "item_id", "action", "run_item_status", "title", "status")
 
 
+_LAST_RUN = f"select * from ({_LOG}) where run_id = (select max(run_id) from ({_LOG})) qualify row_number() over (partition by run_id, item_id order by seq desc) = 1 order by item_id limit 20"
+
+
+@query("run_items_first", f"select r.item_id, r.action, i.column_name from ({_LAST_RUN}) r left join ({_ITEMS_SQL}) i on i.id = r.item_id")
+def _(spark, d):
+    log = _log(spark, d)
+    last = log.agg(F.max("run_id")).first()[0]
+    own = state.last_wins(log.where(F.col("run_id") == last)).withColumn("message", F.lit(""))
+    return state.run_details(own, _items(spark, d), last, 20).select("item_id", "action", "column_name")
+
+
 @query("failures_by_status", f"select status, count(*) as n from ({_ITEMS_SQL}) where status <> 'synced' group by status")
 def _(spark, d):
     return _items(spark, d).where("status <> 'synced'").groupBy("status").agg(F.count("*").alias("n"))
@@ -349,7 +404,7 @@ def _(spark, d):
     return _items(spark, d).where("status <> 'synced'").groupBy("column_name").agg(F.count("*").alias("n"))
 
 
-@query("titles_by_column", f"select column_name, string_agg(title, '|' order by id) as titles, count(*) as n from ({_ITEMS_SQL}) where status = 'failed' group by column_name")
+@query("titles_by_column", f"select column_name, row_number() over (partition by column_name order by id) as place, title from ({_ITEMS_SQL}) where status = 'failed'")
 def _(spark, d):
     return state.titles_by(_items(spark, d).where("status = 'failed'"), "column_name", "id", "title")
 
@@ -407,10 +462,10 @@ def _(spark, d):
     return state.empty_columns(table(spark, d, "nation").select(F.col("n_name").alias("column_name")), _items(spark, d))
 
 
-@query("duplicate_columns", "select r_name as name, count(*) as n from (select r_name from region union all select r_name from region where r_regionkey % 2 = 0) group by 1 having count(*) > 1")
+@query("duplicate_columns", "select r_name as name, count(*) as n from region join nation on n_regionkey = r_regionkey group by 1 having count(*) > 1")
 def _(spark, d):
-    region = table(spark, d, "region").select("r_name", "r_regionkey")
-    return state.repeated(region.union(region.where("r_regionkey % 2 = 0")).select(F.col("r_name").alias("name")), "name")
+    region, nation = table(spark, d, "region"), table(spark, d, "nation")
+    return state.repeated(nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(F.col("r_name").alias("name")), "name")
 
 
 @query(
@@ -421,8 +476,8 @@ def _(spark, d):
     return _items(spark, d).rollup("status", "column_name").agg(F.count("*").alias("n"))
 
 
-_INCOMING = f"select id, case when id % 6 = 0 then source_url else 'x' || id end as source_url, case when id % 6 = 1 then source_url end as canonical_url, case when id % 6 = 2 then item_key end as item_key, column_name, content_hash from ({_ITEMS_SQL}) where id % 2 = 0"
-_STATE = f"select id, source_url, source_url as canonical_url, item_key, column_name, content_hash from ({_ITEMS_SQL}) where id % 3 <> 1"
+_INCOMING = f"select id, case when id % 5 = 0 then source_url else 'x' || id end as source_url, case when id % 5 = 1 then source_url end as canonical_url, case when id % 5 = 2 then item_key || id end as item_key, column_name, case when id % 5 <> 4 then content_hash else '' end as content_hash from ({_ITEMS_SQL})"
+_STATE = f"select id, source_url || m as source_url, source_url || m as canonical_url, item_key || id || m as item_key, column_name, content_hash || m as content_hash from (select *, case when id % 3 = 1 then '!' else '' end as m from ({_ITEMS_SQL}))"
 _RESOLVED = f"""select i.*, coalesce(a.id, b.id, c.id, e.id) as existing_id,
   case when a.id is not null then 'source_url' when b.id is not null then 'canonical_url' when c.id is not null then 'id' when e.id is not null then 'content_hash' end as match_kind
   from ({_INCOMING}) i left join (select source_url, min(id) as id from ({_STATE}) group by 1) a on a.source_url = i.source_url
@@ -432,12 +487,17 @@ _RESOLVED = f"""select i.*, coalesce(a.id, b.id, c.id, e.id) as existing_id,
 
 
 def _incoming_and_state(spark, d) -> tuple[DataFrame, DataFrame]:
+    """All documents on both sides: a third of the state has other keys than what comes in, which shows one key or none."""
     items, i = _items(spark, d), F.col("id")
-    incoming = items.where("id % 2 = 0").select(
-        "id", F.when(i % 6 == 0, F.col("source_url")).otherwise(F.concat(F.lit("x"), i)).alias("source_url"), F.when(i % 6 == 1, F.col("source_url")).alias("canonical_url"),
-        F.when(i % 6 == 2, F.col("item_key")).alias("item_key"), "column_name", "content_hash",
+    incoming = items.select(
+        "id", F.when(i % 5 == 0, F.col("source_url")).otherwise(F.concat(F.lit("x"), i)).alias("source_url"), F.when(i % 5 == 1, F.col("source_url")).alias("canonical_url"),
+        F.when(i % 5 == 2, F.concat("item_key", i)).alias("item_key"), "column_name", F.when(i % 5 != 4, F.col("content_hash")).otherwise("").alias("content_hash"),
     )
-    return incoming, items.where("id % 3 <> 1").select("id", "source_url", F.col("source_url").alias("canonical_url"), "item_key", "column_name", "content_hash")
+    moved = lambda *c: F.concat(*c, F.when(i % 3 == 1, "!").otherwise(""))
+    state_rows = items.select(
+        "id", moved("source_url").alias("source_url"), moved("source_url").alias("canonical_url"), moved("item_key", i).alias("item_key"), "column_name", moved("content_hash").alias("content_hash")
+    )
+    return incoming, state_rows
 
 
 @query("identity_resolution", _RESOLVED)
@@ -455,6 +515,12 @@ def _(spark, d):
     return identity.known_items(*_incoming_and_state(spark, d)).select("id")
 
 
+@query("content_duplicates", f"select id, coalesce(id > min(id) over (partition by nullif(content_hash, '')) and content_hash <> '', false) as duplicate from ({_INCOMING})")
+def _(spark, d):
+    incoming = _incoming_and_state(spark, d)[0]
+    return identity.first_by_hash(incoming, "id").select("id", "duplicate")
+
+
 @query("limit_new_items", "select doc_id, source from (select doc_id, source, sum((doc_id % 3 = 0)::int) over (order by source, doc_id) as k from documents) where k <= 40")
 def _(spark, d):
     rows = _docs(spark, d).select("doc_id", "source", (F.col("doc_id") % 3 == 0).alias("new"))
@@ -466,29 +532,29 @@ def _(spark, d):
     return identity.first_source(_docs(spark, d).select("doc_id", "source", "lang"), "source", "lang")
 
 
-_UP_OLD = f"select id, source_url, item_key, source_url as canonical_url, column_name, title, null::varchar as published_at, null::varchar as synced_at, content_hash, status, file_path, has_transcript, has_transcript as transcribed, summary_status, null::varchar as error_message, '2024' as created_at, updated_at from ({_ITEMS_SQL}) where id % 3 <> 0"
+_UP_OLD = f"select id, source_url, title, status, file_path, null::varchar as synced_at, updated_at from ({_ITEMS_SQL})"
 
 
 @query(
     "upsert_items",
-    f"""with o as ({_UP_OLD}), c as (select *, case when id % 3 <> 0 then id end as existing_id from ({_ITEMS_SQL}) where id % 2 = 0),
+    f"""with o as ({_UP_OLD}), c as (select *, case when id % 3 <> 0 then id end as existing_id from ({_ITEMS_SQL})),
     u as (select o.id, o.source_url, o.title || case when c.id is null then '' else '!' end as title, case when c.id is null then o.status else 'synced' end as status,
       coalesce(case when c.id % 4 = 0 then 'n' || c.id end, o.file_path) as file_path, case when c.id is not null then '2025' end as synced_at, case when c.id is null then o.updated_at else '2025' end as updated_at
       from o left join c on c.existing_id = o.id)
-    select * from u union all select (select max(id) from o) + row_number() over (order by id), source_url, title || '!', 'synced', case when id % 4 = 0 then 'n' || id end, '2025', '2025' from c where existing_id is null""",
+    select * from u union all select (select max(id) from o) + row_number() over (order by id), case when id % 6 <> 0 then 'v' || id end, title || '!', 'synced', case when id % 4 = 0 then 'n' || id end, '2025', '2025' from c where existing_id is null""",
 )
 def _(spark, d):
-    items = _items(spark, d)
+    """A third of the changes are new items, every second of these without an address."""
+    items, i = _items(spark, d), F.col("id")
     null = F.lit(None).cast("string")
     full = items.withColumns({"canonical_url": F.col("source_url"), "published_at": null, "synced_at": null, "transcribed": F.col("has_transcript"), "error_message": null, "created_at": F.lit("2024")})
-    old = full.where("id % 3 <> 0").select(*state.ITEMS.names)
-    changed = full.where("id % 2 = 0").withColumns(
+    changed = full.withColumns(
         {
-            "seq": F.col("id"), "existing_id": F.when(F.col("id") % 3 != 0, F.col("id")), "status": F.lit("synced"), "title": F.concat("title", F.lit("!")),
-            "file_path": F.when(F.col("id") % 4 == 0, F.concat(F.lit("n"), "id")),
+            "seq": i, "existing_id": F.when(i % 3 != 0, i), "status": F.lit("synced"), "title": F.concat("title", F.lit("!")),
+            "file_path": F.when(i % 4 == 0, F.concat(F.lit("n"), "id")), "source_url": F.when(i % 3 != 0, F.col("source_url")).when(i % 6 != 0, F.concat(F.lit("v"), "id")),
         }
     )
-    return state.upsert(old, changed, "2025").select("id", "source_url", "title", "status", "file_path", "synced_at", "updated_at")
+    return state.upsert(full.select(*state.ITEMS.names), changed, "2025").select("id", "source_url", "title", "status", "file_path", "synced_at", "updated_at")
 
 
 @query("read_back", "select doc_id, " + _strip("text") + " as transcript from documents")
@@ -501,10 +567,62 @@ def _pages(spark, d):
     return table(spark, d, "pages")
 
 
-QUERIES["page_extraction"] = lambda spark, d: pages.extract(_pages(spark, d))
-QUERIES["page_candidates"] = lambda spark, d: pages.candidates(pages.parsed(_pages(spark, d))).drop("body")
-QUERIES["page_metadata"] = lambda spark, d: pages.parsed(_pages(spark, d)).select("page_id", "title", "author", "published", F.length("visible").alias("visible_chars"))
-QUERIES["page_items"] = lambda spark, d: pages.listed_items(_pages(spark, d), "", ("http", "/"))
+def _shown(html: str) -> str:
+    """The visible text of simple markup, by patterns."""
+    h = f"regexp_replace(regexp_replace({html}, '<!--[\\s\\S]*?-->', '', 'g'), '<(?:script|style)[^>]*>[\\s\\S]*?</(?:script|style)>', ' ', 'g')"
+    h = f"regexp_replace({h}, '<(?:p|div|section|article|br|li|h1|h2|h3)(?:\\s[^>]*)?>|</(?:p|div|section|article|li)>', chr(10), 'g')"
+    h = f"regexp_replace({h}, '<[^>]*>', ' ', 'g')"
+    for entity, shown in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        h = f"replace({h}, '{entity}', '{shown}')"
+    return _VISIBLE.replace("regexp_replace(text,", f"regexp_replace({h},")
+
+
+_TITLE = _strip(rf"regexp_split_to_array({_squash('t')}, '{WS}*[-_|]{WS}*')[1]")
+_PARSED = f"""select page_id, url, html, vis, {_TITLE} as title, array_to_string({_lines('art')}, chr(10) || chr(10)) as a, array_to_string({_lines('vis')}, chr(10) || chr(10)) as v from (
+  select page_id, url, html, {_shown('html')} as vis, {_shown("regexp_extract(html, '<article>([\\s\\S]*)</article>', 1)")} as art, {_shown("regexp_extract(html, '<title>([^<]*)', 1)")} as t from pages)"""
+_UI_HITS = " + ".join(f"(length(body) - length(replace(body, '{w}', ''))) // {len(w)}" for w in ("登录", "扫码", "下载App", "相关推荐", "加入学习"))
+_CANDIDATES = f"""select *, chars + 50 * paragraphs - 200 * noise_hits + case when reason is null then 10000 else 0 end as score from (
+  select page_id, i as index, title, body, length(body)::bigint as chars, paragraphs, noise_hits, case when length(body) < 300 then 'too_short' when paragraphs < 3 then 'too_few_paragraphs'
+    when noise_hits / greatest(paragraphs, 1) > 0.08 then 'too_much_ui_noise' when len({_TERMS}) > 0 and len(list_filter({_TERMS}, lambda t: contains(body, t))) = 0 then 'title_not_related' end as reason from (
+  select *, len(list_filter(string_split(body, chr(10) || chr(10)), lambda l: l <> ''))::bigint as paragraphs, ({_UI_HITS})::bigint as noise_hits from (
+  select page_id, title, unnest(range(1, len(c) + 1)) as i, unnest(c) as body from (
+  select page_id, title, list_filter(case when a = v then [a] else [a, v] end, lambda x: x <> '') as c from ({_PARSED})))))"""
+_CHOSEN = f"select *, row_number() over (partition by page_id order by reason is null desc, score desc, index) = 1 as selected from ({_CANDIDATES})"
+
+
+_ID = f"select page_id, case when {_PATH} <> '' then regexp_extract({_PATH}, '[^/]*$') end as id from pages"
+
+
+@query(
+    "page_extraction",
+    f"""select p.page_id, url, id, p.title, null::varchar as author, null::varchar as published, coalesce(n, 0) as n_candidates, 0::bigint as n_media, len(regexp_extract_all(html, '<a href='))::bigint as n_anchors,
+    c.page_id is not null and c.reason is null as ok, case when c.page_id is null then 'empty' else c.reason end as reason, chars, paragraphs, noise_hits, case when c.reason is null then coalesce(body, '') else '' end as transcript, sha256(html) as html_hash
+    from ({_PARSED}) p left join (select page_id, count(*) as n from ({_CANDIDATES}) group by 1) k on k.page_id = p.page_id left join (select * from ({_CHOSEN}) where selected) c on c.page_id = p.page_id
+    left join ({_ID}) i on i.page_id = p.page_id""",
+)
+def _(spark, d):
+    return pages.extract(_pages(spark, d))
+
+
+@query("page_candidates", f"select page_id, index, reason is null as ok, reason, chars, paragraphs, noise_hits, score, selected, {_PREVIEW.replace('80', '120').replace('text', 'body')} as preview from ({_CHOSEN})")
+def _(spark, d):
+    return pages.candidates(pages.parsed(_pages(spark, d))).drop("body")
+
+
+@query("page_metadata", f"select page_id, title, null::varchar as author, null::varchar as published, length(vis)::bigint as visible_chars from ({_PARSED})")
+def _(spark, d):
+    return pages.parsed(_pages(spark, d)).select("page_id", "title", "author", "published", F.length("visible").cast("long").alias("visible_chars"))
+
+
+@query(
+    "page_items",
+    f"""select page_id, detail_url, regexp_extract(detail_url, '[^/]*$') as item_id, title from (select *, row_number() over (partition by page_id, detail_url order by pos) as r from (
+    select page_id, lower(regexp_extract(url, '^([^:]+://[^/?#]*)', 1)) || unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) as detail_url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) as title,
+    unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>')))) as pos, url from pages)
+    where length(title) >= 4 and detail_url <> url) where r = 1""",
+)
+def _(spark, d):
+    return pages.listed_items(_pages(spark, d), "", ("http", "/"))
 
 
 @query("summary_parse")
@@ -513,7 +631,17 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", s.alias("s")).select("conv_id", "turn", "s.status", F.size("s.atomic_cards").alias("cards"), "s.permanent_note")
 
 
-@query("render_note")
+_LINE = _squash("regexp_replace(regexp_extract(text, '^[^\\n]*'), '[\\x00-\\x1f]+', ' ', 'g')")
+_QUOTED = "'\"' || replace(replace(replace(replace(regexp_extract(text, '^[^\\n]*'), '\\', '\\\\'), '\"', '\\\"'), chr(9), '\\t'), chr(13), '\\r') || '\"'"
+_EMPTY_PARTS = " || ".join(f"'## {name}' || chr(10) || chr(10) || '{shown}' || chr(10) || chr(10)" for name, shown in (("原子卡片", "> 摘要尚未生成。"), ("永久笔记", "> 摘要尚未生成。"), ("关联", "- "), ("行动/观察", "- "), ("复习问题", "- "), ("关键词", "")))
+
+
+@query(
+    "render_note",
+    f"""select doc_id, array_to_string(['---', 'source: "web"', 'column: "' || source || '"', 'title: ' || {_QUOTED}, 'author: ""', 'published: ""', 'url: "https://example.com/' || doc_id || '"', 'content_type: "transcript"',
+    'summary_style: "zettelkasten"', 'sync_time: "2025-01-01T00:00:00+08:00"', 'tags:', '  - "' || source || '"', '---', '', '# ' || case when {_LINE} = '' then 'untitled' else {_LINE} end, ''], chr(10)) || chr(10)
+    || {_EMPTY_PARTS} || '## 来源' || chr(10) || chr(10) || '- <https://example.com/' || doc_id || '>' || chr(10) || chr(10) || '## 全文稿' || chr(10) || chr(10) || {_strip('text')} || chr(10) as note from documents""",
+)
 def _(spark, d):
     n = F.lit(None).cast("string")
     empty = F.lit(None).cast(notes.SUMMARY)
