@@ -76,7 +76,7 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int
     """(start, kind index, end) in order; base kinds are leftmost and do not overlap within a kind."""
     spans: list[tuple[int, int, int]] = []
     extra: list[tuple[int, int, int]] = []
-    email_at = ip_at = card_at = phone_at = value_at = 0
+    email_at = ip_at = card_at = phone_at = url_at = value_at = 0
     for last, (what, width) in anchors.iter(folded(text)):
         at = last + 1 - width
         if what == "digit":
@@ -106,8 +106,11 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int
                 if 9 <= sum(c in DIGITS for c in m[0]) <= 15:
                     spans.append((at, 3, phone_at))
         elif what == "scheme":
-            if (not at or not text[at - 1].isalnum()) and (m := URL_REST.match(text, last - 2)) and m.end() > last + 1:
-                extra.append((at, 4, m.end()))
+            if not at or not text[at - 1].isalnum():
+                if last + 1 >= url_at and (m := URL_REST.match(text, last - 2)):
+                    url_at = m.end()  # an address within another one ends where that does
+                if url_at > last + 1:
+                    extra.append((at, 4, url_at))
         elif what == "cue":
             if at and (text[at - 1].isalnum() or text[at - 1] == "_"):
                 continue
@@ -129,10 +132,20 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int
             if (m := HOUSE.search(line)) and (not m.start() or not line[m.start() - 1].isalnum()):
                 extra.append((at + 1 - len(m[0]), 6, last + 1))
     if extra:
-        base, end = [(s, e) for s, _, e in spans], 0
+        base = [sorted((s, e) for s, k, e in spans if k == kind) for kind in range(N_BASE)]
+        behind, end = [0] * N_BASE, 0
         for s, k, e in sorted(set(extra)):
-            # an account goes beyond what a base kind takes of it
-            if s >= end and all(e <= a or b <= s or (k == 5 and (s < a or b < e)) for a, b in base):
+            clear = s >= end
+            for kind, own in enumerate(base) if clear else ():
+                i = behind[kind]
+                while i < len(own) and own[i][1] <= s:
+                    i += 1
+                behind[kind] = i
+                while clear and i < len(own) and own[i][0] < e:
+                    # an account goes beyond what a base kind takes of it
+                    clear = k == 5 and (s < own[i][0] or own[i][1] < e)
+                    i += 1
+            if clear:
                 spans.append((s, k, e))
                 end = e
     spans.sort()
@@ -147,8 +160,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_extra: one row per input row.
 
     A null text counts as empty: no spans, the hash of the empty text. Repeated rows give
-    repeated results; null ids stay null; other columns are ignored. Texts are scanned whole
-    in one pass; positions are code points.
+    repeated results; null ids stay null; other columns are ignored, whatever their names; an
+    empty table gives no rows. Texts are scanned whole in one pass; positions are code points.
     """
 
     def start():
@@ -176,8 +189,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def redact_pii(docs: DataFrame) -> DataFrame:
     """docs with each span of its text replaced by [KIND], and n_chars, where there is one, counted anew.
 
-    Keeps every row and column; a null text stays null. Overlapping spans of two kinds are
-    replaced together, under the first one's name.
+    Keeps every row, and every column, whatever its name; a null text stays null, an empty one
+    empty; an empty table stays empty. Overlapping spans of two kinds are replaced together, under
+    the first one's name.
     """
     text = docs.schema["text"].name
 
