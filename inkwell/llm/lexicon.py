@@ -54,15 +54,18 @@ def count_units(docs: DataFrame, split: Split, flags: Sequence[Column]) -> DataF
 
 
 def frequent(table: DataFrame, most: int) -> DataFrame:
-    """The rows of table whose n is so large that at most `most` rows have as much."""
-    steps = table.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n")).collect()
+    """The rows of table whose n is so large that at most `most` rows have as much, to an eighth of a doubling.
+
+    The driver gets a count for each step of n, some 500 at most.
+    """
+    step = F.floor(8 * F.log2(F.greatest("n", F.lit(1)))).cast("int")
     left, least = most, None
-    for step in steps:
-        left -= step["rows"]
+    for row in table.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).orderBy(F.desc("step")).collect():
+        left -= row["rows"]
         if left < 0:
             break
-        least = step["n"]
-    return table.where(F.col("n") >= F.lit(least)) if least is not None else table.limit(0)
+        least = row["step"]
+    return table.where(step >= least) if least is not None else table.limit(0)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
