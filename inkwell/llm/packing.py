@@ -23,8 +23,9 @@ LENGTH = 2048
 END_ID = 1
 #: Tokens in a bin of the histogram: 256 bins, half a bin lost for each piece on average.
 BIN = 8
-#: Parts that a bin's pieces are ranked in, so that no task ranks a whole hot bin.
+#: Parts that a bin's pieces are ranked in at least, and pieces of a part, about, so that no task ranks a whole hot bin.
 SALTS = 64
+RANKED = 1 << 19
 #: Words whose ids a task remembers.
 REMEMBER = 400_000
 
@@ -201,23 +202,26 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID)
 
     A null or empty text is its end id alone. Repeated rows are packed each on its own; null
     ids stay null; other columns are ignored; an empty table gives no rows. Only the
-    histogram (bins times salts) and the patterns (at most a few per bin) reach the driver.
+    histogram (a row for each part of a bin) and the patterns (at most a few per bin) reach the driver.
     """
     spark = docs.sparkSession
     width = max(1, BIN * length // LENGTH)
     capacity = length // width
-    pieces = written(pieces_of(docs, path, length, end_id)).withColumns(
-        {
-            "bin": F.ceil(F.col("length") / width).cast("int"),
-            "salt": F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"),
-        }
-    )
+    pieces = written(pieces_of(docs, path, length, end_id)).withColumn("bin", F.ceil(F.col("length") / width).cast("int"))
+    total = np.zeros(capacity + 1, np.int64)
+    for row in pieces.groupBy("bin").agg(F.count("*").alias("n")).collect():  # a row for each bin
+        total[row["bin"]] = row["n"]
+    salts = np.maximum(SALTS, -(-total // RANKED))
+    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.element_at(F.array(*map(F.lit, salts.tolist())), F.col("bin") + 1))
+    pieces = pieces.withColumn("salt", salt.cast("int"))
     histogram = pieces.groupBy("bin", "salt").agg(F.count("*").alias("n")).toPandas()
-    count = np.zeros((capacity + 1, SALTS), np.int64)
-    count[histogram["bin"].to_numpy(int), histogram["salt"].to_numpy(int)] = histogram["n"].to_numpy(np.int64)
-    before = np.cumsum(count, axis=1) - count
-    sizes = np.flatnonzero(count.sum(1))
-    patterns = solve_patterns(sizes, count.sum(1)[sizes], capacity) if len(sizes) else []
+    first = np.cumsum(salts) - salts
+    count = np.zeros(int(salts.sum()), np.int64)
+    count[first[histogram["bin"].to_numpy(int)] + histogram["salt"].to_numpy(int)] = histogram["n"].to_numpy(np.int64)
+    before = np.cumsum(count) - count
+    before -= np.repeat(before[first], salts)  # within the bin
+    sizes = np.flatnonzero(total)
+    patterns = solve_patterns(sizes, total[sizes], capacity) if len(sizes) else []
     # of each bin: the ranks at which a pattern begins to take pieces, and what it is
     deals: dict[int, list[tuple[int, int, int, int]]] = {int(s): [] for s in sizes}
     taken, first_id = dict.fromkeys(deals, 0), 0
@@ -229,21 +233,21 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID)
                 taken[size] += each * times
                 slot += each
         first_id += times
-    shared = spark.sparkContext.broadcast((before, {k: np.array(v).T for k, v in deals.items()}))
+    shared = spark.sparkContext.broadcast((first, before, {k: np.array(v).T for k, v in deals.items()}))
 
     def start():
-        before, deals = shared.value
+        first, before, deals = shared.value
 
         def work(doc, begin, size, crc, tokens, bins, salts, ranks):
             bins, salts, ranks = (np.asarray(v) for v in (bins, salts, ranks))
-            rank = before[bins, salts] + ranks - 1
+            rank = before[first[bins] + salts] + ranks - 1
             sequence, slot = np.empty(len(bins), np.int64), np.empty(len(bins), np.int64)
             for b in np.unique(bins):
                 own = bins == b
-                at, each, first, slots = deals[int(b)]
+                at, each, ids, slots = deals[int(b)]
                 k = np.searchsorted(at, rank[own], "right") - 1
                 copy, place = np.divmod(rank[own] - at[k], each[k])
-                sequence[own], slot[own] = first[k] + copy, slots[k] + place
+                sequence[own], slot[own] = ids[k] + copy, slots[k] + place
             return [doc, begin, size, crc, tokens, sequence, slot]
 
         return work
