@@ -13,6 +13,8 @@ from .common import arrow_map, crc_of_id, read_table
 #: Documents of each language that training reads, at most about so many (chosen by a hash of the id).
 SAMPLE = 6000
 SLOTS = 1 << 16
+#: Most languages that a model may have: each takes half a megabyte of counts on the driver.
+LANGUAGES = 500
 #: Least gap of decoded probability between the best two languages that is not ambiguous.
 GAP = 0.2
 LETTER = re.compile(r"[^\W\d_]")
@@ -82,10 +84,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits the bit classifiers on rows whose crc32 remainder is not 1 and that name a language.
 
     Reads about `sample` rows per language at most, by a hash of the id; what reaches the
-    driver is one count per language and slot.
+    driver is one count per language and slot. Fails on more than LANGUAGES values of lang, which
+    is then no column of languages.
     """
     own = docs.where((crc_of_id("doc_id") % 3 != 1) & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} values of lang")
     languages = [r["lang"] for r in sizes]
     if not languages:
         return Model([], np.zeros((0, SLOTS)))
