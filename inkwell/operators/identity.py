@@ -54,10 +54,10 @@ def known_items(incoming: DataFrame, state: DataFrame) -> DataFrame:
     return resolve(incoming, state).where("existing_id is not null").select(*incoming.columns)
 
 
-def first_by_hash(incoming: DataFrame, order: str = "seq") -> DataFrame:
-    """incoming with duplicate: whether an earlier row has the same content hash; null and empty ones have no duplicates."""
-    rows = _dealt(incoming, ["content_hash"])
-    first = F.min(order).over(Window.partitionBy("content_hash", "_salt"))
+def mark_repeats(incoming: DataFrame, names: list[str], order: str = "seq") -> DataFrame:
+    """incoming with duplicate: whether an earlier row has the same key; null and empty keys have no duplicates."""
+    rows = _dealt(incoming, names)
+    first = F.min(order).over(Window.partitionBy(*names, "_salt"))
     return rows.withColumn("duplicate", F.when(F.col("_salt") == 0, F.col(order) > first).otherwise(F.lit(False))).drop("_salt")
 
 

@@ -518,7 +518,7 @@ def _(spark, d):
 @query("content_duplicates", f"select id, coalesce(id > min(id) over (partition by nullif(content_hash, '')) and content_hash <> '', false) as duplicate from ({_INCOMING})")
 def _(spark, d):
     incoming = _incoming_and_state(spark, d)[0]
-    return identity.first_by_hash(incoming, "id").select("id", "duplicate")
+    return identity.mark_repeats(incoming, ["content_hash"], "id").select("id", "duplicate")
 
 
 @query("limit_new_items", "select doc_id, source from (select doc_id, source, sum((doc_id % 3 = 0)::int) over (order by source, doc_id) as k from documents) where k <= 40")

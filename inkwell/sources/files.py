@@ -17,12 +17,12 @@ def html_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def note_vault(spark: SparkSession, path: str) -> DataFrame:
-    """Notes of a folder: path, fields of their front matter, transcript, and whether they have a summary."""
+    """Notes of a folder in order of their paths: path, fields of their front matter, transcript, and whether they have a summary."""
     rows = spark.read.text(path, wholetext=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("note"))
     return rows.select(
         "path", notes.front_matter(F.col("note")).alias("fields"), notes.read_back(F.col("note")).alias("transcript"),
         F.col("note").rlike("### 卡片 1").alias("has_summary"), F.nullif(F.regexp_extract("note", r"\d{4}-\d{2}-\d{2}", 0), F.lit("")).alias("date"),
-    )
+    ).orderBy("path")
 
 
 def article_lists(captures: DataFrame) -> DataFrame:

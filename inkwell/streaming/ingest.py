@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from inkwell.operators import identity, state
 
 
 def merge_batch(items: DataFrame, incoming: DataFrame, now: str) -> DataFrame:
-    """The next snapshot of items after incoming (item columns and seq), resolved against the state."""
-    known = identity.resolve(incoming.withColumn("item_key", F.col("item_key")), items).drop("match_kind")
-    return state.upsert(items, known, now)
+    """The next snapshot of items after incoming (item columns and seq), resolved against the state.
+
+    Of rows of one batch that share an id and column, or a content hash, only the first by seq
+    counts; of those that share an address the last.
+    """
+    for names in (["item_key", "column_name"], ["content_hash"]):
+        incoming = identity.mark_repeats(incoming, names).where("not duplicate").drop("duplicate")
+    return state.upsert(items, identity.resolve(incoming, items).drop("match_kind"), now)
 
 
 def ingest(spark: SparkSession, source: str, schema, root: str, now: str, checkpoint: str):
