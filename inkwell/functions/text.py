@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it; Java's \s alone is ASCII.
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
+#: The same as characters.
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]"
 
 # Device names that are no file names, and interface words that are no prose.
@@ -27,7 +29,7 @@ SECRETS = (
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def squash(c: Column) -> Column:
