@@ -12,11 +12,9 @@ from pyspark.sql import functions as F
 from inkwell.functions import text, urls
 from inkwell.operators import pages
 
-# Kinds of blocks without text of their own, a place holder, and parts of addresses.
+# Kinds of blocks without text of their own, and a place holder.
 SILENT_BLOCKS = ("audio", "image", "video", "divider", "salutation")
 READER_NAME = "$_IGET_USER_NAME_$"
-DETAIL_PART = "/pc/ddarticle/v1/article/get/v2"
-LIST_PARTS = ("/aichannel/sphere/v1/app/special/article_list", "/aichannel/class/free_article_list")
 # Names of fields that may hold content, and files that are media.
 KEYWORDS = r"(?i)(transcript|subtitle|caption|subtitles|captions|vtt|srt|text|content|brief|desc|title|live|replay)"
 MEDIA_FILES = r"(?i)(\.m3u8|\.mp4|\.m4a|\.aac|\.vtt|\.srt)(?:[?#]|$)"
@@ -45,9 +43,10 @@ def state_items(captures: DataFrame, base: str, detail: str = "/course/article?i
     )
 
 
-def detail_payloads(responses: DataFrame) -> DataFrame:
-    """url and payload of the responses (url, body) that hold an article's body as a JSON object."""
-    return responses.where(F.contains("url", F.lit(DETAIL_PART)) & F.coalesce(F.get_json_object("body", "$").startswith("{"), F.lit(False))).select("url", F.col("body").alias("payload"))
+def detail_payloads(responses: DataFrame, part: str) -> DataFrame:
+    """url and payload of the responses (url, body) whose address holds `part`, and whose body is a JSON object."""
+    whole = F.coalesce(F.startswith(F.to_json(F.try_parse_json("body")), F.lit("{")), F.lit(False))
+    return responses.where(F.contains("url", F.lit(part)) & whole).select("url", F.col("body").alias("payload"))
 
 
 def block_text(payload: Column) -> Column:

@@ -477,3 +477,12 @@ def _(spark, d):
     rows = _docs(spark, d).where("text is not null").select("doc_id", payload.alias("p"))
     body = text.once(rows, "b", payloads.block_text(F.col("p")))
     return body.select("doc_id", F.col("b").alias("transcript_head"), text.content_hash(F.col("b")).alias("h"))
+
+
+@query("detail_payloads", "select page_id, '{\"c\": ' || page_id || '}' as payload from pages where page_id % 3 = 0 and page_id % 4 <> 3")
+def _(spark, d):
+    i = F.col("page_id")
+    body = F.when(i % 3 == 0, F.concat(F.lit('{"c": '), i, F.lit("}"))).when(i % 3 == 1, "[1]").otherwise("{broken")
+    address = F.concat(F.lit("https://h.example.com/"), F.when(i % 4 == 3, "list").otherwise("article/get"), F.lit("?id="), i)
+    found = payloads.detail_payloads(table(spark, d, "pages").select(address.alias("url"), body.alias("body")), "/article/get")
+    return found.select(F.regexp_extract("url", r"id=(\d+)", 1).cast("long").alias("page_id"), "payload")
