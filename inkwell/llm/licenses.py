@@ -123,39 +123,49 @@ def template_rows() -> list[tuple[str, int, str, float, float]]:
 IDF_OTHER = round(math.log(1 + len(template_texts())) + 1, 6)
 
 
+def similarities(terms: DataFrame, unit: list[str], sizes: tuple[int, ...]) -> DataFrame:
+    """(*unit, size, license, similarity) of LEAST or more, for terms (*unit, term, ns: how often the term is in each of the sizes).
+
+    Norms and products of all sizes are summed side by side, first within a task, so what is
+    shuffled are sums and not terms.
+    """
+    spark = terms.sparkSession
+    # a fixed, small table: the templates' terms
+    weights = spark.createDataFrame(template_rows(), "license string, template int, term string, weight double, idf double")
+    idf = F.broadcast(weights.select("term", "idf").distinct())
+    w = [F.get("ns", F.lit(k)) * F.coalesce("idf", F.lit(IDF_OTHER)) for k in range(len(sizes))]
+    weighted = terms.join(idf, "term", "left").select(*unit, "term", *(x.alias(f"w{k}") for k, x in enumerate(w)))
+    norm = weighted.groupBy(*unit).agg(*(F.sum(F.col(f"w{k}") * F.col(f"w{k}")).alias(f"s{k}") for k in range(len(sizes))))
+    both = weighted.join(F.broadcast(weights.select("license", "template", "term", "weight")), "term")
+    dots = both.groupBy(*unit, "license", "template").agg(*(F.sum(F.col(f"w{k}") * F.col("weight")).alias(f"d{k}") for k in range(len(sizes))))
+    each = F.array(*(F.struct(F.lit(n).alias("size"), F.round(F.try_divide(F.col(f"d{k}"), F.sqrt(f"s{k}")), 4).alias("similarity")) for k, n in enumerate(sizes)))
+    near = F.filter(each, lambda x: x["similarity"] >= LEAST)
+    return dots.join(norm, unit).select(*unit, "license", F.explode(near).alias("x")).select(*unit, "x.size", "license", "x.similarity")
+
+
 def statements(files: DataFrame, key: str = "path") -> DataFrame:
     """(key, line, size, license, similarity): where a line with a cue, or the words from it on, are similar enough to a licence's templates.
 
     Each line with a cue is compared alone and as the start of windows of several sizes, which
-    hold headers and whole licence texts whatever their comment signs and line breaks.
+    hold headers and whole licence texts whatever their comment signs and line breaks. Texts are
+    read once, for the lines with cues and what follows them.
     """
-    at = F.col("line")
+    at, sizes = F.col("line"), WINDOWS[1:]
+    terms_of = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"({TERM})"))
     lines = (
         files.where(F.col("text").rlike(CUE))
         .select(key, F.split("text", "\n").alias("ls"))
         .select(key, "ls", F.explode(F.filter(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: F.get("ls", i).rlike(CUE))).alias("line"))
     )
-    terms_of = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"({TERM})"))
-    units = (
-        lines.select(key, "line", terms_of(F.get("ls", at)).alias("own"), terms_of(F.array_join(F.slice("ls", at + 1, LINES), " ")).alias("after"))
-        .select(key, "line", "own", "after", F.explode(F.array(*map(F.lit, WINDOWS))).alias("size"))
-        .select(key, "line", "size", F.explode(F.when(F.col("size") == 0, F.col("own")).otherwise(F.slice("after", F.lit(1), F.col("size")))).alias("term"))
-    )
-    terms = units.groupBy(key, "line", "size", "term").agg(F.count("*").alias("n"))
-    spark = files.sparkSession
-    # a fixed, small table: the templates' terms
-    weights = spark.createDataFrame(template_rows(), "license string, template int, term string, weight double, idf double")
-    idf = F.broadcast(weights.select("term", "idf").distinct())
-    unit = [key, "line", "size"]
-    weighted = terms.join(idf, "term", "left").select(*unit, "term", (F.col("n") * F.coalesce("idf", F.lit(IDF_OTHER))).alias("w"))
-    both = weighted.join(F.broadcast(weights.select("license", "template", "term", "weight")), "term", "left")
-    norm = weighted.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = both.where("license is not null").groupBy(*unit, "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    return (
-        dots.join(norm, unit)
-        .select(*unit, "license", F.round(F.col("dot") / F.col("norm"), 4).alias("similarity"))
-        .where(F.col("similarity") >= LEAST)
-    )
+    lines = written(lines.select(key, "line", terms_of(F.get("ls", at)).alias("own"), F.slice(terms_of(F.array_join(F.slice("ls", at + 1, LINES), " ")), 1, sizes[-1]).alias("after")))
+    own = lines.select(key, "line", F.explode("own").alias("term")).groupBy(key, "line", "term").agg(F.array(F.count("*")).alias("ns"))
+    # windows are beginnings of the same words: where a term stands among them tells how often each has it
+    places = lambda t: F.filter(F.transform("after", lambda y, i: F.when(y == t, i)), lambda i: i.isNotNull())
+    before = lambda n: lambda i: i < n
+    counts = lambda p: F.array(*(F.size(F.filter(p, before(n))) for n in sizes))
+    after = F.transform(F.array_distinct("after"), lambda t: F.struct(t.alias("term"), F.get(F.transform(F.array(places(t)), counts), F.lit(0)).alias("ns")))
+    window = lines.select(key, "line", F.explode(after).alias("x")).select(key, "line", "x.term", "x.ns")
+    return similarities(own, [key, "line"], WINDOWS[:1]).union(similarities(window, [key, "line"], sizes))
 
 
 def stated(files: DataFrame, key: str) -> DataFrame:
@@ -217,18 +227,17 @@ def scan_licenses(files: DataFrame, key: str = "path") -> DataFrame:
 #: Path of a document: by source, language and id; those whose last line may state a licence are the licence files.
 DOC_PATH = """concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'und'), concat('d', cast(floor(doc_id / 64) as bigint)),
   concat(case when {cue} then 'LICENSE-' else 'doc-' end, doc_id))"""
-LAST_CUE = f"(?i)(?:{CUE[4:]})[^\\n]*\\z"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    cue = f"text rlike r'{LAST_CUE}'"
+    cue = f"substring_index(text, '\\n', -1) rlike r'{CUE}'"
     return scan_licenses(docs.select("doc_id", F.expr(DOC_PATH.format(cue=cue)).alias("path"), "text"), "doc_id")
 
 
 _VALUES = ", ".join(f"('{a}', {k}, '{b}', {c}::double, {d}::double)" for a, k, b, c, d in template_rows())
 ORACLE = rf"""
-with files as (select doc_id, text, {DOC_PATH.format(cue=f"regexp_matches(text, '{LAST_CUE}')")} as path from documents),
+with files as (select doc_id, text, {DOC_PATH.format(cue=f"regexp_matches(string_split(text, chr(10))[-1], '{CUE}')")} as path from documents),
 wt(license, template, term, weight, idf) as (values {_VALUES}),
 idf as (select distinct term, idf from wt),
 l0 as (select doc_id, path, string_split(text, chr(10)) as ls from files where regexp_matches(text, '{CUE}')),
