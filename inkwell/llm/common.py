@@ -17,10 +17,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """A column by its name as it is, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(stem: str, columns: Sequence[str]) -> str:
+    """A column name that no other column has, in any case of its letters."""
+    taken, name = {c.lower() for c in columns}, f"_{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of its own only where the session names none."""
+    """The folder of spark.checkpoint.dir; one of its own only where the session names none and runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="inkwell-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

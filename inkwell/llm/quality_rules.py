@@ -8,10 +8,10 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bytes_of, read_table
+from .common import arrow_map, bytes_of, quoted, read_table, unused
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
@@ -58,6 +58,16 @@ def measure(text: bytes, n_chars: int) -> tuple[int, ...]:
     return n, n_chars - spaces, symbols, len(lines) - len(set(lines)), repeated, len(lines), _upper(text), marks
 
 
+def fail_mask(name=lambda measure: measure) -> Column:
+    """The mask of the measures, whose columns `name` gives: bit k is set if rule k fails."""
+
+    def condition(rule: str) -> Column:
+        return F.expr(re.sub(r"\b(" + "|".join(MEASURES) + r")\b", lambda m: name(m[0]), rule))
+
+    bits = [F.when(condition(rule), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, (_, rule) in RULES.items()]
+    return sum(bits[1:], bits[0]).cast("long")
+
+
 def evaluate_rules(docs: DataFrame) -> DataFrame:
     """The ledger: doc_id, the measures, and fail_mask (bit k set: rule k fails).
 
@@ -76,8 +86,7 @@ def evaluate_rules(docs: DataFrame) -> DataFrame:
     ledger = arrow_map(
         docs, [F.col("doc_id").cast("long"), "text"], "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES), start
     )
-    bits = [F.when(F.expr(rule), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, (_, rule) in RULES.items()]
-    return ledger.withColumn("fail_mask", sum(bits[1:], bits[0]).cast("long"))
+    return ledger.withColumn("fail_mask", fail_mask())
 
 
 def apply_policy(ledger: DataFrame, version: int = POLICY) -> DataFrame:
@@ -89,22 +98,21 @@ def apply_policy(ledger: DataFrame, version: int = POLICY) -> DataFrame:
 
 
 def keep(docs: DataFrame, version: int = POLICY) -> DataFrame:
-    """The rows of docs that a policy keeps, with all their columns; judged in place, nothing is shuffled."""
+    """The rows of docs that a policy keeps, with all their columns; judged in place, nothing is shuffled.
+
+    The text's entry of the ledger (measures and mask) stands beside the row and only its mask is
+    read. Columns stay as they are, whatever their names; null and empty texts fail few_words and
+    go; repeated rows are judged each alike; an empty table stays empty.
+    """
 
     @F.pandas_udf("struct<" + ", ".join(f"{m}: long" for m in MEASURES) + ">")
     def measured(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure((t or "").encode(), len(t or "")) for t in texts], columns=list(MEASURES))
 
-    mask = POLICIES[version] | BASE_MASK
-    name = "_measured"
-    while name in docs.columns:
-        name += "_"
-    rows = docs.withColumn(name, measured(F.col("text")))
-    for _, rule in (r for bit, r in RULES.items() if mask >> bit & 1):
-        for m in MEASURES:
-            rule = re.sub(rf"\b{m}\b", f"{name}.{m}", rule)
-        rows = rows.where(~F.expr(rule))
-    return rows.select(*[rows[c] for c in docs.columns])
+    name = unused("measured", docs.columns)
+    entry = docs.withColumn(name, measured(F.col("text")))
+    entry = entry.withColumn(name, fail_mask(lambda m: f"{name}.{m}"))
+    return entry.where(F.col(name).bitwiseAND(F.lit(POLICIES[version] | BASE_MASK)) == 0).select(*map(quoted, docs.columns))
 
 
 def ablations(ledger: DataFrame, version: int = POLICY) -> DataFrame:

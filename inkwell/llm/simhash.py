@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bytes_of, components, read_table, written
+from .common import arrow_map, bytes_of, components, quoted, read_table, unused, written
 
 WORDS = 3
 SEED = 42
@@ -21,13 +21,17 @@ DISTANCE = 3
 BLOCK = 4096
 #: Entries of up to so many rows are first searched together for any near pair.
 FEW = 8
-#: For similarity instead of a fixed distance: two fingerprints of the distinct two-word shingles find
-#: candidates, and the sets of five-word shingles decide. 126 of the 128 bits are the index, in six
-#: segments; two segments at most 2 bits apart meet where each has one flipped, so all pairs up to
-#: 17 of 126 bits apart are compared.
+#: For similarity instead of a fixed distance: two prints of LANES fingerprints each, one of the distinct
+#: two-word shingles and one of the distinct five-word ones, find candidates, and the sets of five-word
+#: shingles decide. Of a print's 128 bits 126 are the index, in six segments.
 LANES = 2
-CANDIDATE_WORDS = 2
+PRINT_WORDS = (2, 5)
 SEGMENT_BITS = 21
+SEGMENTS = LANES * (63 // SEGMENT_BITS)
+#: Leading bits of a segment that rows are dealt by, at least; the others are searched within a task.
+ROUTE_BITS = 12
+#: Rows of a route that one task compares at once; larger routes are cut in blocks.
+ROUTE_ROWS = 1 << 16
 #: Keys with several blocks that are broadcast (24 bytes each).
 BLOCKS_SENT = 100_000
 #: Rows and bytes of shingle sets of one group that are compared in one task; larger groups are cut in blocks.
@@ -61,8 +65,8 @@ def fingerprint(text: bytes, n: int = WORDS) -> int:
     return majority(shingle_hashes(text, n))
 
 
-def wide_fingerprint(text: bytes, n: int = CANDIDATE_WORDS) -> list[int]:
-    """LANES SimHashes, of the distinct shingle hashes and of further hashes of these."""
+def wide_fingerprint(text: bytes, n: int) -> list[int]:
+    """A print: LANES SimHashes, of the distinct shingle hashes and of further hashes of these."""
     out, h = [], np.unique(shingle_hashes(text, n))
     for _ in range(LANES):
         out.append(majority(h))
@@ -112,16 +116,88 @@ def index_rows(prints: DataFrame, step: int = 1) -> DataFrame:
     )
 
 
-def similar_rows(prints: DataFrame, step: int = 1) -> DataFrame:
-    """(segment, entry, node, l0, l1): each fingerprint under every entry at most 1 bit from its six segments (step 22: under these alone)."""
-    balls = SEGMENT_BITS + 1
-    j, lanes, half = F.col("j"), [f"l{k}" for k in range(LANES)], 63 // SEGMENT_BITS
-    cut = "shiftright({}, cast(%d * ((j div %d) %% %d) as int)) & %d" % (SEGMENT_BITS, balls, half, (1 << SEGMENT_BITS) - 1)
-    value = F.when(j < balls * half, F.expr(cut.format("l0"))).otherwise(F.expr(cut.format("l1")))
-    flip = F.when(j % balls == 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftleft(1L, cast(j % {balls} - 1 as int))"))
-    return prints.select(F.explode(F.sequence(F.lit(0), F.lit(LANES * half * balls - 1), F.lit(step))).alias("j"), "node", *lanes).select(
-        (j / balls).cast("int").alias("segment"), value.bitwiseXOR(flip).alias("entry"), "node", *lanes
-    )
+def route_bits(n: int) -> int:
+    """Bits to deal n texts by, so that a route has some ten thousand rows at most unless it is hot."""
+    return min(SEGMENT_BITS, max(ROUTE_BITS, n.bit_length() - 13))
+
+
+def segment_values(lanes: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """The bits of segment (0 to SEGMENTS - 1) of each row of lanes (unsigned)."""
+    half = SEGMENTS // LANES
+    lane = np.take_along_axis(lanes, (segment // half)[:, None], 1)[:, 0]
+    return (lane >> (SEGMENT_BITS * (segment % half)).astype(np.uint64) & np.uint64((1 << SEGMENT_BITS) - 1)).astype(np.int64)
+
+
+def similar_rows(prints: DataFrame, bits: int = ROUTE_BITS) -> DataFrame:
+    """(segment, route, node, l0, l1): each print under the leading `bits` of its segments, and with one unset bit of these set.
+
+    prints: node and the lanes p0_l0, p0_l1, p1_l0, ...; segments count on from print to print.
+    """
+    names, per, half = [f"l{k}" for k in range(LANES)], bits + 1, SEGMENTS // LANES
+    out = None
+    for k in range(len(PRINT_WORDS)):
+        own = prints.select("node", *(F.col(f"p{k}_{n}").alias(n) for n in names), F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * per - 1))).alias("j"))
+        cut = "shiftright({}, cast(%d * ((j div %d) %% %d) + %d as int)) & %d" % (SEGMENT_BITS, per, half, SEGMENT_BITS - bits, (1 << bits) - 1)
+        value = F.when(F.col("j") < per * half, F.expr(cut.format("l0"))).otherwise(F.expr(cut.format("l1")))
+        flip = F.when(F.col("j") % per == 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftleft(1L, cast(j % {per} - 1 as int))"))
+        rows = (
+            own.select(((F.col("j") / per).cast("int") + F.lit(k * SEGMENTS)).alias("segment"), value.alias("value"), flip.alias("flip"), "node", *names)
+            .where(F.col("value").bitwiseAND(F.col("flip")) == 0)
+            .select("segment", F.col("value").bitwiseOR(F.col("flip")).cast("int").alias("route"), "node", *names)
+        )
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def entries_of(segment: np.ndarray, route: np.ndarray, lanes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, low): the entries of a route that each of its rows is under.
+
+    A row whose leading bits are the route's own is under its low bits and all one bit away; a row
+    with a leading bit set is under its low bits alone. So two segments meet if they differ in at most
+    two bits, unless both are leading bits and the same one of the segments has them unset.
+    """
+    low_bits = SEGMENT_BITS - bits
+    value = segment_values(lanes, segment % SEGMENTS)
+    low, own = value & ((1 << low_bits) - 1), np.flatnonzero(value >> low_bits == route)
+    flips = 1 << np.arange(low_bits)
+    return np.r_[np.arange(len(low)), np.repeat(own, low_bits)], np.r_[low, (low[own][:, None] ^ flips).ravel()]
+
+
+def similar_links(prints: DataFrame, distance: int, bits: int, block: int = ROUTE_ROWS) -> DataFrame:
+    """(a, b): links between nodes; all that meet under an entry and are within `distance` bits of a print are connected through them."""
+    lanes = [f"l{k}" for k in range(LANES)]
+    rows = similar_rows(prints, bits)
+    blocks = rows.groupBy("segment", "route").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    sorted_rows = in_blocks(rows, ["segment", "route"], "node", blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.empty((5 + LANES, 0), np.int64)
+
+        def found(rows: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+            key = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            row, low = entries_of(rows[0], rows[1], rows[5:].T.copy().view("<u8"), bits)
+            order = np.lexsort((low, key[row]))
+            row, low = row[order], low[order]
+            ends = np.flatnonzero(np.r_[True, (key[row[1:]] != key[row[:-1]]) | (low[1:] != low[:-1]), True]) if len(row) else np.array([0])
+            pairs, sorted_lanes = [], rows[5:, row].view("<u8")
+            for k in np.flatnonzero(with_near_pair(sorted_lanes, ends, distance)):
+                nodes, first = np.unique(rows[4, row[ends[k] : ends[k + 1]]], return_index=True)
+                if len(nodes) > 1:
+                    pairs += linked_within(nodes, sorted_lanes[:, ends[k] + first].T.copy(), distance)
+            a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            new = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns])
+            rows = np.concatenate([kept, new], axis=1)
+            cuts = np.flatnonzero(np.r_[True, (rows[:4, 1:] != rows[:4, :-1]).any(0)]) if rows.shape[1] else np.array([0])
+            kept = rows[:, cuts[-1] :]
+            if len(cuts) > 1:
+                yield found(rows[:, : cuts[-1]], cuts)
+        if kept.shape[1]:
+            yield found(kept, np.array([0, kept.shape[1]]))
+
+    return sorted_rows.select("segment", "route", "x", "y", "node", *lanes).mapInArrow(run, "a long, b long").distinct()
 
 
 def linked_within(nodes: np.ndarray, lanes: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -312,12 +388,12 @@ def _similar(placed: DataFrame, n: int, similarity: float) -> DataFrame:
     bits = 64 * LANES
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = math.ceil(bits * apart + 3 * math.sqrt(bits * apart * (1 - apart)))
-    lanes = [f"l{k}" for k in range(LANES)]
+    lanes = [f"p{p}_l{k}" for p in range(len(PRINT_WORDS)) for k in range(LANES)]
 
     def start_prints():
         def work(places, ids, texts):
             texts = bytes_of(texts)
-            wide = np.array([wide_fingerprint(x) for x in texts], np.uint64).reshape(-1, LANES)
+            wide = np.array([[v for w in PRINT_WORDS for v in wide_fingerprint(x, w)] for x in texts], np.uint64).reshape(-1, len(lanes))
             same = np.array([xxhash.xxh64_intdigest(b" ".join(x.lower().split()), SEED) for x in texts], np.uint64)
             return [places, ids, *(x.copy().view("<i8") for x in (same, *wide.T))]
 
@@ -329,10 +405,10 @@ def _similar(placed: DataFrame, n: int, similarity: float) -> DataFrame:
 
         return work
 
-    key, balls = ["same", *lanes], SEGMENT_BITS + 1
+    key = ["same", *lanes]
     rows = written(arrow_map(placed, ["place", "doc_id", "text"], "place long, doc_id long, " + ", ".join(f"{x} long" for x in key), start_prints))
     prints = written(rows.groupBy(*key).agg(F.min("place").alias("node"), F.min("doc_id").alias("least")))
-    near = written(components(links(similar_rows(prints), "node", lanes, most, own=similar_rows(prints, balls), ball=balls)))
+    near = written(components(similar_links(prints, most, route_bits(prints.count()))))
     texts = placed.join(near.withColumnRenamed("node", "place"), "place")
     sets = written(arrow_map(texts, ["root", F.col("place").alias("node"), "text"], "root long, node long, shingles binary", start_sets))
     return _grouped(rows, prints, links_of_sets(sets, similarity), "node", key).select("place", "doc_id", "root", "component_id")
@@ -346,27 +422,30 @@ def similar_groups(docs: DataFrame, n: int = SIMILAR_WORDS, similarity: float =
     """place, doc_id, component_id: one row per input row, as near_duplicates, but linked by similarity.
 
     Texts are linked if the Jaccard similarity of their sets of n-word shingles (A-Z in lower
-    case; fewer words: the whole sequence) is `similarity` or more. Fingerprints propose the
-    groups in which sets are compared, so no pair below it is linked; a pair above it is missed
-    only if the index does not meet it. Texts without words are equal. Nulls, repeated rows,
-    other columns and empty tables are treated as there.
+    case; fewer words: the whole sequence) is `similarity` or more. Prints propose the groups in
+    which sets are compared, so no pair below it is linked. A pair above it is missed if neither
+    of its prints meets the index (at most two differing bits in one of six segments; see
+    entries_of) within the number of differing bits that such a pair has at three standard
+    deviations. Texts without words are equal. Nulls, repeated rows, other columns, whatever
+    their names, and empty tables are treated as there.
     """
-    return _similar(written(_narrow(docs.withColumn("place", F.monotonically_increasing_id()), "place")), n, similarity).drop("root")
+    place = unused("place", docs.columns)
+    return _similar(written(_narrow(docs.withColumn(place, F.monotonically_increasing_id()), place)), n, similarity).drop("root")
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, one of each group of similar texts: of least doc_id, and of its repeats the first; all columns stay.
+    """The rows of docs, one of each group of similar texts: of least doc_id, and of its repeats the first.
 
-    The rows are numbered in a written table, so that numbers hold when executors are lost.
+    All columns stay as they are, whatever their names. Null and empty texts are one group; null
+    ids come after others; an empty table stays empty. The rows are numbered in a written table,
+    so that numbers hold when executors are lost.
     """
-    mark = "_place"
-    while mark in docs.columns:
-        mark += "_"
+    mark = unused("place", docs.columns)
     placed = written(docs.withColumn(mark, F.monotonically_increasing_id()))
     found = written(_similar(_narrow(placed, mark), n, similarity))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("m"))
     gone = written(found.select("place").join(first.select(F.col("m.place").alias("place")), "place", "left_anti"))
-    return placed.join(gone.withColumnRenamed("place", mark), mark, "left_anti").select(*docs.columns)
+    return placed.join(gone.withColumnRenamed("place", mark), mark, "left_anti").select(*map(quoted, docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
