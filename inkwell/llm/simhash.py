@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bytes_of, components, quoted, read_table, unused, written
+from .common import Forest, arrow_map, bytes_of, components, quoted, read_table, unused, written
 
 WORDS = 3
 SEED = 42
@@ -65,9 +65,27 @@ def fingerprint(text: bytes, n: int = WORDS) -> int:
     return majority(shingle_hashes(text, n))
 
 
-def wide_fingerprint(text: bytes, n: int) -> list[int]:
-    """A print: LANES SimHashes, of the distinct shingle hashes and of further hashes of these."""
-    out, h = [], np.unique(shingle_hashes(text, n))
+def word_hashes(text: bytes) -> np.ndarray:
+    """XXH64 of the words of a text (UTF-8), A-Z in lower case."""
+    words = text.lower().split()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(w, SEED) for w in words), "<u8", len(words))
+
+
+def joined_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n word hashes; of all of them if they are fewer; none for none."""
+    n = min(n, len(words))
+    rows = len(words) - n + 1 if n else 0
+    out = np.full(rows, n, np.uint64)
+    for k in range(n):
+        out = (out ^ words[k : k + rows]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def wide_fingerprint(words: np.ndarray, n: int) -> list[int]:
+    """A print of the word hashes of a text: LANES SimHashes, of the distinct shingle hashes and of further hashes of these."""
+    out, h = [], np.unique(joined_hashes(words, n))
     for _ in range(LANES):
         out.append(majority(h))
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -77,7 +95,7 @@ def wide_fingerprint(text: bytes, n: int) -> list[int]:
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
     """The distinct shingle hashes in order; one zero for a text without words."""
-    found = np.unique(shingle_hashes(text, n))
+    found = np.unique(joined_hashes(word_hashes(text), n))
     return found if len(found) else np.zeros(1, "<u8")
 
 
@@ -171,7 +189,7 @@ def similar_links(prints: DataFrame, distance: int, bits: int, block: int = ROUT
     sorted_rows = in_blocks(rows, ["segment", "route"], "node", blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.empty((5 + LANES, 0), np.int64)
+        kept, forest = np.empty((5 + LANES, 0), np.int64), Forest()
 
         def found(rows: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
             key = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
@@ -184,8 +202,7 @@ def similar_links(prints: DataFrame, distance: int, bits: int, block: int = ROUT
                 nodes, first = np.unique(rows[4, row[ends[k] : ends[k + 1]]], return_index=True)
                 if len(nodes) > 1:
                     pairs += linked_within(nodes, sorted_lanes[:, ends[k] + first].T.copy(), distance)
-            a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            return forest.grown(pairs)
 
         for batch in batches:
             new = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns])
@@ -197,7 +214,7 @@ def similar_links(prints: DataFrame, distance: int, bits: int, block: int = ROUT
         if kept.shape[1]:
             yield found(kept, np.array([0, kept.shape[1]]))
 
-    return sorted_rows.select("segment", "route", "x", "y", "node", *lanes).mapInArrow(run, "a long, b long").distinct()
+    return sorted_rows.select("segment", "route", "x", "y", "node", *lanes).mapInArrow(run, "a long, b long")
 
 
 def linked_within(nodes: np.ndarray, lanes: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -297,14 +314,14 @@ def links(rows: DataFrame, node: str, lanes: list[str], distance: int, block: in
 
     rows: segment, entry, node and lanes; own: of these, those that are no probes, where others
     probe `ball` entries. Each table entry is compared in one task, in blocks and pairs of blocks
-    where it may have more than `block` rows; a comparison passes on only as many links as span
-    what it found.
+    where it may have more than `block` rows; a task passes on only as many links as span what it
+    found.
     """
     blocks = large_entries(rows if own is None else own, ball, block)
     sorted_rows = in_blocks(rows.select("segment", "entry", node, *lanes), ["segment", "entry"], node, blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.empty((5 + len(lanes), 0), np.int64)
+        kept, forest = np.empty((5 + len(lanes), 0), np.int64), Forest()
 
         def found(rows: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
             pairs = []
@@ -312,8 +329,7 @@ def links(rows: DataFrame, node: str, lanes: list[str], distance: int, block: in
                 nodes, first = np.unique(rows[4, cuts[k] : cuts[k + 1]], return_index=True)
                 if len(nodes) > 1:
                     pairs += linked_within(nodes, rows[5:, cuts[k] + first].T.copy().view("<u8"), distance)
-            a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            return forest.grown(pairs)
 
         for batch in batches:
             new = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns])
@@ -324,7 +340,7 @@ def links(rows: DataFrame, node: str, lanes: list[str], distance: int, block: in
         if kept.shape[1]:
             yield found(kept, np.array([0, kept.shape[1]]))
 
-    return sorted_rows.mapInArrow(run, "a long, b long").distinct()
+    return sorted_rows.mapInArrow(run, "a long, b long")
 
 
 def links_of_sets(sets: DataFrame, similarity: float, rows: int = SET_ROWS, size: int = SET_BYTES) -> DataFrame:
@@ -338,11 +354,10 @@ def links_of_sets(sets: DataFrame, similarity: float, rows: int = SET_ROWS, size
     sorted_sets = in_blocks(sets.select("root", "node", "shingles"), ["root"], "node", blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, held = None, [], []
+        key, nodes, held, forest = None, [], [], Forest()
 
         def found() -> pa.RecordBatch:
-            pairs = linked_sets(np.array(nodes, np.int64), held, similarity) if len(nodes) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+            return forest.grown(linked_sets(np.array(nodes, np.int64), held, similarity) if len(nodes) > 1 else [])
 
         for batch in batches:
             roots, xs, ys, ids, values = (c.to_pylist() for c in batch.columns)
@@ -356,7 +371,7 @@ def links_of_sets(sets: DataFrame, similarity: float, rows: int = SET_ROWS, size
         if len(nodes) > 1:
             yield found()
 
-    return sorted_sets.mapInArrow(run, "a long, b long").distinct()
+    return sorted_sets.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, distance: int = DISTANCE) -> DataFrame:
@@ -393,7 +408,7 @@ def _similar(placed: DataFrame, n: int, similarity: float) -> DataFrame:
     def start_prints():
         def work(places, ids, texts):
             texts = bytes_of(texts)
-            wide = np.array([[v for w in PRINT_WORDS for v in wide_fingerprint(x, w)] for x in texts], np.uint64).reshape(-1, len(lanes))
+            wide = np.array([[v for n in PRINT_WORDS for v in wide_fingerprint(w, n)] for w in map(word_hashes, texts)], np.uint64).reshape(-1, len(lanes))
             same = np.array([xxhash.xxh64_intdigest(b" ".join(x.lower().split()), SEED) for x in texts], np.uint64)
             return [places, ids, *(x.copy().view("<i8") for x in (same, *wide.T))]
 
