@@ -140,7 +140,7 @@ class Items:
         self.least = np.zeros(len(rows), np.int64)
         voters = [[np.zeros((3, 0), np.int64)] for _ in range(WALKS)]
         for i, p in enumerate(points):
-            stride, own = max(1, min(STRIDE, len(p) // 16)), []
+            stride, own = max(1, min(STRIDE, len(p) // 48)), []
             for walk in range(WALKS):
                 keys, ends = walked(p, walk)
                 at = np.arange(walk * stride // WALKS, len(p), stride)
