@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import context_mixing, decontamination, language, licenses, packing, pii, quality_model, quality_rules, simhash, token_counts
+from . import context_mixing, decontamination, divergence, language, licenses, packing, pii, quality_model, quality_rules, shingle_join, simhash, spelling, token_counts
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_quality_rules": quality_rules.query,
     "op9_context_mixing": context_mixing.query,
     "op10_packing": packing.query,
+    "op11_shingle_join": shingle_join.query,
+    "op12_spelling": spelling.query,
+    "op13_divergence": divergence.query,
 }
-ORACLES = {"op5_licenses": licenses.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
+ORACLES = {"op5_licenses": licenses.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op11_shingle_join": shingle_join.ORACLE, "op13_divergence": divergence.ORACLE}
