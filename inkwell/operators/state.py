@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkwell.operators.numbering import placed
+
 #: Columns of an update: the new value counts if it is not null, or it always counts.
 KEEP_OLD = ("item_key", "canonical_url", "content_hash", "file_path")
 OVERWRITE = ("column_name", "title", "published_at", "status", "has_transcript", "transcribed", "summary_status", "error_message")
 # Statuses that are tried again (failed summaries are not), and those that are shown as failed.
 RETRY = ("failed", "extractor_failed", "missing_transcript", "transcription_failed")
 ATTENTION = ("failed", "extractor_failed", "missing_transcript", "policy_blocked", "transcription_failed")
-#: Rows that one task numbers, about.
-NUMBERED = 1 << 19
 ITEMS = T.StructType(
     [T.StructField("id", T.LongType())]
     + [T.StructField(n, T.StringType()) for n in ("source_url", "item_key", "canonical_url", "column_name", "title", "published_at", "synced_at", "content_hash", "status", "file_path")]
@@ -37,28 +37,6 @@ def migrate(items: DataFrame, now: str) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, order: str, name: str, key: list[str] | None = None, most: int = NUMBERED) -> DataFrame:
-    """rows with `name`: their place from 1 by `order` (a number; ties by chance), of all or of each key.
-
-    Rows are cut at quantiles of the order, counted by cut, and numbered within it: no task
-    gets more than about `most` rows, however hot a key is. Few cuts make the counts small.
-    """
-    key = key or []
-    n = rows.count()
-    parts = max(1, -(-n // most))
-    cuts = rows.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10_000).alias("c")).first()["c"] if parts > 1 else []
-    bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
-    marked = rows.withColumn("_cut", F.size(F.filter(bounds, lambda b: b < F.coalesce(F.col(order), F.lit(-(1 << 62))))))
-    earlier = Window.partitionBy(*key).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    before = marked.groupBy(*key, "_cut").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    same = F.col("a._cut") == F.col("b._cut")
-    for k in key:
-        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    own = marked.withColumn("_own", F.row_number().over(Window.partitionBy(*key, "_cut").orderBy(order)))
-    out = own.alias("a").join(before.alias("b"), same)
-    return out.select(*(F.col(f"a.{c}") for c in rows.columns), (F.col("_own") + F.col("_before")).cast("long").alias(name))
-
-
 def upsert(items: DataFrame, changes: DataFrame, now: str) -> DataFrame:
     """The next snapshot of items. changes: item columns, seq, and existing_id (null: a new item).
 
@@ -81,7 +59,7 @@ def upsert(items: DataFrame, changes: DataFrame, now: str) -> DataFrame:
         F.when(mark, F.lit(now)).otherwise(F.col("o.synced_at")).alias("synced_at"), "o.created_at", F.when(hit, F.lit(now)).otherwise(F.col("o.updated_at")).alias("updated_at"),
     )
     top = items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    fresh = numbered(c.where("existing_id is null"), "seq", "_place").alias("c").crossJoin(F.broadcast(top)).select(  # one row
+    fresh = placed(c.where("existing_id is null"), ["seq", "source_url"], "_place").alias("c").crossJoin(F.broadcast(top)).select(  # one row
         (F.col("top") + F.col("_place")).alias("id"), "c.source_url", *KEEP_OLD, *OVERWRITE,
         F.when(mark, F.lit(now)).alias("synced_at"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"),
     )
@@ -189,7 +167,7 @@ def top_details(rows: DataFrame, section: str, order: list[str], most: int = 10)
 
 def titles_by(rows: DataFrame, key: str, order: str, title: str) -> DataFrame:
     """key, place, title: the titles of each key in order, a row each, so that no key's list is held whole."""
-    return numbered(rows.select(key, order, F.col(title).alias("title")), order, "place", [key]).select(key, "place", "title")
+    return placed(rows.select(key, order, F.col(title).alias("title")), [order, "title"], "place", [key]).select(key, "place", "title")
 
 
 def empty_columns(columns: DataFrame, items: DataFrame, key: str = "column_name", valid: str | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import text, urls
-from inkwell.operators import identity, notes, state
+from inkwell.operators import importing, notes, numbering, state
+from inkwell.sources.shared import stored
 
 FILENAME_FIELDS = ("column", "published_date", "title")
 
@@ -47,7 +48,7 @@ def column_checks(columns: DataFrame, settings: DataFrame, providers: tuple[str,
 def sequence(items: DataFrame, key: str, order: str) -> DataFrame:
     """items with place and of: their place in their column from 1, and how many it has."""
     sizes = items.groupBy(key).agg(F.count("*").alias("of"))
-    return state.numbered(items, order, "place", [key]).join(sizes, key)
+    return numbering.placed(items, [order], "place", [key]).join(sizes, key)
 
 
 def with_pages(items: DataFrame, pages: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -125,7 +126,8 @@ def noted_items(vault: DataFrame, columns: DataFrame) -> DataFrame:
 
     vault: path, column_name (its folder), note. Addresses are resolved against the column's own.
     """
-    on = enabled(columns).select(F.col("name").alias("column_name"), F.col("url").alias("base"))
+    position = F.col("position") if "position" in columns.columns else F.lit(0)
+    on = enabled(columns).select(F.col("name").alias("column_name"), F.col("url").alias("base"), position.alias("position"))
     rows = vault.join(F.broadcast(on), "column_name")  # a row for each configured column
     rows = text.once(rows, "f", notes.front_matter(F.col("note")))
     rows = rows.withColumns({"url": F.coalesce(F.col("f")["url"], F.lit("")), "title": F.coalesce(F.col("f")["title"], F.lit(""))})
@@ -134,25 +136,19 @@ def noted_items(vault: DataFrame, columns: DataFrame) -> DataFrame:
         "path", "column_name", F.left("title", F.lit(120)).alias("title"), F.col("detail_url").alias("source_url"), urls.extract_id(F.col("detail_url")).alias("item_key"),
         F.nullif(F.regexp_extract(F.coalesce(F.col("f")["published"], F.lit("")), r"\d{4}-\d{2}-\d{2}", 0), F.lit("")).alias("published_at"),
         (text.strip(notes.read_back(F.col("note"))) != "").alias("has_transcript"), F.col("note").rlike("### 卡片 1").alias("has_summary"),
-        F.when((F.col("url") == "") | (F.col("title") == ""), "missing_meta").otherwise("item").alias("outcome"),
+        F.when((F.col("url") == "") | (F.col("title") == ""), "missing_meta").otherwise("item").alias("outcome"), "position",
     )
 
 
-def import_notes(items: DataFrame, vault: DataFrame, columns: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
-    """(items, tallies) after the notes of a vault were taken over as synced items, in order of their paths."""
-    noted = noted_items(vault, columns)
-    own = noted.where("outcome = 'item'").withColumn("canonical_url", F.col("source_url")).withColumn("content_hash", F.lit(None).cast("string"))
-    known = identity.resolve(own, items)
-    changes = known.select(
-        F.xxhash64("path").alias("seq"), "existing_id", "source_url", "item_key", "canonical_url", "content_hash", F.col("path").alias("file_path"), "column_name", "title", "published_at",
-        F.lit("synced").alias("status"), "has_transcript", F.lit(False).alias("transcribed"), F.when(F.col("has_summary"), "success").alias("summary_status"), F.lit(None).cast("string").alias("error_message"),
-    )
-    counts = known.agg(
-        F.count_if(F.col("existing_id").isNull()).alias("imported"), F.count_if(F.col("existing_id").isNotNull()).alias("updated"),
-        F.count_if(~F.col("has_transcript")).alias("no_transcript"), F.count_if(~F.col("has_summary")).alias("no_summary"),
-    )
-    tallies = counts.crossJoin(noted.agg(F.count_if(F.col("outcome") == "missing_meta").alias("missing_meta")))  # one row each
-    return state.upsert(items, changes, now), tallies
+def import_notes(items: DataFrame, vault: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(noted, known): the notes of a vault, and those that are items with the item that each finds or makes.
+
+    Notes follow each other by their column's position (name, where columns have none) and path, and
+    each meets the items as the ones before left them. importing.tallies and importing.changed take it
+    from here.
+    """
+    noted = stored(noted_items(vault, columns))
+    return noted, importing.resolved(noted.where("outcome = 'item'"), items, ["position", "column_name", "path"])
 
 
 def archived_paths(items: DataFrame, vault: DataFrame, root: str) -> DataFrame:

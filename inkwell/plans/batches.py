@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkwell.functions import failures, text, urls
-from inkwell.operators import pages, payloads, reports, state, workflow
+from inkwell.operators import importing, pages, payloads, reports, state, workflow
 from inkwell.plans.catalog import _HOST, _ITEMS_SQL, _LOG, _URL, _docs, _items, _log, _squash, _strip, query, table
 
 _COLUMNS = "select n_name as name, case when n_nationkey = 5 then 'ftp://x' when n_nationkey = 6 then '' else 'https://h.example.com/' || n_nationkey end as url, n_nationkey % 3 <> 0 as enabled from nation union all select r_name, 'https://r.example.com', false from region"
@@ -286,19 +286,48 @@ def _(spark, d):
     return rows.select("path", "column_name", "title", "item_key", "published_at", "has_transcript", "has_summary", "outcome")
 
 
+_COPY = "select doc_id, 'notes/' || {c} || '/n' || lpad(doc_id::varchar, 9, '0') || 'b.md' as path, {c} as column_name, replace(replace({n}, '/a?id=', case when doc_id % 8 in (1, 4) then '/b?id=' else '/a?id=' end), 'title: \"T', 'title: \"Again T') as note, text from documents where doc_id % 8 in (1, 2, 4, 5, 6)".format(
+    c="case when doc_id % 8 not in (5, 6) then source when source = 'src4' then 'src5' else 'src4' end", n=_NOTE
+)
+_IMPORTED = f"""select doc_id, path, column_name, contains(note, '/b?id=' || doc_id || '\"') as moved, contains(note, 'title: "Again T') as again, doc_id % 7 <> 0 and {_strip('text')} <> '' as has_transcript,
+  doc_id % 5 <> 0 or contains(text, '### 卡片 1') as has_summary, doc_id % 9 <> 0 as ok from ({_VAULT.replace(' as note from', ' as note, text from')} union all {_COPY}) where column_name <> 'src3'"""
+_IMPORT_GROUPS = f"""select doc_id, doc_id % 2 = 0 and bool_or(not moved) as matched, min(struct_pack(c := column_name, p := path)) as first, max(struct_pack(c := column_name, p := path)) as last, arg_min(moved, struct_pack(c := column_name, p := path)) as first_moved,
+  count(*) as n from ({_IMPORTED}) where ok group by doc_id"""
+
+
+def _crowded_vault(spark, d):
+    """A vault in which addresses, and ids within a column, are repeated: a second note of some documents, in the same or another folder."""
+    i, rows = F.col("doc_id"), _vault(spark, d)
+    column = F.when(~(i % 8).isin(5, 6), F.col("column_name")).when(F.col("column_name") == "src4", "src5").otherwise("src4")
+    moved = F.regexp_replace("note", r"/a\?id=", F.when((i % 8).isin(1, 4), "/b?id=").otherwise("/a?id="))
+    path = F.concat(F.lit("notes/"), column, F.lit("/n"), F.lpad(i.cast("string"), 9, "0"), F.lit("b.md"))
+    again = rows.where((i % 8).isin(1, 2, 4, 5, 6)).select("doc_id", path.alias("path"), column.alias("column_name"), F.replace(moved, F.lit('title: "T'), F.lit('title: "Again T')).alias("note"))
+    return rows.union(again)
+
+
 @query(
     "import_tallies",
-    f"""select count(*) filter (where k and doc_id % 2 = 1) as imported, count(*) filter (where k and doc_id % 2 = 0) as updated, count(*) filter (where k and (doc_id % 7 = 0 or {_strip('text')} = '')) as no_transcript,
-    count(*) filter (where k and doc_id % 5 = 0) as no_summary, count(*) filter (where not k) as missing_meta from (select *, doc_id % 9 <> 0 as k from documents where source <> 'src3')""",
+    f"""select (select count(*) filter (where not matched) from ({_IMPORT_GROUPS})) as imported, (select sum(n - case when matched then 0 else 1 end)::bigint from ({_IMPORT_GROUPS})) as updated,
+    count(*) filter (where ok and not has_transcript) as no_transcript, count(*) filter (where ok and not has_summary) as no_summary, count(*) filter (where not ok) as missing_meta from ({_IMPORTED})""",
 )
 def _(spark, d):
-    return workflow.import_notes(_stored(spark, d), _vault(spark, d), _vault_columns(spark, d), "2025")[1]
+    return importing.tallies(*workflow.import_notes(_stored(spark, d), _crowded_vault(spark, d), _vault_columns(spark, d)))
 
 
-@query("imported_items", f"select count(*) as n, count(*) filter (where summary_status = 'success') as summarized, count(*) filter (where has_transcript) as with_text, count(distinct id) as ids from (select doc_id as id, case when k and doc_id % 5 <> 0 then 'success' end as summary_status, case when k then doc_id % 7 <> 0 and {_strip('text')} <> '' else false end as has_transcript from (select *, doc_id % 9 <> 0 and source <> 'src3' as k from documents) union all select -1 - doc_id, null, false from documents where doc_id % 2 = 1 and doc_id % 9 <> 0 and source <> 'src3')")
+@query(
+    "imported_items",
+    f"""with g as ({_IMPORT_GROUPS}), w as (select g.*, i.moved, i.again, i.has_transcript, i.has_summary from g join ({_IMPORTED}) i on i.doc_id = g.doc_id and i.path = g.last.p),
+    f as (select doc_id, last.p as file_path, last.c as column_name, case when again then 'Again T ' else 'T ' end || doc_id as title, has_transcript, case when has_summary then 'success' end as summary_status, matched, first, first_moved,
+      'https://h.example.com/' || case when moved then 'b' else 'a' end || '?id=' || doc_id as canonical_url, doc_id::varchar as item_key from w)
+    select d.doc_id as id, 'https://h.example.com/a?id=' || case when d.doc_id % 2 = 1 then 'own' else '' end || d.doc_id as source_url, f.canonical_url, coalesce(f.column_name, d.source) as column_name, f.title, f.item_key, f.file_path,
+      case when f.doc_id is null then 'failed' else 'synced' end as status, coalesce(f.has_transcript, false) as has_transcript, f.summary_status from documents d left join f on f.doc_id = d.doc_id and f.matched
+    union all select (select max(doc_id) from documents) + row_number() over (order by first), 'https://h.example.com/' || case when first_moved then 'b' else 'a' end || '?id=' || doc_id, canonical_url, column_name, title, item_key, file_path,
+      'synced', has_transcript, summary_status from f where not matched""",
+)
 def _(spark, d):
-    rows = workflow.import_notes(_stored(spark, d), _vault(spark, d), _vault_columns(spark, d), "2025")[0]
-    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("summary_status") == "success").alias("summarized"), F.count_if("has_transcript").alias("with_text"), F.countDistinct("id").alias("ids"))
+    items = _stored(spark, d)
+    rows = importing.changed(items, workflow.import_notes(items, _crowded_vault(spark, d), _vault_columns(spark, d))[1], "2025")
+    return rows.select("id", "source_url", "canonical_url", "column_name", "title", "item_key", "file_path", "status", "has_transcript", "summary_status")
 
 
 def _stored(spark, d):

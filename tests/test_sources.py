@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from inkwell.functions import text, urls
-from inkwell.operators import identity, notes, payloads, state, workflow
+from inkwell.operators import numbering, identity, notes, payloads, state, workflow
 from inkwell.sources import files
 from inkwell.streaming import ingest
 
@@ -59,14 +59,22 @@ def test_migrate_fills_what_it_can(spark):
     assert rows[1].canonical_url == "u1" and rows[2].created_at == "now" and sorted(once.collect()) == sorted(state.migrate(once, "later").collect())
 
 
-def test_numbered_whatever_the_cuts(spark):
-    rows = spark.createDataFrame([(i * 3 % 101, "k" if i % 3 else None) for i in range(101)], "seq long, key string")
-    for most in (1000, 7):
-        got = state.numbered(rows, "seq", "n", None, most).collect()
-        assert [r.n for r in sorted(got, key=lambda r: r.seq)] == list(range(1, 102))
-        by_key = state.numbered(rows, "seq", "n", ["key"], most).collect()
-        for key in ("k", None):
-            assert [r.n for r in sorted((r for r in by_key if r.key == key), key=lambda r: r.seq)] == list(range(1, 1 + sum(r.key == key for r in by_key)))
+def test_places_whatever_the_parts(spark):
+    rows = [(i * 3 % 101, "k" if i % 3 else None) for i in range(101)] + [(50, "hot")] * 200
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in ("1", "16", "300"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            table = spark.createDataFrame(rows, "seq long, key string")
+            got = numbering.placed(table, ["seq", "key"], "n").collect()
+            assert [r.n for r in sorted(got, key=lambda r: (r.seq, r.key is not None, r.key or "", r.n))] == list(range(1, 302))
+            by_key = numbering.placed(table, ["seq"], "n", ["key"]).collect()
+            for key in ("k", "hot", None):
+                assert [r.n for r in sorted((r for r in by_key if r.key == key), key=lambda r: (r.seq, r.n))] == list(range(1, 1 + sum(k == key for _, k in rows)))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert numbering.placed(spark.createDataFrame([], "seq long"), ["seq"], "n").count() == 0
 
 
 def test_identity_of_rows_without_keys(spark):
