@@ -102,13 +102,45 @@ def test_a_tree_loses_no_similar_set():
         base = [rng.choice(5000, int(rng.integers(1, 300)), replace=False) for _ in range(30)]
         sets = [np.unique(np.r_[b[rng.random(len(b)) > x], rng.integers(0, 5000, int(len(b) * x / 2))]).astype(np.uint64) for b in base for x in (0, 0.05, 0.1, 0.3)]
         sets = [s if len(s) else np.array([1], np.uint64) for s in sets]
-        tree = shingle_join.CountTree(points := shingle_join.group_counts(sets), percent)
+        points = np.stack([np.bincount(shingle_join.group_of(s, 64), minlength=64) for s in sets])
+        tree = shingle_join.CountTree(points, percent)
         for k, s in enumerate(sets):
             found = set(tree.near(points[k], np.ones(len(sets), bool)).tolist())
             similar = {j for j, o in enumerate(sets) if 100 * len(np.intersect1d(s, o)) >= percent * len(np.union1d(s, o))}
             assert similar <= found and (percent < 85 or len(found) < len(sets))
 
 
+def test_points_connect_all_similar_sets():
+    rng = np.random.default_rng(11)
+    for percent in (40, 85):
+        base = [rng.choice(1 << 40, int(rng.integers(1, 400)), replace=False) for _ in range(20)]
+        sets = [np.unique(np.r_[b[rng.random(len(b)) >= x], rng.integers(0, 1 << 40, int(len(b) * x))]).astype(np.uint64) for b in base for x in (0, 0.05, 0.08, 0.4)]
+        sets = [s for s in sets if len(s)]
+        up = list(range(len(sets)))
+
+        def root(k):
+            while up[k] != k:
+                k = up[k]
+            return k
+
+        for a, b in shingle_join.linked_points(np.arange(len(sets)), [shingle_join.counted(s) for s in sets], percent):
+            up[root(a)] = root(b)
+        for a, b in combinations(range(len(sets)), 2):
+            if 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b])):
+                assert root(a) == root(b)
+
+
+def test_word_hashes_tell_words_apart(monkeypatch):
+    texts = [b"", b"One two  ONE\tthree\x0b", b" ", b"a\x00b ab " * 3, "é É ü".encode(), b"x" * 5000 + b" y"]
+    for chunk in (1 << 20, 64):
+        monkeypatch.setattr(shingle_join, "CHUNK", chunk)
+        got = shingle_join.Words()(texts)
+        words = [t.lower().split() for t in texts]
+        assert [len(h) for h in got] == [len(w) for w in words]
+        pairs = {(w, int(h)) for ws, hs in zip(words, got) for w, h in zip(ws, hs)}
+        assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+
+
 def test_similar_texts_of_awkward_tables(spark):
     got = sorted(map(tuple, shingle_join.similar_texts(awkward(spark)).collect()), key=str)
     assert got == sorted([(1, 0, 1), (2, 0, 2), (2, 0, 2), (3, 1, 3), (None, 1, 3), (4, 0, 4)], key=str)
