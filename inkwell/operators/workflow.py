@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import text, urls
-from inkwell.operators import importing, notes, numbering, state
+from inkwell.operators import importing, notes, numbering, pages, state
 from inkwell.sources.shared import stored
 
 FILENAME_FIELDS = ("column", "published_date", "title")
@@ -69,48 +69,74 @@ def as_items(rows: DataFrame) -> DataFrame:
     return rows.withColumn("detail_url", F.coalesce(F.nullif("canonical_url", F.lit("")), "source_url"))
 
 
-def retry(items: DataFrame, results: DataFrame, now: str, limit: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(items, run rows) after the retry of up to `limit` failed items, longest untouched first.
+def retry(
+    items: DataFrame, results: DataFrame, now: str, limit: int = 20, stored_notes: DataFrame | None = None, root: str = "notes", source: str = "web", is_generic=lambda title: F.lit(False)
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, run rows, notes) after the retry of up to `limit` failed items, longest untouched first.
 
-    results: id, error, reason, transcript, new_summary of what was fetched now; an item without one
-    failed to be fetched. Failed summaries are not retried.
+    results: id, error, reason, raw_hash, transcript, summary (struct notes.SUMMARY) and found_title,
+    found_author, found_published of what was fetched now; an item without one failed to be fetched.
+    What a page says of itself goes before what the item says, but for generic titles; an item that
+    failed to be fetched stays as it is. A transcript becomes a note (final_path, note) beside stored
+    ones (path, identity), with an empty summary if that failed; its path is the item's. Failed
+    summaries are not retried.
     """
     work = state.oldest_of(items, list(state.RETRY), limit)
-    r = work.join(results, "id", "left")
+    r = as_items(work).join(results, "id", "left")
     has = F.coalesce("transcript", F.lit("")) != ""
     lost = F.col("reason").isNull() & F.col("transcript").isNull()
-    named = r.select(
-        "id", "source_url", "item_key", "canonical_url", "column_name", "title", "published_at", "transcribed", "reason", "new_summary",
-        F.coalesce("error", F.when(lost, "no page")).alias("error"), has.alias("has_transcript"), F.when(has, text.content_hash(F.col("transcript"))).alias("content_hash"),
-        F.lit(False).alias("known"), F.lit(False).alias("duplicate"), F.coalesce(F.col("new_summary") == "summary_failed", F.lit(False)).alias("summary_failed"),
+    error = F.coalesce("error", F.when(lost, "no page"))
+    for name in ("title", "author", "published"):
+        r = r.withColumn(f"found_{name}", F.when(error.isNull(), F.col(f"found_{name}")))
+    merged = pages.merge_metadata(r.withColumn("author", F.lit(None).cast("string")), is_generic)
+    failed = F.coalesce(F.col("summary.status") == "summary_failed", F.lit(False))
+    named = merged.select(
+        "id", "source_url", "detail_url", "item_key", "column_name", "title", "author", "published_at", "transcribed", "reason", "transcript", "summary", "updated_at", error.alias("error"), has.alias("has_transcript"),
+        F.when(has, text.content_hash(F.col("transcript"))).otherwise(F.when(error.isNull(), F.col("raw_hash"))).alias("content_hash"),
+        F.lit(False).alias("known"), F.lit(False).alias("duplicate"), failed.alias("summary_failed"),
     )
-    out = state.outcomes(named)
-    changes = out.select(
-        F.col("id").alias("seq"), F.col("id").alias("existing_id"), "source_url", "item_key", "canonical_url", "content_hash",
-        F.when(F.col("has_transcript"), F.concat(F.lit("n"), "id")).alias("file_path"), "column_name", "title", "published_at", "status", "has_transcript", "transcribed",
-        F.when(F.col("has_transcript"), F.col("new_summary")).alias("summary_status"), text.redact(F.coalesce("error", F.when(~F.col("has_transcript"), F.col("reason")))).alias("error_message"),
+    out = stored(state.outcomes(named))
+    made = out.where("has_transcript and error is null").withColumn("summary", F.when(~F.col("summary_failed"), F.col("summary")).otherwise(F.lit(None).cast(notes.SUMMARY)))
+    made = made.select("id", "title", "column_name", "author", "published_at", F.col("detail_url").alias("url"), "transcript", "has_transcript", "summary", "updated_at")
+    written = stored(noted(stored(made), stored_notes, root, source, now, F.struct("updated_at", "id")))
+    done = out.join(written.select("id", "final_path"), "id", "left")
+    changes = done.select(
+        F.col("id").alias("seq"), F.col("id").alias("existing_id"), "source_url", "item_key", F.col("detail_url").alias("canonical_url"), "content_hash", F.col("final_path").alias("file_path"),
+        "column_name", "title", "published_at", "status", "has_transcript", "transcribed",
+        F.when(F.col("has_transcript"), F.coalesce("summary.status", F.lit("disabled"))).alias("summary_status"), text.redact(F.coalesce("error", F.when(~F.col("has_transcript"), F.col("reason")))).alias("error_message"),
     )
-    runs = out.select(F.col("id").alias("item_id"), F.lit("retry").alias("action"), "status", F.coalesce("error", "reason", F.lit("")).alias("message"))
-    return state.upsert(items, changes, now), runs
+    action = F.when(F.col("status") == "policy_blocked", "policy").otherwise("retry")
+    runs = done.select(F.col("id").alias("item_id"), action.alias("action"), "status", F.coalesce("error", F.when(~F.col("has_transcript"), F.col("reason")), "final_path", F.lit("")).alias("message"))
+    return state.upsert(items, changes, now), runs, written
 
 
-def resummarize(items: DataFrame, vault: DataFrame, replies: DataFrame, now: str, limit: int = 20, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(items, run rows) after summaries were made anew for up to `limit` items that need one, longest untouched first.
+def noted(rows: DataFrame, stored_notes: DataFrame | None, root: str, source: str, now: str, order: Column) -> DataFrame:
+    """id, final_path, note of rows with the columns that notes.render takes, beside stored notes (path, identity)."""
+    rows = text.once(rows.withColumn("seq", order), "note", notes.render(rows, source, now))
+    digest = F.left(text.content_hash(F.col("note")), F.lit(8))
+    place = lambda longest: notes.path(root, F.col("column_name"), F.col("published_at"), F.col("title"), digest, longest)
+    named = stored(rows.select("id", "seq", "note", text.identity_hash(F.col("note")).alias("identity"), place(240).alias("path"), place(0).alias("short")))
+    return notes.without_collisions(named, stored_notes, short="short").select("id", "final_path", "note")
+
+
+def resummarize(items: DataFrame, vault: DataFrame, replies: DataFrame, now: str, limit: int = 20, every: bool = False, source: str = "web") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, run rows, notes) after summaries were made anew for up to `limit` items that need one, longest untouched first.
 
     vault: path, note; replies: id, reply of the summary service. A missing note, a note without
-    transcript, and a reply without content fail; a failure keeps the item's content.
+    transcript, and a reply without content fail; a failure keeps the item's content, and its note.
+    The others' notes (final_path, note) are written anew in their places.
     """
-    work = state.needs_summary(items, every).orderBy(F.col("updated_at").asc_nulls_first(), "id").limit(limit)
+    work = as_items(state.needs_summary(items, every)).orderBy(F.col("updated_at").asc_nulls_first(), "id").limit(limit)
     notes_of = vault.select(F.col("path").alias("file_path"), notes.read_back(F.col("note")).alias("body"), F.lit(True).alias("present"))
     r = work.join(notes_of, "file_path", "left").join(replies, "id", "left").withColumn("s", notes.parse_summary(F.col("reply")))
     error = (
         F.when(F.col("present").isNull(), F.concat(F.lit("no note at "), "file_path")).when(F.col("body") == "", "no transcript in the note")
         .when(F.col("reply").isNull(), "no reply").when(F.col("s.status") != "ok", "no recognizable note fields")
     )
-    r = text.once(r, "error", error)
+    r = stored(r.withColumn("error", error))
     ok = F.col("error").isNull()
     changes = r.select(
-        F.col("id").alias("seq"), F.col("id").alias("existing_id"), "source_url", "item_key", "canonical_url", "content_hash", "file_path", "column_name", "title", "published_at",
+        F.col("id").alias("seq"), F.col("id").alias("existing_id"), "source_url", "item_key", F.col("detail_url").alias("canonical_url"), "content_hash", "file_path", "column_name", "title", "published_at",
         F.when(ok, "synced").otherwise("summary_failed").alias("status"), F.lit(True).alias("has_transcript"), "transcribed",
         F.when(ok, "ok").otherwise("summary_failed").alias("summary_status"), text.redact(F.col("error")).alias("error_message"),
     )
@@ -118,7 +144,8 @@ def resummarize(items: DataFrame, vault: DataFrame, replies: DataFrame, now: str
         F.col("id").alias("item_id"), F.lit("resummarize").alias("action"), F.when(ok, "synced").otherwise("summary_failed").alias("status"),
         F.when(ok, F.col("file_path")).otherwise(text.redact(F.col("error"))).alias("message"),
     )
-    return state.upsert(items, changes, now), runs
+    done = r.where(ok).select("id", "file_path", "title", "column_name", F.lit(None).cast("string").alias("author"), "published_at", F.col("detail_url").alias("url"), F.col("body").alias("transcript"), "has_transcript", F.col("s").alias("summary"))
+    return state.upsert(items, changes, now), runs, done.select("id", F.col("file_path").alias("final_path"), notes.render(done, source, now).alias("note"))
 
 
 def noted_items(vault: DataFrame, columns: DataFrame) -> DataFrame:
@@ -197,8 +224,3 @@ def quarantine(pages: DataFrame, stamp: str, path: str) -> None:
     """Failed pages (url, html, key) as a table partitioned by day, each with its name."""
     name = quarantine_name(F.lit(stamp), F.col("url"), F.col("key"), text.content_hash(F.col("html")))
     pages.select(F.lit(stamp[:8]).alias("day"), name.alias("name"), "url", "html").write.mode("append").partitionBy("day").parquet(path)
-
-
-def write_notes(rows: DataFrame, path: str) -> None:
-    """Notes (column_name, year, final_path, note) as a table partitioned by column and year; a batch run again writes the same folder."""
-    rows.select("column_name", "year", "final_path", "note").write.mode("overwrite").partitionBy("column_name", "year").parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkwell.functions import failures, text, urls
-from inkwell.operators import importing, pages, payloads, reports, state, workflow
+from inkwell.operators import importing, notes, pages, payloads, reports, state, workflow
 from inkwell.plans.catalog import _HOST, _ITEMS_SQL, _LOG, _URL, _docs, _items, _log, _squash, _strip, query, table
 
 _COLUMNS = "select n_name as name, case when n_nationkey = 5 then 'ftp://x' when n_nationkey = 6 then '' else 'https://h.example.com/' || n_nationkey end as url, n_nationkey % 3 <> 0 as enabled from nation union all select r_name, 'https://r.example.com', false from region"
@@ -345,20 +345,34 @@ def _full(spark, d):
     return items.withColumns(more).select(*state.ITEMS.names)
 
 
-_RETRIED = f"""select i.*, case when id % 5 = 0 then 'lost connection' when id % 5 = 1 then 'no page' end as err, case id % 5 when 2 then 'too_short' when 3 then 'policy_blocked:drm_widevine' end as rsn, id % 5 = 4 as got, id % 2 = 0 as bad
-  from (select * from ({_ITEMS_SQL}) where status in ('failed', 'extractor_failed', 'missing_transcript', 'transcription_failed') order by updated_at nulls first, id limit 200) i"""
+#: A rendered note, as SQL: {sync} is the time of writing, {note} the permanent note, {word} a keyword.
+_RENDERED = """array_to_string(['---', 'source: "web"', 'column: "' || column_name || '"', 'title: "' || title || '"', 'author: "' || coalesce(author, '') || '"', 'published: "' || coalesce(published_at, '') || '"',
+  'url: "' || source_url || '"', 'content_type: "transcript"', 'summary_style: "zettelkasten"', 'sync_time: "{sync}"', 'tags:', '  - "' || column_name || '"', '---', '', '# ' || title, '', '## 原子卡片', '', '> 摘要尚未生成。', '',
+  '## 永久笔记', '', {note}, '', '## 关联', '', '- ', '', '## 行动/观察', '', '- ', '', '## 复习问题', '', '- ', '', '## 关键词', '', '', '', '## 来源', '', '- <' || source_url || '>', '', '## 全文稿', '', {text}, ''], chr(10))"""
+_RETRIED = f"""select *, case when id % 5 = 4 then 'notes/' || column_name || case when published_at is null then '/' else '/2024/' end || column_name || '-' || coalesce(published_at, 'unknown-da') || '-' || title || '.md' end as base from (
+  select i.* exclude (title), case when id % 5 <= 1 then 'T' || id % 2 when id % 3 = 0 then 'Found' else 'T' || id % 2 end as title, case when id % 5 > 1 and id % 4 = 0 then 'Kim' end as author, case when id % 5 > 1 and id % 2 = 0 then '2024-05-06' end as published_at,
+    case when id % 5 = 0 then 'lost connection' when id % 5 = 1 then 'no page' end as err, case id % 5 when 2 then 'too_short' when 3 then 'policy_blocked:drm_widevine' end as rsn, id % 5 = 4 as got, id % 2 = 0 as bad
+  from (select * from ({_ITEMS_SQL}) where status in ('failed', 'extractor_failed', 'missing_transcript', 'transcription_failed') order by updated_at nulls first, id limit 200) i)"""
+_RETRY_NOTES = f"""select id, note, case when ident = case when base = 'notes/' || column_name || '/' || column_name || '-unknown-da-T1.md' then 'other' else first_value(ident) over (partition by base order by updated_at nulls first, id) end then base
+  else replace(base, '.md', '-' || left(ident, 8) || '.md') end as final_path from (select *, {_RENDERED.format(sync='2025', note="case when bad then '> 摘要尚未生成。' else 'n' || id end", text="'t' || id")} as note,
+    sha256({_RENDERED.format(sync='<ignored>', note="case when bad then '> 摘要尚未生成。' else 'n' || id end", text="'t' || id")}) as ident from ({_RETRIED}) where got)"""
 
 
 def _retried(spark, d):
     i = F.col("id")
+    made = F.from_json(F.concat(F.lit('{"permanent_note": "n'), i, F.lit('", "status": "'), F.when(i % 2 == 0, "summary_failed").otherwise("ok"), F.lit('"}')), notes.SUMMARY)
     results = _items(spark, d).select(
         F.when(i % 5 == 1, -i).otherwise(i).alias("id"), F.when(i % 5 == 0, "lost connection").alias("error"), F.when(i % 5 == 2, "too_short").when(i % 5 == 3, "policy_blocked:drm_widevine").alias("reason"),
-        F.when(i % 5 == 4, F.concat(F.lit("t"), i)).alias("transcript"), F.when(i % 2 == 0, "summary_failed").otherwise("ok").alias("new_summary"),
+        F.when(i % 5 == 2, F.concat(F.lit("raw"), i)).alias("raw_hash"), F.when(i % 5 == 4, F.concat(F.lit("t"), i)).alias("transcript"), F.when(i % 5 == 4, made).alias("summary"),
+        F.when(i % 3 == 0, "Found").otherwise("The Site").alias("found_title"), F.when(i % 4 == 0, "Kim").alias("found_author"), F.when(i % 2 == 0, "2024-05-06").alias("found_published"),
     )
-    return workflow.retry(_full(spark, d), results, "2025", 200)
+    items = _full(spark, d).withColumn("title", F.concat(F.lit("T"), i % 2))
+    sources = _docs(spark, d).select("source").distinct()
+    taken = sources.select(F.concat(F.lit("notes/"), "source", F.lit("/"), "source", F.lit("-unknown-da-T1.md")).alias("path"), F.lit("other").alias("identity"))
+    return workflow.retry(items, results, "2025", 200, taken, is_generic=lambda t: F.lower(t) == "the site")
 
 
-@query("retry_runs", f"select id as item_id, 'retry' as action, case when err is not null then 'failed' when id % 5 = 3 then 'policy_blocked' when not got then 'extractor_failed' when bad then 'summary_failed' else 'synced' end as status, coalesce(err, rsn, '') as message from ({_RETRIED})")
+@query("retry_runs", f"select id as item_id, case when id % 5 = 3 then 'policy' else 'retry' end as action, case when err is not null then 'failed' when id % 5 = 3 then 'policy_blocked' when not got then 'extractor_failed' when bad then 'summary_failed' else 'synced' end as status, coalesce(err, rsn, n.final_path) as message from ({_RETRIED}) left join ({_RETRY_NOTES}) n using (id)")
 def _(spark, d):
     return _retried(spark, d)[1]
 
@@ -366,11 +380,17 @@ def _(spark, d):
 @query(
     "retry_items",
     f"""select i.id, case when r.id is null then i.status when r.err is not null then 'failed' when r.id % 5 = 3 then 'policy_blocked' when not r.got then 'extractor_failed' else 'synced' end as status,
-    case when r.id is null then i.summary_status when r.got then case when r.bad then 'summary_failed' else 'ok' end end as summary_status, coalesce(case when r.got then sha256('t' || i.id) end, i.content_hash) as content_hash,
-    coalesce(r.err, r.rsn) as error_message, case when r.got then '2025' end as synced_at from ({_ITEMS_SQL}) i left join ({_RETRIED}) r on r.id = i.id""",
+    case when r.id is null then i.summary_status when r.got then case when r.bad then 'summary_failed' else 'ok' end end as summary_status, coalesce(case when r.got then sha256('t' || i.id) when r.id % 5 = 2 then 'raw' || r.id end, i.content_hash) as content_hash,
+    coalesce(r.err, r.rsn) as error_message, case when r.got then '2025' end as synced_at, coalesce(n.final_path, i.file_path) as file_path, case when r.id is null then 'T' || i.id % 2 else r.title end as title, r.published_at
+    from ({_ITEMS_SQL}) i left join ({_RETRIED}) r on r.id = i.id left join ({_RETRY_NOTES}) n on n.id = i.id""",
 )
 def _(spark, d):
-    return _retried(spark, d)[0].select("id", "status", "summary_status", "content_hash", "error_message", "synced_at")
+    return _retried(spark, d)[0].select("id", "status", "summary_status", "content_hash", "error_message", "synced_at", "file_path", "title", "published_at")
+
+
+@query("retry_notes", f"select id, final_path, sha256(note) as note from ({_RETRY_NOTES})")
+def _(spark, d):
+    return _retried(spark, d)[2].select("id", "final_path", F.sha2("note", 256).alias("note"))
 
 
 _WORK = f"select * from ({_ITEMS_SQL}) where has_transcript and file_path is not null and (summary_status is null or summary_status = 'summary_failed') order by updated_at nulls first, id limit 200"
@@ -378,7 +398,7 @@ _REMADE = f"select *, case when id % 5 = 0 then 'no note at ' || file_path when
 
 
 def _remade(spark, d):
-    items, i = _full(spark, d), F.col("id")
+    items, i = _full(spark, d).withColumn("title", F.lit("T")), F.col("id")
     body = F.when(i % 5 == 1, "# t\n").otherwise("# t\n\n## 全文稿\n\nbody\n")
     vault = items.select(F.when(i % 5 == 0, F.concat(F.lit("else/"), i)).otherwise(F.col("file_path")).alias("path"), body.alias("note"))
     replies = items.select(F.when(i % 5 == 2, -i).otherwise(i).alias("id"), F.when(i % 5 == 3, "chatter").otherwise('{"permanent_note": "n"}').alias("reply"))
@@ -395,6 +415,11 @@ def _(spark, d):
     return _remade(spark, d)[0].select("id", "status", "summary_status", "error_message")
 
 
+@query("resummarized_notes", f"select id, file_path as final_path, sha256({_RENDERED.format(sync='2025', note=chr(39) + 'n' + chr(39), text=chr(39) + 'body' + chr(39))}) as note from (select * exclude (title), 'T' as title, null as author, null as published_at from ({_REMADE})) where err is null")
+def _(spark, d):
+    return _remade(spark, d)[2].select("id", "final_path", F.sha2("note", 256).alias("note"))
+
+
 
 
 @query("archived_notes", "select doc_id as id, 'notes/' || source || '/2024/' || source || '-2024-05-06-n' || doc_id || '.md' as file_path from documents where doc_id % 6 in (0, 1)")
