@@ -111,6 +111,16 @@ def counted(found: np.ndarray) -> np.ndarray:
     return np.bincount(group_of(found, groups), minlength=groups)
 
 
+def packed(point: np.ndarray) -> bytes:
+    """A point in one byte for each group, or in four where a count needs them; the first byte says which."""
+    wide = 1 if point.max() < 256 else 4
+    return bytes([wide]) + point.astype(f"<u{wide}").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def folded(point: np.ndarray, groups: int) -> np.ndarray:
     return point.reshape(-1, groups).sum(0)
 
@@ -248,7 +258,7 @@ def measured(docs: DataFrame, n: int) -> DataFrame:
                 sizes.append(len(found))
                 points.append(None)
                 if once.new(keys[-1]):
-                    points[-1] = counted(found).astype(np.int32).tobytes() if len(found) else None
+                    points[-1] = packed(counted(found)) if len(found) else None
                     np.add.at(slots, (found >> np.uint64(44)).astype(np.int64), 1)
             none = [None] * len(sizes)
             t = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
@@ -374,7 +384,7 @@ def candidate_links(groups: DataFrame, points: DataFrame, percent: int, rows: in
     """(a, b): links that connect all texts of a group (root, t0) whose points (t0, point) may be of similar sets."""
     table = written(groups.join(points, "t0").select("root", F.col("t0").alias("node"), F.col("point").alias("value")))
     blocks = table.groupBy("root").agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks")).where("blocks > 1")
-    return grouped_links(in_blocks(table, ["root"], "node", blocks), lambda nodes, values: linked_points(nodes, [np.frombuffer(v, np.int32) for v in values], percent))
+    return grouped_links(in_blocks(table, ["root"], "node", blocks), lambda nodes, values: linked_points(nodes, list(map(unpacked, values)), percent))
 
 
 def texts_of(docs: DataFrame, near: DataFrame) -> DataFrame:

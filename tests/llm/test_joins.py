@@ -123,7 +123,9 @@ def test_points_connect_all_similar_sets():
                 k = up[k]
             return k
 
-        for a, b in shingle_join.linked_points(np.arange(len(sets)), [shingle_join.counted(s) for s in sets], percent):
+        points = [shingle_join.counted(s) for s in sets]
+        assert all((shingle_join.unpacked(shingle_join.packed(k * p)) == k * p).all() for p in points for k in (1, 300))
+        for a, b in shingle_join.linked_points(np.arange(len(sets)), points, percent):
             up[root(a)] = root(b)
         for a, b in combinations(range(len(sets)), 2):
             if 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b])):
