@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators import bitmaps
+
 #: Keys in the order of their test; a null or empty part means that the key does not apply.
 KEYS = (("source_url", ["source_url"]), ("canonical_url", ["canonical_url"]), ("id", ["item_key", "column_name"]), ("content_hash", ["content_hash"]))
 
@@ -40,6 +42,25 @@ def resolve(incoming: DataFrame, state: DataFrame) -> DataFrame:
     return out.select(*[out[c] for c in incoming.columns], F.coalesce(*found).alias("existing_id"), named.alias("match_kind"))
 
 
+def key_hash(kind: str, names: list[str]) -> Column:
+    """64 bits of a key's kind and parts; null where it does not apply."""
+    return F.when(filled(names), F.xxhash64(F.lit(kind), *names))
+
+
+def candidates(state: DataFrame, incoming: DataFrame, bits: int = bitmaps.BITS) -> DataFrame:
+    """The rows of state that may share a key with incoming, and few others: what is worth to be joined.
+
+    A bitmap of incoming's keys goes to all tasks, of at most 2^bits bits whatever comes in, so state
+    is thinned where it is read and only the rest is shuffled. resolve, new_items and known_items
+    give with it what they give with the whole state.
+    """
+    keys = None
+    for kind, names in KEYS:
+        one = incoming.select(key_hash(kind, names).alias("key"))
+        keys = one if keys is None else keys.union(one)
+    return bitmaps.may_hold(state, bitmaps.bitmap(keys, "key", bits), [key_hash(kind, names) for kind, names in KEYS], bits)
+
+
 def new_items(incoming: DataFrame, state: DataFrame) -> DataFrame:
     """The rows that no key finds: one anti join by each."""
     out = incoming

@@ -37,12 +37,12 @@ def migrate(items: DataFrame, now: str) -> DataFrame:
     )
 
 
-def upsert(items: DataFrame, changes: DataFrame, now: str) -> DataFrame:
+def upsert(items: DataFrame, changes: DataFrame, now: str, top: int | None = None) -> DataFrame:
     """The next snapshot of items. changes: item columns, seq, and existing_id (null: a new item).
 
     Of several changes to an item, or to a new source_url, the last by seq counts; a change with
-    neither is a new item of its own. New ids follow the greatest old one in order of seq: only
-    new rows are numbered. A stored summary failure is a synced item.
+    neither is a new item of its own. New ids follow the greatest old one (or `top`, where items are
+    only a part) in order of seq: only new rows are numbered. A stored summary failure is a synced item.
     """
     key = F.coalesce(F.concat(F.lit("id:"), F.col("existing_id")), F.concat(F.lit("url:"), F.col("source_url")))
     known = changes.where(key.isNotNull())
@@ -58,8 +58,8 @@ def upsert(items: DataFrame, changes: DataFrame, now: str) -> DataFrame:
         *(F.when(hit, F.col(f"c.{n}")).otherwise(F.col(f"o.{n}")).alias(n) for n in OVERWRITE),
         F.when(mark, F.lit(now)).otherwise(F.col("o.synced_at")).alias("synced_at"), "o.created_at", F.when(hit, F.lit(now)).otherwise(F.col("o.updated_at")).alias("updated_at"),
     )
-    top = items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    fresh = placed(c.where("existing_id is null"), ["seq", "source_url"], "_place").alias("c").crossJoin(F.broadcast(top)).select(  # one row
+    last = items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")) if top is None else items.sparkSession.createDataFrame([(top,)], "top long")
+    fresh = placed(c.where("existing_id is null"), ["seq", "source_url"], "_place").alias("c").crossJoin(F.broadcast(last)).select(  # one row
         (F.col("top") + F.col("_place")).alias("id"), "c.source_url", *KEEP_OLD, *OVERWRITE,
         F.when(mark, F.lit(now)).alias("synced_at"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"),
     )

@@ -151,7 +151,7 @@ def write_notes(rows: DataFrame, root: str, replace: bool = False) -> None:
 
 
 def read_notes(spark: SparkSession, root: str) -> DataFrame:
-    """path (below root) and note of all notes below root."""
+    """path (below root) and note of all notes below root; a file without a byte gives no row."""
     base = root if "://" in root else "file:" + root
     rows = spark.read.text(base, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True)
     return rows.selectExpr("url_decode(replace(substring_index(_metadata.file_path, '/" + posixpath.basename(root) + "/', -1), '+', '%2B')) as path", "value as note")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import text, urls
 from inkwell.operators import numbering, identity, notes, payloads, state, workflow
 from inkwell.sources import files
-from inkwell.streaming import ingest
+from inkwell.streaming import store
 
 
 def test_files_and_vault(spark, tmp_path):
@@ -46,8 +46,8 @@ def test_ingest_in_batches(spark, tmp_path):
     source, root = f"{tmp_path}/in", f"{tmp_path}/state"
     for k, rows in enumerate(([(1, "u1", "a", "h1"), (2, "u2", "b", "h2"), (3, None, "c", None), (4, None, "d", None)], [(5, "u2", "b2", "h9"), (6, "u9", "moved", "h1"), (7, "u3", "e", "h3")])):
         _incoming(spark, rows).coalesce(1).write.mode("append").parquet(source)
-        ingest.ingest(spark, source, _incoming(spark, []).schema, root, f"n{k}", f"{tmp_path}/checkpoint").awaitTermination()
-        got = {r.id: (r.source_url, r.title) for r in spark.read.parquet(f"{root}/v={k}").collect()}
+        store.ingest(spark, source, _incoming(spark, []).schema, root, f"n{k}", f"{tmp_path}/checkpoint", 4).awaitTermination()
+        got = {r.id: (r.source_url, r.title) for r in store.Store(spark, root, 4).items().collect()}
     assert got == {1: ("u1", "moved"), 2: ("u2", "b2"), 3: (None, "c"), 4: (None, "d"), 5: ("u3", "e")}
 
 
@@ -98,13 +98,6 @@ def test_block_payloads_of_any_shape(spark):
     assert [r.b for r in rows.select("i", payloads.block_text(F.col("p")).alias("b")).orderBy("i").collect()] == ["", "", "", "", "", "", "plain words", "one", "ab"]
 
 
-def test_notes_are_written_by_column_and_year(spark, tmp_path):
-    rows = spark.createDataFrame([("c", "2024", "p.md", "x"), ("d", None, "q.md", "y")], "column_name string, year string, final_path string, note string")
-    for _ in range(2):
-        workflow.write_notes(rows, f"{tmp_path}/notes")
-    assert sorted(r.note for r in spark.read.parquet(f"{tmp_path}/notes").collect()) == ["x", "y"]
-
-
 def test_collision_numbers(spark):
     same = [("a.md", "h" * 9, 1), ("a.md", "k" * 8 + "1", 2), ("a.md", "k" * 8 + "2", 3), ("a.md", "k" * 8 + "1", 4)]
     rows = spark.createDataFrame(same, "path string, identity string, seq int")
