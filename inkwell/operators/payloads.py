@@ -43,6 +43,29 @@ def state_items(captures: DataFrame, base: str, detail: str = "/course/article?i
     )
 
 
+#: Names under which captured cards give the same field, the first that is filled counts.
+CARD_FIELDS = {
+    "title": ("title",), "enid": ("enid", "en_id", "enId"), "id": ("id_str", "idStr", "id", "dd_article_id_str", "dd_article_id"),
+    "published": ("publish_time", "publishTime"), "url": ("url", "ddurl", "share_url"),
+}
+
+
+def card_items(cards: DataFrame, base: str, detail: str = "/course/article?id=") -> DataFrame:
+    """Items of captured audio cards (capture_id, pos, data as JSON): a title of four characters and an id; each address once.
+
+    The address is made of the id, whatever address a card has; without a title the sound's counts.
+    """
+    card = cards.withColumn("card", F.try_parse_json("data"))
+    said = lambda path: F.try_variant_get("card", f"$.{path}", "string")
+    field = lambda name, *more: text.first_filled(*map(said, (*CARD_FIELDS[name], *more)))
+    rows = card.select(
+        "capture_id", "pos", text.squash(field("title", "audio.title")).alias("title"), text.strip(field("enid")).alias("item_key"), text.publish_date(field("published")).alias("published_at"),
+    ).where((F.length("title") >= 4) & (F.col("item_key") != ""))
+    rows = rows.withColumn("source_url", urls.resolve(F.concat(F.lit(detail), "item_key"), F.lit(base)))
+    least = rows.groupBy("capture_id", "source_url").agg(F.min_by(F.struct("title", "item_key", "published_at"), "pos").alias("first"))
+    return least.select("capture_id", "source_url", F.left("first.title", F.lit(120)).alias("title"), "first.item_key", "first.published_at")
+
+
 def detail_payloads(responses: DataFrame, part: str) -> DataFrame:
     """url and payload of the responses (url, body) whose address holds `part`, and whose body is a JSON object."""
     whole = F.coalesce(F.startswith(F.to_json(F.try_parse_json("body")), F.lit("{")), F.lit(False))
@@ -99,11 +122,29 @@ def _block_texts(payloads: pd.Series) -> pd.Series:
     return payloads.map(lambda p: "\n\n".join(_lines(p)))
 
 
+def canonical(payload: Column) -> Column:
+    """A payload as it is written anew: names in their order, one space behind commas and colons, letters as they are; null where it is no JSON."""
+    return F.pandas_udf(_written_anew, "string")(payload)
+
+
+def _written_anew(payloads: pd.Series) -> pd.Series:
+    def one(payload: str | None) -> str | None:
+        try:
+            return json.dumps(json.loads(payload or ""), ensure_ascii=False).encode("utf-8", "replace").decode()
+        except ValueError:
+            return None
+
+    return payloads.map(one)
+
+
 def from_payload(rows: DataFrame) -> DataFrame:
-    """rows (payload) with transcript, has_transcript, reason and hash: the gate without a title test; no policy, no media."""
+    """rows (payload) with transcript, has_transcript, reason and hash: the gate without a title test; no policy, no media.
+
+    The hash is that of the payload written anew, so spaces between its parts do not count; of what is no JSON, of the text.
+    """
     out = pages.gated(text.once(rows, "body", block_text(F.col("payload"))), "q", "body")
-    ok = F.col("q.ok")
-    return out.select(*(out[c] for c in rows.columns), F.when(ok, F.col("body")).otherwise("").alias("transcript"), ok.alias("has_transcript"), F.col("q.reason").alias("reason"), text.content_hash(F.col("payload")).alias("payload_hash"))
+    ok, whole = F.col("q.ok"), F.coalesce(canonical(F.col("payload")), "payload")
+    return out.select(*(out[c] for c in rows.columns), F.when(ok, F.col("body")).otherwise("").alias("transcript"), ok.alias("has_transcript"), F.col("q.reason").alias("reason"), text.content_hash(whole).alias("payload_hash"))
 
 
 def top_keys(value: Column, most: int = 30) -> Column:

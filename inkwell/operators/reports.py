@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text
+from inkwell.operators import state
 
 # What a report calls the counters of a run, in order, and its sections.
 COUNTS = (
@@ -37,6 +38,22 @@ def start_runs(columns: DataFrame, runs: DataFrame, log_path: Column | None = No
     return runs.crossJoin(F.broadcast(total)).select("run_id", "started_at", F.lit("running").alias("status"), "total_columns", path.alias("log_path"))  # one row
 
 
+def written_run(outcomes: DataFrame, path: str) -> DataFrame:
+    """Writes the outcome rows of a run, and gives its counters and status as one row, from the pass that writes them.
+
+    Nothing is read again: the counters are observed where the rows go by, a partial sum a task. A run
+    without rows has counters of zero.
+    """
+    seen = Observation("run")
+    asked = outcomes if "requests" in outcomes.columns else outcomes.withColumn("requests", F.lit(0))
+    counted = [F.count_if(F.expr(rule)).alias(n) for n, rule in state.COUNTERS.items()]
+    asked.observe(seen, *counted, F.coalesce(F.sum("requests"), F.lit(0)).cast("long").alias("request_count")).write.mode("overwrite").parquet(path)
+    counts = {n: seen.get.get(n) or 0 for n in (*state.COUNTERS, "request_count")}
+    bad = counts["failed_count"] + counts["missing_transcript_count"] + counts["summary_failed_count"]
+    row = outcomes.sparkSession.createDataFrame([tuple(counts.values())], ", ".join(f"{n} long" for n in counts))
+    return row.withColumn("status", F.lit("partial_failed" if bad else "success"))
+
+
 def finish_runs(started: DataFrame, counted: DataFrame, failures: DataFrame, finished_at: DataFrame, most: int = 50) -> DataFrame:
     """Started runs with their counters (run_counters), the end of each (run_id, finished_at), and what failed.
 

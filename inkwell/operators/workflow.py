@@ -220,7 +220,13 @@ def quarantine_name(stamp: Column, url: Column, key: Column, html_hash: Column)
     return F.concat(stamp, F.lit("-"), F.left(text.slug(F.array_join(filled, "_"), "detail"), F.lit(80)), F.lit("-"), digest, F.lit(".html"))
 
 
-def quarantine(pages: DataFrame, stamp: str, path: str) -> None:
-    """Failed pages (url, html, key) as a table partitioned by day, each with its name."""
-    name = quarantine_name(F.lit(stamp), F.col("url"), F.col("key"), text.content_hash(F.col("html")))
-    pages.select(F.lit(stamp[:8]).alias("day"), name.alias("name"), "url", "html").write.mode("append").partitionBy("day").parquet(path)
+def quarantined(failed: DataFrame, stamp: str) -> DataFrame:
+    """Failed pages (page_id, url, html, key) as they are kept: day, name, html, the text that they show, and their anchors as JSON."""
+    own = failed.withColumn("name", quarantine_name(F.lit(stamp), F.col("url"), F.col("key"), text.content_hash(F.col("html"))))
+    shown = pages.parsed(failed.select("page_id", "url", "html")).select("page_id", F.col("visible").alias("text"), F.to_json("anchors").alias("anchors"))
+    return own.join(shown, "page_id").select("page_id", F.lit(stamp[:8]).alias("day"), "name", "url", "html", "text", "anchors")
+
+
+def quarantine(failed: DataFrame, stamp: str, path: str) -> None:
+    """Keeps failed pages as a table partitioned by day."""
+    quarantined(failed, stamp).drop("page_id").write.mode("append").partitionBy("day").parquet(path)

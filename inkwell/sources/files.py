@@ -38,9 +38,3 @@ def article_lists(captures: DataFrame) -> DataFrame:
 
 def network_trace(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
-
-
-def log_tail(spark: SparkSession, path: str, n: int = 50) -> DataFrame:
-    """The last n warnings and errors of a log, in order of file and line."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    return lines.where(F.col("value").rlike("WARNING|ERROR")).orderBy(F.desc("at")).limit(n)

@@ -2,7 +2,7 @@ import pytest
 from conftest import SF, same
 
 from inkwell.operators import notes
-from inkwell.plans import batches, catalog, vaults  # noqa: F401  (these add their queries to the catalog)
+from inkwell.plans import batches, catalog, increments, vaults  # noqa: F401  (these add their queries to the catalog)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))

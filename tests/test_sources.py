@@ -1,10 +1,11 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from inkwell.functions import text, urls
-from inkwell.operators import numbering, identity, notes, payloads, state, workflow
-from inkwell.sources import files
+from inkwell.operators import identity, notes, numbering, payloads, reports, state, workflow
+from inkwell.sources import files, log_lines
 from inkwell.streaming import store
 
 
@@ -31,8 +32,37 @@ def test_trace_and_log(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps([{"url": "u", "status": 200, "content_type": "application/json", "media_like": False}] * 2))
     assert files.network_trace(spark, f"file://{tmp_path}/t.json").count() == 2
     (tmp_path / "l.log").write_text("".join(f"{'WARNING' if i % 2 else 'INFO'} line {i}\n" for i in range(200)))
-    tail = [r.value for r in files.log_tail(spark, f"file://{tmp_path}/l.log").collect()]
-    assert len(tail) == 50 and set(tail) == {f"WARNING line {i}" for i in range(101, 200, 2)}
+    tail = [r.value for r in log_lines.log_tail(spark, f"file://{tmp_path}/l.log").collect()]
+    assert tail == [f"WARNING line {i}" for i in range(101, 200, 2)]
+
+
+def test_log_tail_over_files_and_blocks(spark, tmp_path):
+    """Lines keep their places whatever the blocks; hidden files are none; of a long log only the end is read."""
+    rnd, lines = random.Random(3), []
+    for name in ("b.log", "a/2.log", "a/10.log", "c.log"):
+        own = [f"{rnd.choice(['INFO', 'ERROR', 'WARNING é'])} {name} {k} " + "x" * rnd.randrange(200) for k in range(rnd.choice([0, 3, 40, 200]))]
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes("\r\n".join(own).encode() + (b"" if name == "b.log" else b"\n"))
+        lines += [(name, v) for v in own if not v.startswith("INFO")]
+    (tmp_path / "_SUCCESS").write_text("ERROR hidden")
+    (tmp_path / ".x.crc").write_text("ERROR hidden")
+    lines.sort(key=lambda x: x[0])
+    for block in (7, 64, 1000, 1 << 20):
+        got = log_lines.log_tail(spark, f"file://{tmp_path}", 25, block=block).collect()
+        assert [(r.file.removeprefix(f"{tmp_path}/"), r.value) for r in got] == lines[-25:]
+    assert [r.value for r in log_lines.log_tail(spark, f"file://{tmp_path}", 10**6, block=64).collect()] == [v for _, v in lines]
+    reader = log_lines.LogReader({"path": "file:///x", "block": "10", "last": "25", "files": json.dumps([["p", 1000], ["q", 12]])})
+    assert [(b.path, b.start, b.end) for b in reader.partitions()] == [("q", 2, 12), ("q", 0, 2), ("p", 990, 1000), ("p", 980, 990)]
+
+
+def test_counters_of_a_run_while_it_is_written(spark, tmp_path):
+    rows = [("sync", "synced", "ok", 2), ("skip", None, None, 0), ("sync", "failed", None, 1), ("sync", "missing_transcript", "summary_failed", None)]
+    table = spark.createDataFrame(rows, "action string, status string, summary_status string, requests long")
+    row = reports.written_run(table, f"{tmp_path}/run").first().asDict()
+    again = state.run_counters(table.withColumn("run_id", F.lit(1))).drop("run_id").first().asDict()
+    assert row == again and spark.read.parquet(f"{tmp_path}/run").count() == 4
+    assert reports.written_run(table.limit(0), f"{tmp_path}/none").first().status == "success"
+    assert reports.written_run(table.drop("requests"), f"{tmp_path}/less").first().request_count == 0
 
 
 def _incoming(spark, rows):
