@@ -49,6 +49,21 @@ def thinned(links: DataFrame, part: int = LINKS) -> DataFrame:
     return stored(links.repartition(max(1, -(-links.count() // part))).mapInArrow(run, "a long, b long"))
 
 
+def groups(links: DataFrame) -> DataFrame:
+    """components of a table of links (a, b), which one task solves where it may hold them: LINKS at most."""
+    if links.count() > LINKS:
+        return components(links)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for batch in batches:
+            forest.grown(zip(*(c.to_pylist() for c in batch.columns)))
+        nodes = sorted({*forest.up, *forest.up.values()})
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (nodes, list(map(forest._root, nodes)))], ["node", "root"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(run, "node long, root long")
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of edges (a, b), as (node, root): root is the least node reachable.
 

@@ -76,10 +76,14 @@ def known_items(incoming: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def mark_repeats(incoming: DataFrame, names: list[str], order: str = "seq") -> DataFrame:
-    """incoming with duplicate: whether an earlier row has the same key; null and empty keys have no duplicates."""
-    rows = _dealt(incoming, names)
-    first = F.min(order).over(Window.partitionBy(*names, "_salt"))
-    return rows.withColumn("duplicate", F.when(F.col("_salt") == 0, F.col(order) > first).otherwise(F.lit(False))).drop("_salt")
+    """incoming with duplicate: whether an earlier row has the same key; null and empty keys have no duplicates.
+
+    The first of each key is an aggregate that is joined again, not a window: a key that many rows
+    share is summed before it is shuffled, and its join can be split.
+    """
+    first = incoming.where(filled(names)).groupBy(*names).agg(F.min(order).alias("_first")).withColumn("_salt", F.lit(0))
+    rows = _dealt(incoming, names).join(first, [*names, "_salt"], "left")
+    return rows.select(*(rows[c] for c in incoming.columns), F.coalesce(F.col(order) > F.col("_first"), F.lit(False)).alias("duplicate"))
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

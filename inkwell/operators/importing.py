@@ -46,25 +46,24 @@ def _groups(classes: DataFrame, hits: DataFrame, items: DataFrame) -> DataFrame:
         pairs = shared.join(least.select("key", "b"), "key").where("class <> b").select(F.col("class").alias("a"), "b")
         links = pairs if links is None else links.union(pairs)
     links = stored(links)
-    if classes.where(~filled(["item_key"])).join(hits, "class", "left_semi").unionAll(classes.where(~filled(["item_key"])).join(links, F.col("class") == F.col("a"), "left_semi")).isEmpty():
+    if classes.where(~filled(["item_key"])).isEmpty():
         return _members(links)
     # a note without an id moves an item, with the id it has, to the note's column: who looks for that id there is of the group
     ids = with_id.select("class", "item_key").union(hits.join(items.where(filled(["item_key"])).select("id", "item_key"), "id").select("class", "item_key"))
     while True:
-        group = classes.join(_members(links), "class", "left").withColumn("group", F.coalesce("group", "class"))
+        members = _members(links)
+        group = classes.join(members, "class", "left").withColumn("group", F.coalesce("group", "class"))
         moved = group.where(~filled(["item_key"])).select("group", "column_name").distinct()
         known = ids.join(group.select("class", "group"), "class").select("group", "item_key").distinct()
         found = moved.join(known, "group").withColumnRenamed("group", "b").join(group.select("item_key", "column_name", "class", "group"), ["item_key", "column_name"])
         more = stored(found.where("group <> b").select(F.col("class").alias("a"), "b"))
         if more.isEmpty():
-            return _members(links)
+            return members
         links = links.union(more)
 
 
 def _members(links: DataFrame) -> DataFrame:
-    if links.isEmpty():
-        return links.select(F.col("a").alias("class"), F.col("b").alias("group"))
-    return stored(graph.components(links).select(F.col("node").alias("class"), F.col("root").alias("group")))
+    return stored(graph.groups(links).select(F.col("node").alias("class"), F.col("root").alias("group")))
 
 
 def _folded(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from inkwell.operators import identity, notes, pages, payloads, reports, workflow
+from inkwell.operators import identity, notes, pages, payloads, reports, state, workflow
 from inkwell.plans.catalog import _COUNTERS, _LOG, _RESOLVED, _docs, _incoming_and_state, _log, _pages, _shown, query, table
 from inkwell.sources import log_lines
 from inkwell.sources.shared import shared_dir
@@ -49,6 +49,17 @@ def _(spark, d):
     return held.items().select("id", "source_url", "canonical_url", "title", "item_key", "updated_at")
 
 
+@query(
+    "empty_columns_but_valid",
+    """select n_name as column_name from nation left join (select distinct 'src' || (doc_id % 11) as s from documents) on s = 'src' || n_nationkey where s is null and n_nationkey % 3 <> 0""",
+)
+def _(spark, d):
+    """Columns without items, but for those that are marked as empty and valid."""
+    columns = table(spark, d, "nation").select(F.concat(F.lit("src"), "n_nationkey").alias("column_name"), F.col("n_name"), (F.col("n_nationkey") % 3 == 0).alias("may_be_empty"))
+    items = _docs(spark, d).select(F.concat(F.lit("src"), F.col("doc_id") % 11).alias("column_name"))
+    return state.empty_columns(columns, items, valid="may_be_empty").join(columns, "column_name").select(F.col("n_name").alias("column_name"))
+
+
 @query("written_run", f"select *, case when failed_count + missing_transcript_count + summary_failed_count = 0 then 'success' else 'partial_failed' end as status from (select {_COUNTERS} from ({_LOG}))")
 def _(spark, d):
     return reports.written_run(_log(spark, d), _folder(spark, "run"))

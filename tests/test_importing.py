@@ -35,7 +35,7 @@ def stored_items(spark, rows):
     return table.select(*(c.alias(n) for n, c in full.items()))
 
 
-@pytest.mark.parametrize("seed", range(8))
+@pytest.mark.parametrize("seed", range(4))
 def test_import_equals_a_plain_loop(spark, seed):
     rnd = random.Random(seed)
     many = seed % 2 == 0  # few addresses and ids: large groups

@@ -1,7 +1,10 @@
+import json
+import random
+
 from pyspark.sql import functions as F
 
 from inkwell.functions import text
-from inkwell.operators import notes, pages, state
+from inkwell.operators import notes, pages, payloads, state
 
 PAGE = """<html><head><title>A walk - Site</title><meta name="author" content="Kim"><script type="application/ld+json">{"datePublished": "2024-05-06"}</script></head>
 <body><nav>menu<script>var x = '</p>'</script></nav><article><h1>A walk</h1><p>one</p><p>two <b>three</p></article><audio src="/a.mp3" type="audio/mpeg"></audio>
@@ -58,3 +61,36 @@ def test_upsert_twice_changes_nothing(spark):
 def test_collisions(spark):
     rows = spark.createDataFrame([("a.md", "h" * 9, 1), ("a.md", "h" * 9, 2), ("a.md", "k" * 9, 3)], "path string, identity string, seq int")
     assert [r.final_path for r in notes.without_collisions(rows).orderBy("seq").collect()] == ["a.md", "a.md", "a-kkkkkkkk.md"]
+
+
+def test_keyword_fields_equal_a_walk(spark):
+    """Up to 30 fields in the order of the text, of lists five elements, previews of 180 characters."""
+
+    def walk(value, path, found):
+        for name, child in value.items() if isinstance(value, dict) else ():
+            if len(found) < 30:
+                if any(w in name.lower() for w in ("text", "title", "desc", "content")):
+                    shown = " ".join((child if isinstance(child, str) else json.dumps(child, ensure_ascii=False)).split())
+                    found.append((f"{path}.{name}".lstrip("."), shown[:180] + "..." * (len(shown) > 180)))
+                walk(child, f"{path}.{name}".lstrip("."), found)
+        for k, child in enumerate(value[:5]) if isinstance(value, list) else ():
+            if len(found) < 30:
+                walk(child, f"{path}[{k}]", found)
+        return found
+
+    rnd = random.Random(9)
+
+    def made(depth):
+        kind = rnd.randrange(6 if depth else 3)
+        if kind < 3:
+            return rnd.choice(["a  b", "é" * 200, 1.5, None, True, "x"])
+        if kind == 3:
+            return [made(depth - 1) for _ in range(rnd.randrange(8))]
+        return {rnd.choice(["text", "Title", "z", "a", "desc1", "k2"]) + str(rnd.randrange(3)): made(depth - 1) for _ in range(rnd.randrange(9))}
+
+    values = [made(6) for _ in range(60)] + [{f"title{k}": k for k in range(50)}, [{"text": k} for k in range(9)]]
+    table = spark.createDataFrame([(k, json.dumps(v, ensure_ascii=False)) for k, v in enumerate(values)], "k int, v string")
+    got = {}
+    for r in payloads.keyword_fields(table, "v").orderBy("k", "pos").collect():
+        got.setdefault(r.k, []).append((r.path, r.preview))
+    assert got == {k: found for k, v in enumerate(values) if (found := walk(v, "", []))} and max(map(len, got.values())) == 30
