@@ -48,7 +48,7 @@ def count_words(docs: DataFrame, letters: int = LEAST_LETTERS, times: int = LEAS
 
     Words of fewer than `letters` letters or `times` occurrences are left out. With damage, a letter of
     every so many runs is deleted first, by the crc32 of doc_id and run. Null texts have no words, a
-    null id is written as nothing; repeated rows count again; other columns are ignored.
+    null id is written as nothing; repeated rows count again; other columns are ignored; an empty table has no words.
     """
 
     def start():
