@@ -176,8 +176,7 @@ def _(spark, d):
 def _file(x: str, n: int = 80) -> str:
     c = f"regexp_replace(regexp_replace(regexp_replace({x}, '[<>:\"/\\\\|?*\\x00-\\x1f]', ' ', 'g'), '{WS}+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g')"
     c = f"case when {c} = '' then 'untitled' else {c} end"
-    names = ", ".join(f"'{x}'" for x in text.RESERVED_NAMES)
-    return f"(select case when length(v) > {n} then regexp_replace(left(v, {n}), '[ .]+$', '') else v end from (select case when upper(u) in ({names}) then '_' || u else u end as v from (select {c} as u)))"
+    return f"(select case when length(v) > {n} then regexp_replace(left(v, {n}), '[ .]+$', '') else v end from (select case when regexp_matches(upper(u), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') then '_' || u else u end as v from (select {c} as u)))"
 
 
 @query("filename_sanitize", f"select doc_id, {_file('text')} as name from documents")
@@ -202,11 +201,17 @@ def _(spark, d):
 _SECRET = "text || ' api_key: ' || doc_id || 'abc, Cookie: id=' || doc_id || chr(10) || 'Bearer tok' || doc_id || ' secret=\"x' || doc_id || '\" authorization: basic u' || doc_id"
 
 
+#: What the secrets of the made texts look like, in the order of replacement, written for the SQL alone.
+_SECRET_FORMS = (
+    r"(?i)(bearer\s+)[a-z0-9._-]+", r"(?i)(authorization\s*[:=]\s*)[^\r\n,]+", r"(?i)((?:set-)?cookie\s*[:=]\s*)[^\r\n]+", r"(?i)(access[_-]?token['\"]?\s*[:=]\s*['\"]?)[^'\"\s,]+",
+    r"(?i)(api[_-]?key['\"]?\s*[:=]\s*['\"]?)[^'\"\s,]+", r"(?i)(session(?:[_-]?id)?['\"]?\s*[:=]\s*['\"]?)[^'\"\s,;]+", r"(?i)(secret['\"]?\s*[:=]\s*['\"]?)[^'\"\s,]+",
+)
+
+
 def _redacted() -> str:
     out = "t"
-    for p in text.SECRETS:
-        p = p.replace(r"(?!Bearer\s+)", "").replace("'", "''")
-        out = f"regexp_replace({out}, '{p}', '\\1[REDACTED]', 'g')"
+    for p in _SECRET_FORMS:
+        out = "regexp_replace({}, '{}', '\\1[REDACTED]', 'g')".format(out, p.replace("'", "''"))
     return out
 
 
@@ -216,7 +221,8 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", text.redact(made).alias("t")).select("doc_id", text.content_hash(F.col("t")).alias("h"), F.length("t").cast("long").alias("n"))
 
 
-_MARKERS = " ".join(f"when contains(l, '{m}') then '{r}'" for m, r in pages.BLOCKED_MARKERS.items())
+_MARKERS = """when contains(l, 'widevine') then 'drm_widevine' when contains(l, 'fairplay') then 'drm_fairplay' when contains(l, 'playready') then 'drm_playready' when contains(l, 'encrypted-media') or contains(l, 'eme-encryption-scheme') then 'encrypted_media_api'
+  when contains(l, '#ext-x-key') then 'encrypted_hls_key' when contains(l, 'com.apple.fps') then 'drm_fairplay'"""
 
 
 @query("policy_html", f"select page_id, case {_MARKERS} end as reason from (select page_id, lower(html || case when page_id % 5 = 0 then ' PlayReady' when page_id % 7 = 0 then '#EXT-X-KEY' else '' end) as l from pages)")
@@ -436,13 +442,16 @@ _FAILED = "case event_id % 7 when 0 then 'ECONNRESET by peer' when 1 then 'net::
 _CODE = "cast(case event_id % 5 when 0 then 401 when 1 then 403 when 2 then 404 else 500 end as int)"
 
 
-def _like(parts: tuple[str, ...]) -> str:
+def _like(*parts: str) -> str:
     return "(" + " or ".join(f"contains(lower(coalesce(m, '')), '{p}')" for p in parts) + ")"
 
 
+_LOST = ("bad record mac", "bad_record_mac", "connection reset", "econnreset", "temporarily unavailable")
+
+
 @query(
     "failure_classes",
-    f"""select event_id, {_like(failures.TRANSIENT)} as transient, {_like(failures.SUMMARY_TRANSIENT)} as summary_transient, {_like(failures.SHORTER_RETRY)} as shorter,
+    f"""select event_id, {_like(*_LOST, 'net::err_connection', 'net::err_http2_protocol_error')} as transient, {_like(*_LOST, 'timed out', 'timeout')} as summary_transient, {_like('empty message content', 'recognizable note fields', 'timeout after', 'bad record mac')} as shorter,
     case when code = 403 and contains(coalesce(m, ''), '1010') then 'blocked' when code = 401 then 'key' when code = 403 then 'access' when code = 404 then 'base_url' else '' end as hint
     from (select event_id, {_FAILED} as m, {_CODE} as code from events)""",
 )
