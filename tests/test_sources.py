@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from inkwell.functions import text, urls
-from inkwell.operators import identity, notes, numbering, payloads, reports, state, workflow
+from inkwell.operators import identity, notes, numbering, payloads, reports, state
 from inkwell.sources import files, log_lines
 from inkwell.streaming import store
 
