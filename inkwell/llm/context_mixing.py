@@ -3,10 +3,10 @@
 A word is its bytes and an end; each of these is a path of bits in a Huffman tree. Hashed
 contexts (the last 1 to 4 bytes, and the whole word so far) each predict every bit from counts
 over the training corpus. A gate, how often the two longest contexts were met in training, picks the
-weights that mix their logits. A share of all training documents is kept out of the counts: each of
-some tasks refines the weights step by step along its part of them, the weights are averaged, and
-an adaptive map then corrects what the mix says. Bits depend on nothing outside
-their word, so each distinct word of the corpus is scored once and joined to its documents.
+weights that mix their logits, and an adaptive map corrects what the mix says. Both are fitted on all
+training documents, dealt to two halves: the words of each are predicted from the counts of the other,
+by Newton's steps on sums over all of them. The model itself has the counts of both. Bits depend on nothing
+outside their word, so each distinct word of the corpus is scored once and joined to its documents.
 There, the model is refined by what the document has shown: urns of several strengths raise
 the words already met, and they are weighed against the plain model by how well each has done
 so far.
@@ -31,12 +31,10 @@ BITS = 20
 WORD_BITS = 2
 ORDERS = 4
 CONTEXTS = ORDERS + 1
-#: Share of the training documents reserved for the mixing weights and the adaptive map; all others give counts.
-#: Of small corpora up to a tenth, for about LEAST_RESERVED of them.
-RESERVED = 1 / 64
-LEAST_RESERVED = 600
-#: Bytes of reserved texts that one task learns from, about.
-STREAM_BYTES = 2 << 20
+#: Newton's steps for the mixing weights, each a pass over the distinct words, and the bits that pull a gate's
+#: weights to where they began.
+NEWTON = 2
+PRIOR = 20.0
 #: Steps of how often a context was met: 0, 1, 2, 4, 8, 32, 128, 1024 times or more.
 MET = np.array([1, 2, 4, 8, 32, 128, 1024])
 GATES = (len(MET) + 1) ** 2
@@ -159,7 +157,13 @@ def parts_of(words: list[bytes], times: np.ndarray | None = None) -> Iterator[tu
 
 
 def corpus_counts(units: DataFrame, code: Code, bits: int = BITS) -> np.ndarray:
-    """Quantised logits, and how often they were met, by context and slot, of all bits of units (unit, k), each word k times.
+    """The table of units (unit, k), each word k times."""
+    return corpus_tables(units, code, bits, ["k"])[-1]
+
+
+def corpus_tables(units: DataFrame, code: Code, bits: int, columns: list[str]) -> np.ndarray:
+    """Quantised logits, and how often they were met, by context and slot, of all bits of units: a table for each of the
+    columns, which say how often a word counts, and last one for their sum.
 
     A task counts into arrays of fixed size and passes on what is not zero, in blocks; blocks of
     the same place are added up one after another, so a task holds one at a time. The driver
@@ -206,34 +210,39 @@ def corpus_counts(units: DataFrame, code: Code, bits: int = BITS) -> np.ndarray:
 
         return work
 
-    parts = arrow_map(units.where("k > 0"), ["unit", "k"], "block int, at binary, counts binary", start, rows=1 << 14, finish=True)
+    parts = None
+    for t, name in enumerate(columns):
+        own = arrow_map(units.where(F.col(name) > 0), ["unit", name], "block int, at binary, counts binary", start, rows=1 << 14, finish=True)
+        own = own.withColumn("part", F.lit(t))
+        parts = own if parts is None else parts.union(own)
+    n = len(columns)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, None
 
         def done() -> pa.RecordBatch:
-            pair = total.reshape(-1, 2).astype(float)
-            level = np.clip(np.rint(np.log((pair[:, 1] + 0.4) / (pair[:, 0] + 0.4)) * SCALE), -127, 127)
-            met = np.searchsorted(MET, pair.sum(1), "right")
+            pair = np.concatenate([total, total.sum(0, keepdims=True)]).reshape(n + 1, -1, 2).astype(float)
+            level = np.clip(np.rint(np.log((pair[..., 1] + 0.4) / (pair[..., 0] + 0.4)) * SCALE), -127, 127)
+            met = np.searchsorted(MET, pair.sum(-1), "right")
             return pa.RecordBatch.from_arrays(
-                [pa.array([now], pa.int32()), pa.array([np.stack([level, met]).astype(np.int8).tobytes()])], ["block", "levels"]
+                [pa.array([now], pa.int32()), pa.array([np.stack([level, met], 1).astype(np.int8).tobytes()])], ["block", "levels"]
             )
 
         for batch in batches:
-            for block, at, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for block, at, counts, part in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
                 if block != now:
                     if now is not None:
                         yield done()
-                    now, total = block, np.zeros(BLOCK, np.int64)
-                total[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.uint32)
+                    now, total = block, np.zeros((n, BLOCK), np.int64)
+                total[part, np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.uint32)
         if now is not None:
             yield done()
 
-    tables = np.zeros((2, spans(bits)[-1]), np.int8)
+    tables = np.zeros((n + 1, 2, spans(bits)[-1]), np.int8)
     summed = parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, levels binary")
-    rows = summed.toArrow()  # at most 2 * spans(bits)[-1] bytes
+    rows = summed.toArrow()  # at most 2 * spans(bits)[-1] bytes a table
     for block, levels in zip(rows["block"].to_pylist(), rows["levels"]):
-        tables[:, block * (BLOCK // 2) : (block + 1) * (BLOCK // 2)] = np.frombuffer(levels.as_buffer(), np.int8).reshape(2, -1)
+        tables[..., block * (BLOCK // 2) : (block + 1) * (BLOCK // 2)] = np.frombuffer(levels.as_buffer(), np.int8).reshape(n + 1, 2, -1)
     return tables
 
 
@@ -312,104 +321,103 @@ def symbol_counts(units: DataFrame) -> np.ndarray:
     return counts
 
 
-class Learner:
-    """Mixing weights on their way along a stream of words: each small run of bits is predicted, then moves them."""
+def _sums(units: DataFrame, mixers: list[Mixer], size: int, add: Callable) -> np.ndarray:
+    """The sum of size numbers over the training words of units (unit, c, k), each half's predicted by the other's mixer.
 
-    def __init__(self, mixer: Mixer, rate: float = 0.01):
-        self.mixer, self.rate, self.weights = mixer, rate, mixer.weights.copy()
-        self.shared = np.zeros(CONTEXTS + 1)  # moves all gates, so that rare ones need not begin anew
-        self.bend = np.ones((GATES, CONTEXTS + 1))  # of the loss, as seen lately
-        self.seen = np.zeros(GATES)
-
-    def feed(self, words: list[bytes]) -> None:
-        for a, b in parts_of(words):
-            _, bit, x, gate = self.mixer.inputs(*symbols_of(words[a:b]))
-            self.seen += np.bincount(gate, minlength=GATES)
-            for at in range(0, len(bit), 256):
-                xs, gs = x[:, at : at + 256], gate[at : at + 256]
-                p = 1 / (1 + np.exp(-np.clip(((self.weights[gs] + self.shared).T * xs).sum(0), -30, 30)))
-                miss, firm = bit[at : at + 256] - p, p * (1 - p) + 1e-3
-                step = np.stack([np.bincount(gs, miss * v, GATES) for v in xs], axis=1)
-                self.bend += 0.02 * (np.stack([np.bincount(gs, firm * v * v, GATES) for v in xs], axis=1) - self.bend)
-                self.weights += self.rate * step / (self.bend + 1)
-                self.shared += self.rate * step.sum(0) / (self.bend.sum(0) + 1)
-
-    def rows(self) -> list:
-        """gate, weights, and how much they count: the bits met there, and a little for what all gates share."""
-        return [np.arange(GATES), list(self.weights + self.shared), self.seen + 1e-3 * self.seen.sum()]
-
-
-def fit(units: DataFrame, stream: DataFrame, n_bytes: int, bits: int = BITS) -> Mixer:
-    """The model of units (unit, k: occurrences outside the reserved documents) and the reserved texts (n_bytes together).
-
-    Weights are learnt in parts of about STREAM_BYTES and averaged, by the bits that each part met; the
-    map is counted over all of them. The driver gets a row for each gate, and for each gate and level.
+    add(total, mixer, words, times) adds words that occur so often. The driver gets a row for each number.
     """
-    spark = units.sparkSession
-    code = Code(symbol_counts(units))
-    mixer = Mixer(code, corpus_counts(units, code, bits), bits)
-    texts = written(stream.select("text").repartition(max(1, round(n_bytes / STREAM_BYTES))))
-    shared = spark.sparkContext.broadcast(mixer)
+    shared = units.sparkSession.sparkContext.broadcast(mixers)
 
-    def start_weights():
-        learner = Learner(shared.value)
+    def start():
+        total = np.zeros(size)
 
         def work(*columns):
             if not columns:
-                return learner.rows()
-            learner.feed([w for t in bytes_of(columns[0]) for w in words_of(t)])
+                return [np.arange(size), total]
+            words, first, both = bytes_of(columns[0]), columns[1].to_numpy(), columns[2].to_numpy()
+            for mixer, times in zip(shared.value, (both - first, first)):
+                some = np.flatnonzero(times)
+                own = [words[i] for i in some.tolist()]
+                for a, b in parts_of(own):
+                    add(total, mixer, own[a:b], times[some[a:b]])
             return None
 
         return work
 
-    parts = arrow_map(texts, ["text"], "gate int, w array<double>, n double", start_weights, rows=64, finish=True)
-    sums = parts.selectExpr("gate", "n", *(f"w[{k}] * n as w{k}" for k in range(CONTEXTS + 1))).groupBy("gate")
-    for row in sums.agg(F.sum("n").alias("n"), *(F.sum(f"w{k}").alias(f"w{k}") for k in range(CONTEXTS + 1))).collect():
-        if row["n"]:
-            mixer.weights[row["gate"]] = [row[f"w{k}"] / row["n"] for k in range(CONTEXTS + 1)]
-    mixed = spark.sparkContext.broadcast(mixer)
+    rows = arrow_map(units.where("c > 0"), ["unit", "k", "c"], "at int, n double", start, rows=1 << 14, finish=True).groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    shared.destroy()
+    out = np.zeros(size)
+    out[rows["at"].to_numpy(int)] = rows["n"].to_numpy(float)
+    return out
 
-    def start_levels():
-        counted = np.zeros((2, GATES, LEVELS // 64), np.int64)
-        own = mixed.value
 
-        def work(*columns):
-            if not columns:
-                return [np.arange(counted.size), counted.ravel()]
-            words = [w for t in bytes_of(columns[0]) for w in words_of(t)]
-            for a, b in parts_of(words):
-                _, bit, x, gate = own.inputs(*symbols_of(words[a:b]))
-                np.add.at(counted, (bit, gate, own.level(own.mix(x, gate)) // 64), 1)
-            return None
+def _bits_of(mixer: Mixer, words: list[bytes], times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every bit of the words: how often it occurs, what it is, the logits, and the gate."""
+    s, starts = symbols_of(words)
+    each, bit, x, gate = mixer.inputs(s, starts)
+    return np.repeat(times, np.add.reduceat(each, starts)), bit, x, gate
 
-        return work
 
-    levels = arrow_map(texts, ["text"], "at int, n long", start_levels, rows=64, finish=True).groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    counted = np.zeros(2 * GATES * (LEVELS // 64))
-    counted[levels["at"].to_numpy(int)] = levels["n"].to_numpy(float)
-    mixer.fit_map(counted.reshape(2, GATES, -1))
+def _add_slopes(total: np.ndarray, mixer: Mixer, words: list[bytes], times: np.ndarray) -> None:
+    """By gate: gradient and curvature of the log probability of the words' bits by the weights."""
+    n, bit, x, gate = _bits_of(mixer, words, times)
+    p = 1 / (1 + np.exp(-np.clip(mixer.mix(x, gate), -30, 30)))  # in 32 bits, as all that a part sums up
+    order = np.argsort(gate.astype(np.uint8), kind="stable")
+    ends = np.cumsum(np.bincount(gate, minlength=GATES))
+    n = n.astype(np.float32)
+    miss, firm = n * (bit.astype(np.float32) - p), n * p * (1 - p)
+    x, miss, firm = x.take(order, axis=1), miss.take(order), firm.take(order)
+    slopes = total.reshape(GATES, CONTEXTS + 2, CONTEXTS + 1)
+    for g, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends)):
+        if a < b:
+            own = x[:, a:b]
+            slopes[g, 0] += own @ miss[a:b]
+            slopes[g, 1:] += (own * firm[a:b]) @ own.T
+
+
+def _add_levels(total: np.ndarray, mixer: Mixer, words: list[bytes], times: np.ndarray) -> None:
+    n, bit, x, gate = _bits_of(mixer, words, times)
+    total += np.bincount((bit.astype(np.int64) * GATES + gate) * (LEVELS // 64) + mixer.level(mixer.mix(x, gate)) // 64, n, len(total))
+
+
+def fit(units: DataFrame, bits: int = BITS) -> Mixer:
+    """The model of units (unit, c: occurrences in training documents, k: those in the first half of these).
+
+    Weights and map see all training words, each predicted from the half that it is not of; the mixer
+    returned has the counts of all.
+    """
+    code = Code(symbol_counts(units.select("unit", F.col("c").alias("k"))))
+    tables = corpus_tables(units.withColumn("rest", F.col("c") - F.col("k")), code, bits, ["k", "rest"])
+    halves, mixer = [Mixer(code, t, bits) for t in tables[:2]], Mixer(code, tables[2], bits)
+    weights = begun = mixer.weights.copy()
+    for _ in range(NEWTON):
+        for m in halves:
+            m.weights = weights
+        slopes = _sums(units, halves, GATES * (CONTEXTS + 2) * (CONTEXTS + 1), _add_slopes).reshape(GATES, CONTEXTS + 2, CONTEXTS + 1)
+        pull = slopes[:, 0] + PRIOR * (begun - weights)
+        weights = weights + np.linalg.solve(slopes[:, 1:] + PRIOR * np.eye(CONTEXTS + 1), pull[..., None])[..., 0]
+    for m in (*halves, mixer):
+        m.weights = weights
+    mixer.fit_map(_sums(units, halves, 2 * GATES * (LEVELS // 64), _add_levels).reshape(2, GATES, -1))
     return mixer
 
 
 def score(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte: a row per input row.
 
-    Learns from the rows whose crc32 remainder (mod 10) is not 0: a share RESERVED of them, by a hash
-    of id and text, fit the mixing weights, and all others the counts. A null or empty text is one
+    Learns from all rows whose crc32 remainder (mod 10) is not 0, in two halves by a hash of id and
+    text; counts, mixing weights and the map are of all of them. A null or empty text is one
     end token. Repeated rows count as often as they appear and give repeated results; null
     ids stay null (their remainder is that of the empty text); other columns are ignored; an
     empty table gives no rows. bits_per_byte is over the bytes of the text, or 1 if it has none.
     """
     chosen = crc_of_id("doc_id") % 10 != 0
-    share = max(RESERVED, min(0.1, LEAST_RESERVED / max(1, docs.where(chosen).count())))
-    aside = chosen & (F.pmod(F.xxhash64(F.lit(9), F.col("doc_id").cast("long"), "text"), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
-    flags = [chosen, chosen & ~aside, F.lit(True)]
+    half = chosen & (F.pmod(F.xxhash64(F.lit(9), F.col("doc_id").cast("long"), "text"), F.lit(2)) == 0)
+    flags = [chosen, half, F.lit(True)]
     units = written(count_units(docs, words_of, flags).select("unit", F.col("n0").alias("c"), F.col("n1").alias("k"), F.col("n2").alias("n")))
     sizes = units.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     below = sizes["n"] + 0.1 * (sizes["v"] + 1)
-    stream = docs.where(aside).select("text")
-    n_bytes = stream.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shared = docs.sparkSession.sparkContext.broadcast(fit(units, stream, n_bytes, bits))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(units, bits))
 
     def start():
         return lambda unit, c, n: [unit, c, n, shared.value.log10(bytes_of(unit))]
