@@ -8,6 +8,7 @@ import unicodedata
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -30,6 +31,17 @@ RANKED = 1 << 19
 REMEMBER = 400_000
 
 
+class _Known(dict):
+    """Ids by word; those of a word that is not there are found and kept."""
+
+    def __init__(self, find: Callable[[bytes], bytes]):
+        self.find = find
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.find(word)
+        return ids
+
+
 class WordIds:
     """Ids of words, remembered. Pre-tokens never cross white space, so a text's ids are its words' ids in order.
 
@@ -45,8 +57,9 @@ class WordIds:
         assert array("I").itemsize == 4
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known(self._word)
         self.runs: dict[bytes, bytes] = {}
+        self.four = [array("I", [k]).tobytes() for k in range(self.tokenizer.get_vocab_size())]
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(97, 123)}
         # how the vocabulary writes each byte of letters beyond ASCII, from texts that hold it
@@ -70,9 +83,10 @@ class WordIds:
     def _word(self, word: bytes) -> bytes:
         if b"'" in word or b"<|" in word:
             return self._encode(word.decode())
-        out, low = [], word.lower()
+        low, held = word.lower(), self.runs.get
+        out = []
         for run in (low,) if low.isalpha() else self.RUNS.findall(low):
-            ids = self.runs.get(run)
+            ids = held(run)
             if ids is None:
                 ids = self._letters(run) if run[0] >= 97 and (run[0] <= 122 or run[0] >= 128) else self._encode(run.decode())
                 if ids is None:
@@ -81,12 +95,11 @@ class WordIds:
             out.append(ids)
         return b"".join(out)
 
-    def learn(self, words: set[bytes]) -> None:
+    def forget(self) -> None:
+        """Lets go of what is remembered, once it is too much."""
         for held in (self.known, self.runs):
             if len(held) > REMEMBER:
                 held.clear()
-        for word in words - self.known.keys():
-            self.known[word] = self._word(word)
 
     def ids(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.known.__getitem__, words))
@@ -101,7 +114,7 @@ def pieces_of(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = EN
 
         def work(ids, texts):
             split = [x.split() for x in bytes_of(texts)]
-            words_ids.learn(set().union(*split))
+            words_ids.forget()
             out = []
             for doc, words in zip(ids.to_pylist(), split):
                 all_ids = words_ids.ids(words) + end
