@@ -55,26 +55,43 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint32(13))
 
 
-def walked(text: np.ndarray, walk: int) -> tuple[np.ndarray, np.ndarray]:
-    """The key of a walk from each character of a text, and the place where it ends."""
+def walk_keys(text: np.ndarray, walk: int) -> np.ndarray:
+    """The key of a walk from each character of a text.
+
+    Steps are taken from the last to the first, for all characters at once: the key from a step on is that of the next
+    step, here or one character on as the walk moves, and the letter's own number if the step is sampled.
+    """
     padded = np.concatenate([text, np.zeros(STEPS, np.uint32)])
-    moves, names = mixed(padded, 2 * walk + 1), mixed(padded, 2 * walk + 2)
-    sampled = np.sort(np.random.default_rng(walk).permutation(STEPS)[:SAMPLED])
-    keys, ends = np.empty(len(text), np.uint32), np.empty(len(text), np.int32)
+    sampled = set(np.random.default_rng(walk).permutation(STEPS)[:SAMPLED].tolist())
+    keys = np.empty(len(text), np.uint32)
+    moved, other = np.empty((2, WALKED + STEPS), np.uint32)
     for at in range(0, len(text), WALKED):
-        end = min(at + WALKED, len(text))
-        place, key = np.arange(at, end, dtype=np.int32), np.zeros(end - at, np.uint32)
-        for step in range(STEPS):
+        size = min(WALKED, len(text) - at)
+        part = padded[at : at + size + STEPS]
+        moves, names = mixed(part, 2 * walk + 1).view(np.int32), mixed(part, 2 * walk + 2)
+        key = np.zeros(len(part), np.uint32)
+        for step in reversed(range(STEPS)):
+            n = size + step
+            move = np.left_shift(moves[:n], np.int32(31 - step), out=moved[:n].view(np.int32))
+            move >>= np.int32(31)  # all bits, or none
+            here = key[:n]
+            change = np.bitwise_xor(key[1 : n + 1], here, out=other[:n])
+            change &= moved[:n]
+            here ^= change
             if step in sampled:
-                key ^= names.take(place)
-                key *= np.uint32(0xC2B2AE3D)
-                key ^= key >> np.uint32(15)
-            move = moves.take(place)
-            move >>= np.uint32(step)
-            move &= np.uint32(1)
-            place += move.view(np.int32)
-        keys[at:end], ends[at:end] = key >> np.uint32(32 - HASH_BITS), place
-    return keys, ends
+                here *= np.uint32(0xC2B2AE3D)
+                here += names[:n]
+            key = here
+        np.right_shift(key, np.uint32(32 - HASH_BITS), out=keys[at : at + size])
+    return keys
+
+
+def walk_ends(text: np.ndarray, walk: int) -> np.ndarray:
+    """The place where a walk from each character of a text ends."""
+    moves, place = mixed(np.concatenate([text, np.zeros(STEPS, np.uint32)]), 2 * walk + 1), np.arange(len(text))
+    for step in range(STEPS):
+        place += moves.take(place) >> np.uint32(step) & np.uint32(1)
+    return place
 
 
 def votes_left(begins: np.ndarray, ends: np.ndarray, size: int, edits: int, recall: float) -> int:
@@ -142,7 +159,7 @@ class Items:
         for i, p in enumerate(points):
             stride, own = max(1, min(STRIDE, len(p) // 48)), []
             for walk in range(WALKS):
-                keys, ends = walked(p, walk)
+                keys, ends = walk_keys(p, walk), walk_ends(p, walk)
                 at = np.arange(walk * stride // WALKS, len(p), stride)
                 at = at[ends[at] < len(p)]
                 own.append(np.stack([at, ends[at]]))
@@ -180,7 +197,7 @@ class Items:
         votes = [np.zeros(0, np.int64)]
         for walk, (any_of, count, begin, item, at) in enumerate(self.tables):
             if len(item):
-                keys = walked(text, walk)[0]
+                keys = walk_keys(text, walk)
                 place = np.flatnonzero(any_of.take(keys))
                 keys = keys.take(place)
                 n = count.take(keys)
