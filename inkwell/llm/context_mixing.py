@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bytes_of, crc_of_id, read_table, written
-from .lexicon import count_units, document_sums
+from .lexicon import count_units, document_sums, split_words
 
 #: Slots of the tables of the short contexts are 2^BITS, and of the whole word 2^(BITS + WORD_BITS), for
 #: corpora of some GB; larger ones take more.
@@ -57,6 +57,12 @@ def words_of(text: bytes) -> list[bytes]:
     return [*text.lower().split(), b""]
 
 
+def units_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words and ends of each of many texts, and the place of the text."""
+    words, owner = split_words(texts)
+    return pa.concat_arrays([words, pa.array([b""] * len(texts), pa.binary())]), np.r_[owner, np.arange(len(texts))]
+
+
 class Code:
     """A Huffman code of bytes and the end of a word, from their counts."""
 
@@ -414,7 +420,7 @@ def score(docs: DataFrame, bits: int = BITS) -> DataFrame:
     chosen = crc_of_id("doc_id") % 10 != 0
     half = chosen & (F.pmod(F.xxhash64(F.lit(9), F.col("doc_id").cast("long"), "text"), F.lit(2)) == 0)
     flags = [chosen, half, F.lit(True)]
-    units = written(count_units(docs, words_of, flags).select("unit", F.col("n0").alias("c"), F.col("n1").alias("k"), F.col("n2").alias("n")))
+    units = written(count_units(docs, units_of, flags).select("unit", F.col("n0").alias("c"), F.col("n1").alias("k"), F.col("n2").alias("n")))
     sizes = units.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     below = sizes["n"] + 0.1 * (sizes["v"] + 1)
     shared = docs.sparkSession.sparkContext.broadcast(fit(units, bits))
@@ -424,7 +430,7 @@ def score(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
     scored = written(arrow_map(units, ["unit", "c", "n"], "unit binary, c long, n long, a double", start, rows=1 << 14))
     table = scored.select("unit", "n", "a", F.log10((F.col("c") + 0.1) / below).alias("base"), (F.col("c") > 0).cast("long").alias("b"))
-    sums = document_sums(docs, words_of, table, URNS, ["base"])
+    sums = document_sums(docs, units_of, table, URNS, ["base"])
     copies = [F.col("sum_a"), *(F.col(f"urn_{k}") for k in range(len(URNS)))]
     best = F.greatest(*copies)
     mixed = best + F.log10(sum((F.pow(F.lit(10.0), c - best) for c in copies[1:]), F.pow(F.lit(10.0), copies[0] - best)) / len(copies))

@@ -6,11 +6,12 @@ task; the others are joined by a shuffle on the unit, so no size of vocabulary b
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +19,29 @@ from .common import arrow_map, bytes_of
 
 #: Most entries of the dictionary that is sent to tasks (about 40 MB in a Python worker).
 HEAD = 1 << 18
-#: Distinct units that a task gathers before it passes its counts on.
-GATHER = 200_000
+#: Counts that a task gathers before it adds up those of the same unit, and passes them on if half as many are left.
+GATHER = 1 << 19
 
-Split = Callable[[bytes], list[bytes]]
+#: The units (binary) of a column of texts, in any order, and of each the place of its text.
+Split = Callable[[pa.Array], tuple[pa.Array, np.ndarray]]
+
+
+def split_each(split: Callable[[bytes], list[bytes]]) -> Split:
+    """Units by a function of one text."""
+
+    def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        found = [split(t) for t in bytes_of(texts)]
+        return pa.array(chain.from_iterable(found), pa.binary()), np.repeat(np.arange(len(found)), [len(x) for x in found])
+
+    return units
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased (A-Z) words between ASCII white space."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.binary()).fill_null(b"").view(pa.string())))
+    units, owner = found.flatten().cast(pa.binary()), np.repeat(np.arange(len(texts)), pc.list_value_length(found).to_numpy())
+    words = pc.not_equal(pc.binary_length(units), 0)  # white space at either end leaves an empty one
+    return units.filter(words), owner[words.to_numpy(zero_copy_only=False)]
 
 
 def count_units(docs: DataFrame, split: Split, flags: Sequence[Column]) -> DataFrame:
@@ -30,24 +50,36 @@ def count_units(docs: DataFrame, split: Split, flags: Sequence[Column]) -> DataF
     Null texts count as empty.
     """
 
+    names = [f"n{k}" for k in range(len(flags))]
+
     def start():
-        found: dict[tuple, Counter] = {}
+        parts, held = [], 0
+
+        def added():
+            sums = pa.concat_tables(parts).group_by("unit", use_threads=False).aggregate([(n, "sum") for n in names])
+            return sums.select(["unit", *(f"{n}_sum" for n in names)]).rename_columns(["unit", *names])
 
-        def take():
-            rows = [(u, *(n * f for f in flag)) for flag, c in found.items() for u, n in c.items()]
-            found.clear()
-            return list(zip(*rows)) if rows else None
+        def passed(table):
+            return [c.combine_chunks() for c in table.columns] if len(table) else None
 
         def work(*columns):
+            nonlocal parts, held
             if not columns:
-                return take()
-            for flag, text in zip(zip(*(c.to_pylist() for c in columns[1:])), bytes_of(columns[0])):
-                found.setdefault(flag, Counter()).update(split(text))
-            return take() if sum(map(len, found.values())) > GATHER else None
+                return passed(added()) if parts else None
+            units, owner = split(columns[0])
+            own = units.dictionary_encode()
+            at, size = own.indices.to_numpy(), len(own.dictionary)
+            counts = [np.bincount(at, c.to_numpy().take(owner), size).astype(np.int64) for c in columns[1:]]
+            parts.append(pa.table([own.dictionary, *counts], ["unit", *names]))
+            held += size
+            if held <= GATHER:
+                return None
+            table = added()
+            parts, held = ([], 0) if len(table) > GATHER // 2 else ([table], len(table))
+            return None if parts else passed(table)
 
         return work
 
-    names = [f"n{k}" for k in range(len(flags))]
     asked = [F.coalesce(f.cast("long"), F.lit(0).cast("long")).alias(n) for f, n in zip(flags, names)]
     parts = arrow_map(docs, ["text", *asked], "unit binary, " + ", ".join(f"{n} long" for n in names), start, finish=True)
     return parts.groupBy("unit").agg(*(F.sum(n).alias(n) for n in names))
@@ -80,7 +112,11 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 def urn_log10(strength: float, log10_p: np.ndarray, n: np.ndarray) -> np.ndarray:
     """log10 of the weights with which an urn of `strength` coloured by p gives one colour n times."""
     p = strength * 10.0**log10_p
-    return np.log10(p) + np.where(n > 1, log_gamma(p + n) - log_gamma(p + 1), 0) / np.log(10)
+    out = np.log10(p)
+    again = np.flatnonzero(n > 1)
+    p, n = p[again], n[again]
+    out[again] += (log_gamma(p + n) - log_gamma(p + 1)) / np.log(10)
+    return out
 
 
 def document_sums(
@@ -105,31 +141,35 @@ def document_sums(
         get = known.get
 
         def work(places, ids, texts):
-            whole = bytes_of(texts)
+            whole = len(texts)
             if not whole:
                 return None
-            found = [Counter(split(t)) for t in whole]
-            owner = np.repeat(np.arange(len(whole)), [len(c) for c in found])
-            units = list(chain.from_iterable(found))
-            times = np.fromiter(chain.from_iterable(c.values() for c in found), np.int64, len(units))
-            rank = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
-            total = lambda weights, own=owner: np.bincount(own, weights, len(whole))
+            units, owner = split(texts)
+            own = units.dictionary_encode()
+            units = own.dictionary
+            key = owner * len(units) + own.indices.to_numpy()
+            key.sort()
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+            times = np.diff(np.r_[first, len(key)])
+            owner, code = np.divmod(key[first], max(len(units), 1))
+            rank = np.fromiter(map(get, units.to_numpy(zero_copy_only=False).tolist(), repeat(-1)), np.int64, len(units))[code]
+            total = lambda weights, own=owner: np.bincount(own, weights, whole)
             count = total(times)
             here, there = np.flatnonzero(rank >= 0), np.flatnonzero(rank < 0)
             n, a, own = times[here], value_a[rank[here]], owner[here]
             places = np.asarray(places)
             sums = [total(n * a, own), total(n * value_b[rank[here]], own)]
             sums += [total(n * v[rank[here]], own) for v in others]
-            sums += [total(urn_log10(s, a, n), own) - (log_gamma(s + count) - log_gamma(np.full(len(whole), s))) / np.log(10) for s in urns]
+            sums += [total(urn_log10(s, a, n), own) - (log_gamma(s + count) - log_gamma(np.full(whole, s))) / np.log(10) for s in urns]
             rest = len(there)
             # a document's own row is spread over partitions by its place, and has no match in the table
             return [
                 np.r_[places[owner[there]], places],
-                [units[i] for i in there.tolist()] + [b"%d" % p for p in places.tolist()],
-                np.r_[np.zeros(rest, np.int32), np.ones(len(whole), np.int32)],
-                np.r_[times[there], np.zeros(len(whole), np.int64)],
+                pa.concat_arrays([units.take(pa.array(code[there])), pa.array([b"%d" % p for p in places.tolist()], pa.binary())]),
+                np.r_[np.zeros(rest, np.int32), np.ones(whole, np.int32)],
+                np.r_[times[there], np.zeros(whole, np.int64)],
                 [None] * rest + ids.to_pylist(),
-                [None] * rest + [len(t) for t in whole],
+                [None] * rest + pc.binary_length(texts.cast(pa.binary())).fill_null(0).to_pylist(),
                 np.r_[np.zeros(rest, np.int64), count.astype(np.int64)],
                 np.r_[np.zeros(rest), sums[0]],
                 np.r_[np.zeros(rest, np.int64), sums[1].astype(np.int64)],

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bytes_of, read_table, written
-from .lexicon import count_units, document_sums
+from .lexicon import count_units, document_sums, split_each
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -55,9 +55,9 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         return lambda units, n: [units, n, [float(piece_count(model, x)) for x in bytes_of(units)], [0] * len(units)]
 
-    counted = count_units(docs, pre_tokens, [F.lit(True)]).withColumnRenamed("n0", "n")
+    counted = count_units(docs, split_each(pre_tokens), [F.lit(True)]).withColumnRenamed("n0", "n")
     table = written(arrow_map(counted, ["unit", "n"], "unit binary, n long, a double, b long", start, rows=4096))
-    sums = document_sums(docs, pre_tokens, table)
+    sums = document_sums(docs, split_each(pre_tokens), table)
     return sums.select(
         "doc_id", "n_bytes", F.col("sum_a").cast("long").alias("n_tokens"), (F.col("sum_a") > limit).alias("over_limit")
     )
